@@ -14,4 +14,47 @@ SELECT k.doc_id, count(*)::BIGINT AS n_lines, count(f.key) FILTER (WHERE k.doc_i
 FROM k LEFT JOIN f ON k.key = f.key GROUP BY k.doc_id
 """
 
-ORACLE = {"op8_line_dedup": OP8}
+#: Fences as in quality_rules.MEASURES and SPREAD.
+OP3 = r"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT doc_id, lang, source, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5),
+h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i : i + 4]) AS n FROM g),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM h WHERE n > 1) GROUP BY doc_id),
+f AS (
+  SELECT w.doc_id, lang, source, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+    coalesce(r.n, 0)::BIGINT AS n_repeat_words, length(regexp_replace(t, '[^!]', '', 'g'))::BIGINT AS n_bangs, len(ls)::BIGINT AS n_lines
+  FROM w LEFT JOIN r USING (doc_id)),
+m AS (
+  SELECT doc_id, lang, source, unnest(['symbols', 'bangs', 'word_length', 'repeats', 'dup_lines']) AS measure,
+    unnest([300, 400, 9000, 150, 350]) AS least,
+    unnest([coalesce(n_symbols * 1000 // nullif(n_words, 0), 0), coalesce(n_bangs * 1000 // nullif(n_words, 0), 0),
+      coalesce(word_chars * 1000 // nullif(n_words, 0), 0), coalesce(n_repeat_words * 1000 // nullif(n_words, 0), 0),
+      coalesce(n_dup_lines * 1000 // nullif(n_lines, 0), 0)]) AS v FROM f),
+c AS (
+  SELECT *, CASE WHEN v < 32 THEN v ELSE (length(bin(v)) - 5) * 32 + (v >> (length(bin(v)) - 5)) END AS code FROM m),
+s AS (SELECT lang, source, measure, least, code, count(*) AS n FROM c GROUP BY ALL),
+u AS (
+  SELECT *, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY code) AS upto, sum(n) OVER (PARTITION BY lang, source, measure) AS total FROM s),
+q AS (
+  SELECT lang, source, measure, least, min(code) FILTER (WHERE 100 * upto >= 25 * total) AS a, min(code) FILTER (WHERE 100 * upto >= 75 * total) AS b
+  FROM u GROUP BY ALL),
+t AS (
+  SELECT lang, source, measure, least, CASE WHEN a < 32 THEN a ELSE ((a - (a // 32) * 32 + 1) << (a // 32)) - 1 END AS q25,
+    CASE WHEN b < 32 THEN b ELSE ((b - (b // 32) * 32 + 1) << (b // 32)) - 1 END AS q75 FROM q),
+x AS (
+  SELECT doc_id, bool_or(v > greatest(q75 + 4 * (q75 - q25), t.least)) AS above
+  FROM m JOIN t ON m.lang IS NOT DISTINCT FROM t.lang AND m.source IS NOT DISTINCT FROM t.source AND m.measure = t.measure GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT above AS kept
+FROM f JOIN x USING (doc_id)
+"""
+
+ORACLE = {
+    "op3_quality_rules": OP3,
+    "op8_line_dedup": OP8,
+}

@@ -4,20 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.llm.byte_bpe import decode_frame, encode_frame
 from tracelake.llm.common import table
 from tracelake.llm.line_dedup import line_dedup
+from tracelake.llm.near_dedup import near_groups
+from tracelake.llm.quality_rules import quality_features
+from tracelake.llm.syncmers import fingerprints
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_features(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_groups(table(spark, sf_dir, "documents"), words=3, threshold=85)
+    return out.select(F.col("doc").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    path = path or public_tokenizers.path("byte_bpe_50k.json")
+    ids = encode_frame(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
+    out = decode_frame(ids, path)
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Query] = {
+    "op2_syncmers": op2_syncmers,
+    "op3_quality_rules": op3_quality_rules,
     "op8_line_dedup": op8_line_dedup,
+    "op9_near_dedup": op9_near_dedup,
+    "op10_byte_bpe": op10_byte_bpe,
 }
