@@ -13,11 +13,18 @@ from tracelake.llm.common import table
 from tracelake.llm.line_dedup import line_dedup
 from tracelake.llm.near_dedup import near_groups
 from tracelake.llm.quality_rules import quality_features
+from tracelake.llm.source_mixing import mix_sources
 from tracelake.llm.syncmers import fingerprints
+from tracelake.llm.unit_dedup import repeated_units
+from tracelake.llm.url_rules import Rule, judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
+
+
 def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
@@ -27,6 +34,27 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeated_units(table(spark, sf_dir, "documents"))
+    return out.select(F.col("doc").alias("doc_id"), "start", "end", F.col("first_doc").alias("first_doc_id"), "first_start")
+
+
+#: The fixed rules of op6, from its contract.
+URL_RULES = [
+    Rule("org", "", "allow"),
+    Rule("example.org", "es/", "block"),
+    Rule("example.org", "en/1", "block"),
+    Rule("com", "fr/", "allow"),
+    Rule("com", "de/", "block"),
+]
+
+
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels are those of the document that has the page's id: bad if toxic or of low quality."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
+    return judge_urls(table(spark, sf_dir, "pages"), labels, URL_RULES)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -45,8 +73,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) ->
 
 
 QUERIES: dict[str, Query] = {
+    "op1_source_mixing": op1_source_mixing,
     "op2_syncmers": op2_syncmers,
     "op3_quality_rules": op3_quality_rules,
+    "op5_unit_dedup": op5_unit_dedup,
+    "op6_url_rules": op6_url_rules,
     "op8_line_dedup": op8_line_dedup,
     "op9_near_dedup": op9_near_dedup,
     "op10_byte_bpe": op10_byte_bpe,
