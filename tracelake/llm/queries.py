@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm.byte_bpe import decode_frame, encode_frame
-from tracelake.llm.common import table
+from tracelake.llm.common import new_path, table
+from tracelake.llm.id_files import read_ids, write_ids
 from tracelake.llm.line_dedup import line_dedup
+from tracelake.llm.log_bilinear import lm_scores
 from tracelake.llm.near_dedup import near_groups
 from tracelake.llm.quality_rules import quality_features
 from tracelake.llm.source_mixing import mix_sources
@@ -34,6 +36,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeated_units(table(spark, sf_dir, "documents"))
     return out.select(F.col("doc").alias("doc_id"), "start", "end", F.col("first_doc").alias("first_doc_id"), "first_start")
@@ -55,6 +61,12 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), labels, URL_RULES)
 
 
+def op7_id_coder(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    files = new_path(spark, "ids")
+    write_ids(table(spark, sf_dir, "documents"), path or public_tokenizers.path("word_bpe_49k.json"), files)
+    return read_ids(spark, files).withColumnRenamed("doc", "doc_id")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -76,8 +88,10 @@ QUERIES: dict[str, Query] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_syncmers": op2_syncmers,
     "op3_quality_rules": op3_quality_rules,
+    "op4_log_bilinear": op4_log_bilinear,
     "op5_unit_dedup": op5_unit_dedup,
     "op6_url_rules": op6_url_rules,
+    "op7_id_coder": op7_id_coder,
     "op8_line_dedup": op8_line_dedup,
     "op9_near_dedup": op9_near_dedup,
     "op10_byte_bpe": op10_byte_bpe,
