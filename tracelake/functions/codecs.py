@@ -148,12 +148,13 @@ def _decoded(t: Column, form: str) -> Column:
         flags_at, scroll_at = body + 8, body + 11
         hexes, vk = [F.regexp_extract(at(flags_at + i), "^<([0-9a-f])>$", 1) for i in range(3)], _number(at(body))
         scroll, length = from_digits([_number(at(scroll_at + j)) for j in range(2)], INTERLEAVED["scroll"]), 2
-    flags = F.conv(F.concat(*hexes), 16, 10).cast("int")
+    hex_text = F.concat(*hexes)
+    flags = F.when(F.length(hex_text) == 3, F.conv(hex_text, 16, 10).cast("int"))
     action = F.regexp_replace(at(body + 1), "[<>]", "")
     out = lambda **f: F.struct(
         kind.alias("kind"), ts.alias("ts_ns"), *[(f[k] if k in f else none).cast(c).alias(k) for k, c in (("vk", "int"), ("event_type", "string"), ("dx", "int"), ("dy", "int"), ("button_flags", "int"), ("button_data", "int"))]
     )
-    framed = (at(0) == START) & (F.element_at(t, -1) == END) & ts.isNotNull()
+    framed = (at(0) == START) & (F.get(t, n - 1) == END) & ts.isNotNull()
     keyboard = out(vk=vk, event_type=action)
     mouse = out(dx=dx, dy=dy, button_flags=flags, button_data=F.when(n > scroll_at + 1, scroll * NOTCH).otherwise(0))
     return (

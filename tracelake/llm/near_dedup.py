@@ -11,12 +11,12 @@ registers merge by maximum, and equal registers grow likelier with the overlap).
    bands of ROWS registers, a pair at similarity 0.8 misses all of them with
    probability 5e-9, at 0.85 with 6e-13.
 3. In a bucket each class meets the bucket's smallest (its hub), not every other.
-   Pairs whose joint likelihood puts the similarity six standard errors or more
+   Pairs whose joint likelihood puts the similarity SLACK standard errors or more
    under the threshold go; the rest are verified on the full sets.
 4. Verified pairs join components. In buckets that still hold several components,
-   the classes outside the largest meet those of other components, and
-   are verified alike. Pairs within one component need no look: they are
-   connected already. So no link is lost and no group is squared.
+   the classes outside the largest are compared with those of other components,
+   as arrays of registers; only likely pairs become rows and are verified. Pairs
+   within one component need no look: they are connected already.
 
 Defined cases: texts without words have an empty set and link with nothing;
 texts with fewer words than a shingle have their whole sequence as one; null
@@ -42,6 +42,8 @@ BANDS, ROWS = 48, 5
 M = BANDS * ROWS
 #: Base of the registers' scale, rate of the exponentials, largest register.
 B, RATE, LARGEST = 1.001, 20.0, 65535
+#: Standard errors under the threshold from which a pair is ruled out by its registers (one in 3 million at the threshold).
+SLACK = 5
 _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _draws = np.random.default_rng(20240131)
 _MULTIPLY = _draws.integers(0, 2**31, M, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -104,7 +106,7 @@ def set_sketches(docs: DataFrame, k: int, *, id_col: str = "doc_id", text_col: s
 def _likely(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) that sizes and registers do not rule out."""
     at = threshold / 100
-    least = at - 6 * np.sqrt(at * (1 - at) / M)
+    least = at - SLACK * np.sqrt(at * (1 - at) / M)
     side = lambda x: classes.select(F.col("doc").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {threshold} * greatest(na, nb)")
 
@@ -121,6 +123,71 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+#: Classes outside the largest component that a task holds at once, and classes that stream past them in one task.
+OUTSIDE, STREAM = 256, 8192
+
+
+def _across(mixed: DataFrame, threshold: int) -> DataFrame:
+    """Likely pairs (a, b) of different components in a bucket, each pair once: in the first band that it shares.
+
+    In each bucket the classes outside its largest component are held in chunks
+    of OUTSIDE and all classes stream past them; a large bucket is dealt out to
+    several tasks by chunk and by hash. Pairs are compared as arrays; only those
+    that the registers leave likely become rows.
+    """
+    at = threshold / 100
+    least = at - SLACK * np.sqrt(at * (1 - at) / M)
+    spread = lambda n: F.sequence(F.lit(0), (F.greatest(n, F.lit(1)) - 1).cast("int"))
+    chunks, salts = F.ceil((F.col("n_all") - F.col("n_main")) / OUTSIDE), F.ceil(F.col("n_all") / STREAM)
+    rows = mixed.withColumns({"chunks": chunks, "salts": salts, "h": F.xxhash64("doc")})
+    held = rows.where("component <> main").withColumns({"chunk": F.pmod("h", "chunks").cast("int"), "salt": F.explode(spread(F.col("salts"))), "side": F.lit(0)})
+    passing = rows.withColumns({"salt": F.pmod(F.shiftright("h", 20), "salts").cast("int"), "chunk": F.explode(spread(F.col("chunks"))), "side": F.lit(1)})
+    columns = ["bucket", "chunk", "salt", "side", "band", "doc", "hub", "component", "main", "n_shingles", "regs"]
+    both = held.select(*columns).unionByName(passing.select(*columns)).repartition("bucket", "chunk", "salt").sortWithinPartitions("bucket", "chunk", "salt", "side", "doc")
+
+    def compare(outside: list[dict], o: np.ndarray, on: np.ndarray, batch: list[dict]) -> Iterator[tuple]:
+        v = np.frombuffer(b"".join(x["regs"] for x in batch), "<u2").reshape(-1, M)
+        vn = np.array([x["n_shingles"] for x in batch], float)
+        equal = np.stack([(o == row).sum(1) for row in v])
+        near = (equal >= (least - 0.03) * M) & (100 * np.minimum(vn[:, None], on) >= threshold * np.maximum(vn[:, None], on))
+        i, j = np.nonzero(near)
+        if not len(i):
+            return
+        likely = likely_similarity(v[i], o[j], vn[i], on[j]) >= least
+        for i, j in zip(i[likely].tolist(), j[likely].tolist(), strict=True):
+            y, x = batch[i], outside[j]
+            if x["component"] == y["component"] or not (y["component"] == y["main"] or x["doc"] < y["doc"]) or x["hub"] in (x["doc"], y["doc"]):
+                continue  # connected already, seen from the other side, or met as hub before
+            if int((o[j] == v[i]).reshape(BANDS, ROWS).all(1).argmax()) == x["band"]:
+                yield min(x["doc"], y["doc"]), max(x["doc"], y["doc"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, outside, o, on = None, [], None, None
+        for batch in batches:
+            for at_row in range(0, batch.num_rows, 512):
+                found, waiting = [], []
+                for x in batch.slice(at_row, 512).to_pylist():
+                    if (now := (x["bucket"], x["chunk"], x["salt"])) != key:
+                        if waiting:
+                            found += compare(outside, o, on, waiting)
+                        key, outside, o, waiting = now, [], None, []
+                    if x["side"] == 0:
+                        outside.append(x)
+                    elif outside:
+                        if o is None:
+                            o = np.frombuffer(b"".join(y["regs"] for y in outside), "<u2").reshape(-1, M)
+                            on = np.array([y["n_shingles"] for y in outside], float)
+                        waiting.append(x)
+                if waiting:
+                    found += compare(outside, o, on, waiting)
+                if found:
+                    kind = batch.schema.field("doc").type
+                    yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k in (0, 1)], names=["a", "b"])
+
+    kind = dict(both.dtypes)["doc"]
+    return both.mapInArrow(run, f"a {kind}, b {kind}")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     side = lambda x: texts.select(F.col("doc").alias(x), F.col("text").alias(f"t{x}"))
@@ -152,7 +219,7 @@ def near_groups(docs: DataFrame, *, words: int = 5, threshold: int = 80, id_col:
 
     size = 2 * ROWS
     keys = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(regs, i * {size} + 1, {size})))")
-    banded = classes.select("doc", F.explode(keys).alias("bucket"))
+    banded = classes.select("doc", F.posexplode(keys).alias("band", "bucket"))
     hubs = banded.groupBy("bucket").agg(F.min("doc").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = stored(banded.join(hubs, "bucket"), "buckets")
     pairs = members.where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
@@ -160,14 +227,12 @@ def near_groups(docs: DataFrame, *, words: int = 5, threshold: int = 80, id_col:
     labels = connected_components(edges)
 
     # Buckets that hold several components: what lies outside the largest meets the rest.
-    placed = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "hub", "doc", F.coalesce("component", "doc").alias("component"))
+    placed = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "band", "hub", "doc", F.coalesce("component", "doc").alias("component"))
     parts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = parts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    mixed = stored(placed.join(mixed, "bucket"), "mixed")
-    outside = mixed.where("component <> main").select("bucket", F.col("doc").alias("x"), F.col("component").alias("cx"))
-    across = outside.join(mixed, "bucket").where("component <> cx and (component = main or x < doc) and hub <> x and hub <> doc")
-    more = across.select(F.least("x", "doc").alias("a"), F.greatest("x", "doc").alias("b")).distinct()
-    late = stored(_verified(_likely(more, classes, threshold), texts, words, threshold), "links")
+    mixed = parts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n_all"), F.max("n").alias("n_main"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    mixed = placed.join(mixed, "bucket").join(classes.select("doc", "n_shingles", "regs"), "doc")
+    more = _across(mixed, threshold)
+    late = stored(_verified(more, texts, words, threshold), "links")
     if late.limit(1).count():
         labels = connected_components(edges.unionByName(late))
 
