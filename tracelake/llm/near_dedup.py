@@ -10,13 +10,15 @@ registers merge by maximum, and equal registers grow likelier with the overlap).
 2. Classes that agree on all registers of a band share a bucket. With BANDS
    bands of ROWS registers, a pair at similarity 0.8 misses all of them with
    probability 5e-9, at 0.85 with 6e-13.
-3. In a bucket each class meets the bucket's smallest (its hub), not every other.
-   Pairs whose joint likelihood puts the similarity SLACK standard errors or more
-   under the threshold go; the rest are verified on the full sets.
-4. Verified pairs join components. In buckets that still hold several components,
-   the classes outside the largest are compared with those of other components,
-   as arrays of registers; only likely pairs become rows and are verified. Pairs
-   within one component need no look: they are connected already.
+3. Each class meets the smallest class that it shares a bucket with, not every
+   other. Pairs whose joint likelihood puts the similarity SLACK standard errors
+   or more under the threshold go; the rest are verified on the full sets.
+   Verified pairs join components.
+4. Pairs within one component need no look: they are connected already. In
+   buckets that hold several components, the classes outside the largest meet its
+   smallest class in the same way. In those that still do, they are compared with
+   those of other components, as arrays of registers; only likely pairs become
+   rows and are verified.
 
 Defined cases: texts without words have an empty set and link with nothing;
 texts with fewer words than a shingle have their whole sequence as one; null
@@ -157,7 +159,7 @@ def _across(mixed: DataFrame, threshold: int) -> DataFrame:
         for i, j in zip(i[likely].tolist(), j[likely].tolist(), strict=True):
             y, x = batch[i], outside[j]
             if x["component"] == y["component"] or not (y["component"] == y["main"] or x["doc"] < y["doc"]) or x["hub"] in (x["doc"], y["doc"]):
-                continue  # connected already, seen from the other side, or met as hub before
+                continue  # connected already, seen from the other side, or met before
             if int((o[j] == v[i]).reshape(BANDS, ROWS).all(1).argmax()) == x["band"]:
                 yield min(x["doc"], y["doc"]), max(x["doc"], y["doc"])
 
@@ -210,6 +212,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> Dat
     return both.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components, with component, and of the bucket's largest component its label (main), smallest class (lead) and size.
+
+    The buckets are written before they meet their members, so that Spark can
+    split a bucket that holds very many of them.
+    """
+    placed = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select(*members.columns, F.coalesce("component", "doc").alias("component"))
+    parts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("lead"))
+    largest = F.max(F.struct("n", "component", "lead")).alias("top")
+    buckets = parts.groupBy("bucket").agg(largest, F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    buckets = stored(buckets.select("bucket", F.col("top.component").alias("main"), F.col("top.lead").alias("lead"), F.col("top.n").alias("n_main"), "n_all"), "components")
+    return placed.join(buckets, "bucket")
+
+
 def near_groups(docs: DataFrame, *, words: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, n_shingles, component_id) for every row; threshold in hundredths of intersection over union."""
     rows = stored(set_sketches(docs, words, id_col=id_col, text_col=text_col), "sketches")
@@ -221,20 +237,26 @@ def near_groups(docs: DataFrame, *, words: int = 5, threshold: int = 80, id_col:
     keys = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(regs, i * {size} + 1, {size})))")
     banded = classes.select("doc", F.posexplode(keys).alias("band", "bucket"))
     hubs = banded.groupBy("bucket").agg(F.min("doc").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = stored(banded.join(hubs, "bucket"), "buckets")
-    pairs = members.where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct()
-    edges = stored(_verified(_likely(pairs, classes, threshold), texts, words, threshold), "links")
+    members = stored(banded.join(stored(hubs, "hubs"), "bucket"), "buckets")
+    linked = lambda pairs: stored(_verified(pairs, texts, words, threshold), "links")
+
+    first = members.where("doc <> hub").groupBy(F.col("doc").alias("b")).agg(F.min("hub").alias("a")).select("a", "b")
+    edges = linked(_likely(first, classes, threshold))
     labels = connected_components(edges)
 
-    # Buckets that hold several components: what lies outside the largest meets the rest.
-    placed = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "band", "hub", "doc", F.coalesce("component", "doc").alias("component"))
-    parts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = parts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n_all"), F.max("n").alias("n_main"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    mixed = placed.join(mixed, "bucket").join(classes.select("doc", "n_shingles", "regs"), "doc")
-    more = _across(mixed, threshold)
-    late = stored(_verified(more, texts, words, threshold), "links")
-    if late.limit(1).count():
-        labels = connected_components(edges.unionByName(late))
+    # Buckets that hold several components: what lies outside the largest meets its smallest class.
+    mixed = stored(_mixed(members.drop("hub"), labels), "mixed")
+    second = mixed.where("component <> main").select(F.least("lead", "doc").alias("a"), F.greatest("lead", "doc").alias("b")).distinct()
+    found = linked(_likely(second, classes, threshold))
+    if found.limit(1).count():
+        edges = edges.unionByName(found)
+        labels = connected_components(edges)
+
+    # Buckets that still hold several: what lies outside the largest meets the rest.
+    rest = _mixed(mixed.select("bucket", "band", "doc", F.col("lead").alias("hub")), labels)
+    found = linked(_across(rest.join(classes.select("doc", "n_shingles", "regs"), "doc"), threshold))
+    if found.limit(1).count():
+        labels = connected_components(edges.unionByName(found))
 
     of_class = classes.select("digest", F.col("doc").alias("_class"))
     out = rows.join(of_class, "digest", "left").join(labels.withColumnRenamed("node", "_class"), "_class", "left")
