@@ -17,8 +17,8 @@ registers merge by maximum, and equal registers grow likelier with the overlap).
 4. Pairs within one component need no look: they are connected already. In
    buckets that hold several components, the classes outside the largest meet its
    smallest class in the same way. In those that still do, they are compared with
-   those of other components, as arrays of registers; only likely pairs become
-   rows and are verified.
+   those of other components, as arrays of registers and then by their short sets;
+   only close pairs become rows and are verified.
 
 Defined cases: texts without words have an empty set and link with nothing;
 texts with fewer words than a shingle have their whole sequence as one; null
@@ -129,13 +129,32 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
 OUTSIDE, STREAM = 256, 8192
 
 
+def _short_sets(texts: DataFrame, k: int) -> DataFrame:
+    """(doc, elements): the sets' digests cut to 32 bits, of (doc, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), k).astype("<u4").tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc", "elements"])
+
+    return texts.select("doc", "text").mapInArrow(run, f"doc {dict(texts.dtypes)['doc']}, elements binary")
+
+
+def _close(a: bytes, b: bytes, threshold: int) -> bool:
+    """Whether short sets reach the threshold; the 2 makes up for digests that are equal when cut."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    common = len(np.intersect1d(x, y, assume_unique=True)) + 2
+    return 100 * common >= threshold * (len(x) + len(y) - common)
+
+
 def _across(mixed: DataFrame, threshold: int) -> DataFrame:
-    """Likely pairs (a, b) of different components in a bucket, each pair once: in the first band that it shares.
+    """Close pairs (a, b) of different components in a bucket, each pair once: in the first band that it shares.
 
     In each bucket the classes outside its largest component are held in chunks
     of OUTSIDE and all classes stream past them; a large bucket is dealt out to
-    several tasks by chunk and by hash. Pairs are compared as arrays; only those
-    that the registers leave likely become rows.
+    several tasks by chunk and by hash. Pairs are compared as arrays of registers,
+    those that they leave likely by their short sets; only the close become rows,
+    so a large group just under the threshold sends no texts around.
     """
     at = threshold / 100
     least = at - SLACK * np.sqrt(at * (1 - at) / M)
@@ -144,7 +163,7 @@ def _across(mixed: DataFrame, threshold: int) -> DataFrame:
     rows = mixed.withColumns({"chunks": chunks, "salts": salts, "h": F.xxhash64("doc")})
     held = rows.where("component <> main").withColumns({"chunk": F.pmod("h", "chunks").cast("int"), "salt": F.explode(spread(F.col("salts"))), "side": F.lit(0)})
     passing = rows.withColumns({"salt": F.pmod(F.shiftright("h", 20), "salts").cast("int"), "chunk": F.explode(spread(F.col("chunks"))), "side": F.lit(1)})
-    columns = ["bucket", "chunk", "salt", "side", "band", "doc", "hub", "component", "main", "n_shingles", "regs"]
+    columns = ["bucket", "chunk", "salt", "side", "band", "doc", "component", "main", "n_shingles", "regs", "elements"]
     both = held.select(*columns).unionByName(passing.select(*columns)).repartition("bucket", "chunk", "salt").sortWithinPartitions("bucket", "chunk", "salt", "side", "doc")
 
     def compare(outside: list[dict], o: np.ndarray, on: np.ndarray, batch: list[dict]) -> Iterator[tuple]:
@@ -158,9 +177,9 @@ def _across(mixed: DataFrame, threshold: int) -> DataFrame:
         likely = likely_similarity(v[i], o[j], vn[i], on[j]) >= least
         for i, j in zip(i[likely].tolist(), j[likely].tolist(), strict=True):
             y, x = batch[i], outside[j]
-            if x["component"] == y["component"] or not (y["component"] == y["main"] or x["doc"] < y["doc"]) or x["hub"] in (x["doc"], y["doc"]):
-                continue  # connected already, seen from the other side, or met before
-            if int((o[j] == v[i]).reshape(BANDS, ROWS).all(1).argmax()) == x["band"]:
+            if x["component"] == y["component"] or not (y["component"] == y["main"] or x["doc"] < y["doc"]):
+                continue  # connected already, or seen from the other side
+            if int((o[j] == v[i]).reshape(BANDS, ROWS).all(1).argmax()) == x["band"] and _close(x["elements"], y["elements"], threshold):
                 yield min(x["doc"], y["doc"]), max(x["doc"], y["doc"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,8 +231,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> Dat
     return both.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members of buckets that hold several components, with component, and of the bucket's largest component its label (main), smallest class (lead) and size.
+def _mixed(members: DataFrame, labels: DataFrame, least: int = 2) -> DataFrame:
+    """The members of buckets of at least ``least`` that hold several components, with component, and of the bucket's largest component its label (main), smallest class (lead) and size.
 
     The buckets are written before they meet their members, so that Spark can
     split a bucket that holds very many of them.
@@ -221,7 +240,7 @@ def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     placed = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select(*members.columns, F.coalesce("component", "doc").alias("component"))
     parts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("lead"))
     largest = F.max(F.struct("n", "component", "lead")).alias("top")
-    buckets = parts.groupBy("bucket").agg(largest, F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    buckets = parts.groupBy("bucket").agg(largest, F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("k")).where(f"k > 1 and n_all >= {least}")
     buckets = stored(buckets.select("bucket", F.col("top.component").alias("main"), F.col("top.lead").alias("lead"), F.col("top.n").alias("n_main"), "n_all"), "components")
     return placed.join(buckets, "bucket")
 
@@ -252,9 +271,10 @@ def near_groups(docs: DataFrame, *, words: int = 5, threshold: int = 80, id_col:
         edges = edges.unionByName(found)
         labels = connected_components(edges)
 
-    # Buckets that still hold several: what lies outside the largest meets the rest.
-    rest = _mixed(mixed.select("bucket", "band", "doc", F.col("lead").alias("hub")), labels)
-    found = linked(_across(rest.join(classes.select("doc", "n_shingles", "regs"), "doc"), threshold))
+    # Buckets that still hold several: what lies outside the largest meets the rest. The smallest class has met all by now.
+    rest = stored(_mixed(mixed.select("bucket", "band", "doc", F.col("lead").alias("met")), labels, least=3).where("doc <> met"), "rest")
+    sets = stored(_short_sets(texts.join(rest.select("doc").distinct(), "doc", "left_semi"), words), "sets")
+    found = linked(_across(rest.join(classes.select("doc", "n_shingles", "regs"), "doc").join(sets.dropDuplicates(["doc"]), "doc"), threshold))
     if found.limit(1).count():
         labels = connected_components(edges.unionByName(found))
 
