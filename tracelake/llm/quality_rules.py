@@ -180,5 +180,6 @@ def quality_rules(docs: DataFrame, *, keys: tuple[str, ...] = ("lang", "source")
     """
     features = text_features(docs.select(*keys, text_col), text_col=text_col).drop(text_col)
     fences = stored(thresholds(features, list(keys)), "fences")
-    own = docs.columns
-    return judge(text_features(docs, text_col=text_col), fences, list(keys)).where("kept").select(*own)
+    # The row travels as one column, so that no name of its own meets one of the rules'.
+    rows = docs.select(F.struct("*").alias("_row"), *keys, text_col)
+    return judge(text_features(rows, text_col=text_col), fences, list(keys)).where("kept").select("_row.*")
