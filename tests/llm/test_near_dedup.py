@@ -101,6 +101,24 @@ def test_registers_merge_and_estimate():
         assert abs(got - true) < 4 * (true * (1 - true) / nd.M) ** 0.5 + 0.011
 
 
+def test_bounds_keep_every_link():
+    draw = np.random.default_rng(8)
+    for n in (20, 150, 192, 400, 3000):
+        for _ in range(40):
+            fresh = lambda k: draw.integers(0, 2**63, k, dtype=np.uint64)
+            k = int(n * 0.08)
+            common = fresh(n - k)
+            a, b = np.unique(np.concatenate([common, fresh(k)])), np.unique(np.concatenate([common, fresh(k)]))
+            low = lambda s: np.unique(s.astype("<u4"))[: nd.LOW].tobytes()
+            true = (n - k) / (n + k)
+            least = int(100 * true)
+            assert nd._close(low(a), low(b), len(a), len(b), least)
+            assert not nd._close(low(a), low(fresh(n)), len(a), n, least)
+            u, v, sizes = nd.registers(a)[None], nd.registers(b)[None], (np.array([float(len(a))]), np.array([float(len(b))]))
+            at = nd.likely_similarity(u, v, *sizes)[0]
+            assert nd.reaches(u, v, *sizes, at - 0.01)[0] and not nd.reaches(u, v, *sizes, at + 0.01)[0]
+
+
 def test_components(spark):
     draw = random.Random(1)
     edges = [(a, a + 1) for a in range(100, 160)] + [(500, x) for x in range(501, 560)] + [(draw.randrange(1000, 1100), draw.randrange(1000, 1100)) for _ in range(60)] + [(7, 7)]

@@ -17,8 +17,8 @@ registers merge by maximum, and equal registers grow likelier with the overlap).
 4. Pairs within one component need no look: they are connected already. In
    buckets that hold several components, the classes outside the largest meet its
    smallest class in the same way. In those that still do, they are compared with
-   those of other components, as arrays of registers and then by their short sets;
-   only close pairs become rows and are verified.
+   those of other components, as arrays of registers and then by their LOW smallest
+   digests; only close pairs become rows and are verified.
 
 Defined cases: texts without words have an empty set and link with nothing;
 texts with fewer words than a shingle have their whole sequence as one; null
@@ -46,6 +46,8 @@ M = BANDS * ROWS
 B, RATE, LARGEST = 1.001, 20.0, 65535
 #: Standard errors under the threshold from which a pair is ruled out by its registers (one in 3 million at the threshold).
 SLACK = 5
+#: Smallest digests of a set that travel with it, in a row of bounded size.
+LOW = 192
 _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _draws = np.random.default_rng(20240131)
 _MULTIPLY = _draws.integers(0, 2**31, M, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -88,21 +90,40 @@ def likely_similarity(u: np.ndarray, v: np.ndarray, nu: np.ndarray, nv: np.ndarr
     return np.take_along_axis(j, log_likelihood.argmax(1)[:, None], 1)[:, 0]
 
 
+def reaches(u: np.ndarray, v: np.ndarray, nu: np.ndarray, nv: np.ndarray, least: float) -> np.ndarray:
+    """Whether the maximum-likelihood similarity of pairs is ``least`` or more.
+
+    The log-likelihood has one peak, so it lies above ``least`` where the
+    likelihood still rises there.
+    """
+    more, less = (u > v).sum(1), (u < v).sum(1)
+    a, b = nu / (nu + nv), nv / (nu + nv)
+    prob = lambda x: np.clip(-np.log1p(-np.clip(x, 0, 1) * (B - 1) / B) / np.log(B), 1e-12, 1)
+
+    def log_likelihood(j: float) -> np.ndarray:
+        p, q = prob(a - b * j), prob(b - a * j)
+        return more * np.log(p) + less * np.log(q) + (u.shape[1] - more - less) * np.log(np.clip(1 - p - q, 1e-12, 1))
+
+    return log_likelihood(least + 0.001) >= log_likelihood(least - 0.001)
+
+
 def set_sketches(docs: DataFrame, k: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, n_shingles, digest, regs) for every row."""
+    """(doc, n_shingles, digest, regs, low) for every row; low: the LOW smallest digests, cut to 32 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, digest, regs = [], [], []
+            n, digest, regs, low = [], [], [], []
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), k)
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 regs.append(registers(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary())], names=["doc", "n_shingles", "digest", "regs"])
+                low.append(np.unique(s.astype("<u4"))[:LOW].tobytes())
+            columns = [batch.column(0), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (digest, regs, low))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "n_shingles", "digest", "regs", "low"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, f"doc {kind}, n_shingles bigint, digest binary, regs binary")
+    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, f"doc {kind}, n_shingles bigint, digest binary, regs binary, low binary")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
@@ -118,7 +139,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
                 part = batch.slice(at_row, 1000)
                 u, v = (np.frombuffer(b"".join(part.column(c).to_pylist()), "<u2").reshape(-1, M) for c in ("ra", "rb"))
                 nu, nv = (part.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("na", "nb"))
-                keep = pa.array(likely_similarity(u, v, nu, nv) >= least)
+                keep = pa.array(reaches(u, v, nu, nv, least))
                 yield part.select(["a", "b"]).filter(keep)
 
     kind = dict(both.dtypes)["a"]
@@ -129,22 +150,22 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
 OUTSIDE, STREAM = 256, 8192
 
 
-def _short_sets(texts: DataFrame, k: int) -> DataFrame:
-    """(doc, elements): the sets' digests cut to 32 bits, of (doc, text)."""
+def _close(a: bytes, b: bytes, na: int, nb: int, threshold: int) -> bool:
+    """Whether the LOW smallest digests of two sets leave the threshold possible.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t.as_py(), k).astype("<u4").tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc", "elements"])
-
-    return texts.select("doc", "text").mapInArrow(run, f"doc {dict(texts.dtypes)['doc']}, elements binary")
-
-
-def _close(a: bytes, b: bytes, threshold: int) -> bool:
-    """Whether short sets reach the threshold; the 2 makes up for digests that are equal when cut."""
+    Sets of no more than LOW are there as a whole; for others the bound lies
+    SLACK standard errors of the estimate under the threshold. The 2 makes up for
+    digests that are equal when cut.
+    """
     x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    common = len(np.intersect1d(x, y, assume_unique=True)) + 2
-    return 100 * common >= threshold * (len(x) + len(y) - common)
+    both, either = np.intersect1d(x, y, assume_unique=True), np.union1d(x, y)
+    at, slack = threshold / 100, 0.0
+    if max(na, nb) > LOW:
+        either = either[:LOW]
+        both = both[: np.searchsorted(both, either[-1], "right")]
+        size = (na + nb) / (1 + at)
+        slack = SLACK * np.sqrt(at * (1 - at) / len(either) * max(0.0, 1 - len(either) / size))
+    return (len(both) + 2) / max(1, len(either) - 2) >= at - slack
 
 
 def _across(mixed: DataFrame, threshold: int) -> DataFrame:
@@ -153,8 +174,8 @@ def _across(mixed: DataFrame, threshold: int) -> DataFrame:
     In each bucket the classes outside its largest component are held in chunks
     of OUTSIDE and all classes stream past them; a large bucket is dealt out to
     several tasks by chunk and by hash. Pairs are compared as arrays of registers,
-    those that they leave likely by their short sets; only the close become rows,
-    so a large group just under the threshold sends no texts around.
+    those that they leave likely by their smallest digests; only the close become
+    rows, so a large group just under the threshold sends no texts around.
     """
     at = threshold / 100
     least = at - SLACK * np.sqrt(at * (1 - at) / M)
@@ -163,44 +184,47 @@ def _across(mixed: DataFrame, threshold: int) -> DataFrame:
     rows = mixed.withColumns({"chunks": chunks, "salts": salts, "h": F.xxhash64("doc")})
     held = rows.where("component <> main").withColumns({"chunk": F.pmod("h", "chunks").cast("int"), "salt": F.explode(spread(F.col("salts"))), "side": F.lit(0)})
     passing = rows.withColumns({"salt": F.pmod(F.shiftright("h", 20), "salts").cast("int"), "chunk": F.explode(spread(F.col("chunks"))), "side": F.lit(1)})
-    columns = ["bucket", "chunk", "salt", "side", "band", "doc", "component", "main", "n_shingles", "regs", "elements"]
+    columns = ["bucket", "chunk", "salt", "side", "band", "doc", "component", "main", "n_shingles", "regs", "low"]
     both = held.select(*columns).unionByName(passing.select(*columns)).repartition("bucket", "chunk", "salt").sortWithinPartitions("bucket", "chunk", "salt", "side", "doc")
 
-    def compare(outside: list[dict], o: np.ndarray, on: np.ndarray, batch: list[dict]) -> Iterator[tuple]:
+    def compare(outside: list[dict], o: np.ndarray, batch: list[dict]) -> Iterator[tuple]:
         v = np.frombuffer(b"".join(x["regs"] for x in batch), "<u2").reshape(-1, M)
-        vn = np.array([x["n_shingles"] for x in batch], float)
-        equal = np.stack([(o == row).sum(1) for row in v])
-        near = (equal >= (least - 0.03) * M) & (100 * np.minimum(vn[:, None], on) >= threshold * np.maximum(vn[:, None], on))
+        column = lambda rows, name: np.array([x[name] for x in rows])
+        vn, on, vd, od, vc, oc = (column(rows, name) for name in ("n_shingles", "doc", "component") for rows in (batch, outside))
+        # Not connected already, and seen from one side only.
+        near = (vc[:, None] != oc) & ((vc == batch[0]["main"])[:, None] | (od < vd[:, None]))
+        near &= 100 * np.minimum(vn[:, None], on) >= threshold * np.maximum(vn[:, None], on)
+        near &= np.stack([(o == row).sum(1) for row in v]) >= (least - 0.03) * M
         i, j = np.nonzero(near)
         if not len(i):
             return
-        likely = likely_similarity(v[i], o[j], vn[i], on[j]) >= least
+        # Each pair once: in the first band that it shares.
+        here = (o[j] == v[i]).reshape(-1, BANDS, ROWS).all(2).argmax(1) == batch[0]["band"]
+        i, j = i[here], j[here]
+        likely = reaches(v[i], o[j], vn[i].astype(float), on[j].astype(float), least)
         for i, j in zip(i[likely].tolist(), j[likely].tolist(), strict=True):
             y, x = batch[i], outside[j]
-            if x["component"] == y["component"] or not (y["component"] == y["main"] or x["doc"] < y["doc"]):
-                continue  # connected already, or seen from the other side
-            if int((o[j] == v[i]).reshape(BANDS, ROWS).all(1).argmax()) == x["band"] and _close(x["elements"], y["elements"], threshold):
+            if _close(x["low"], y["low"], x["n_shingles"], y["n_shingles"], threshold):
                 yield min(x["doc"], y["doc"]), max(x["doc"], y["doc"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, outside, o, on = None, [], None, None
+        key, outside, o = None, [], None
         for batch in batches:
             for at_row in range(0, batch.num_rows, 512):
                 found, waiting = [], []
                 for x in batch.slice(at_row, 512).to_pylist():
                     if (now := (x["bucket"], x["chunk"], x["salt"])) != key:
                         if waiting:
-                            found += compare(outside, o, on, waiting)
+                            found += compare(outside, o, waiting)
                         key, outside, o, waiting = now, [], None, []
                     if x["side"] == 0:
                         outside.append(x)
                     elif outside:
                         if o is None:
                             o = np.frombuffer(b"".join(y["regs"] for y in outside), "<u2").reshape(-1, M)
-                            on = np.array([y["n_shingles"] for y in outside], float)
                         waiting.append(x)
                 if waiting:
-                    found += compare(outside, o, on, waiting)
+                    found += compare(outside, o, waiting)
                 if found:
                     kind = batch.schema.field("doc").type
                     yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k in (0, 1)], names=["a", "b"])
@@ -249,7 +273,7 @@ def near_groups(docs: DataFrame, *, words: int = 5, threshold: int = 80, id_col:
     """(doc, n_shingles, component_id) for every row; threshold in hundredths of intersection over union."""
     rows = stored(set_sketches(docs, words, id_col=id_col, text_col=text_col), "sketches")
     some = rows.where("doc is not null and n_shingles > 0")
-    classes = stored(some.groupBy("digest", "n_shingles", "regs").agg(F.min("doc").alias("doc")), "classes")
+    classes = stored(some.groupBy("digest", "n_shingles", "regs", "low").agg(F.min("doc").alias("doc")), "classes")
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
 
     size = 2 * ROWS
@@ -273,8 +297,7 @@ def near_groups(docs: DataFrame, *, words: int = 5, threshold: int = 80, id_col:
 
     # Buckets that still hold several: what lies outside the largest meets the rest. The smallest class has met all by now.
     rest = stored(_mixed(mixed.select("bucket", "band", "doc", F.col("lead").alias("met")), labels, least=3).where("doc <> met"), "rest")
-    sets = stored(_short_sets(texts.join(rest.select("doc").distinct(), "doc", "left_semi"), words), "sets")
-    found = linked(_across(rest.join(classes.select("doc", "n_shingles", "regs"), "doc").join(sets.dropDuplicates(["doc"]), "doc"), threshold))
+    found = linked(_across(rest.join(classes.select("doc", "n_shingles", "regs", "low"), "doc"), threshold))
     if found.limit(1).count():
         labels = connected_components(edges.unionByName(found))
 
