@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,7 +27,8 @@ _WHITE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000,
 _PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 #: Stretches at whose borders the word pattern always cuts.
 _STRETCHES = regex.compile(rf" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
-CACHE_ENTRIES = 300_000
+#: Of each of the cache's two generations.
+CACHE_ENTRIES = 200_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -49,49 +51,66 @@ class BytePairCoder:
         for c, b in alphabet.items():
             self.byte_id[b] = vocab[c]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
-        #: (left id, right id) -> (rank, merged id)
-        self.merge = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        #: left id and right id, as one number -> rank; rank -> merged id
+        self._rank = {vocab[a] << 32 | vocab[b]: rank for rank, (a, b) in enumerate(pairs)}
+        self._merged = [vocab[a + b] for a, b in pairs]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.strings |= {i: s.encode() for s, i in self.special.items()}
         self._special = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self._cache: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+
+    @property
+    def merge(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """(left id, right id) -> (rank, merged id)."""
+        return {(k >> 32, k & 0xFFFFFFFF): (r, self._merged[r]) for k, r in self._rank.items()}
 
     def merge_piece(self, piece: bytes) -> list[int]:
         """Ids of one piece: the lowest rank merges first, at equal ranks the leftmost."""
         ids = [self.byte_id[b] for b in piece]
-        n, merge = len(ids), self.merge
+        n, rank_of = len(ids), self._rank
         if n < 2:
             return ids
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        queue = []
-        for i in range(n - 1):
-            if (found := merge.get((ids[i], ids[i + 1]))) is not None:
-                queue.append((found[0], i, found[1], ids[i], ids[i + 1]))
+        # An entry is rank * n + place: one number, so that the queue compares no tuples.
+        queue = [r * n + i for i in range(n - 1) if (r := rank_of.get(ids[i] << 32 | ids[i + 1])) is not None]
         heapq.heapify(queue)
         while queue:
-            _, i, new, a, b = heapq.heappop(queue)
+            rank, i = divmod(heapq.heappop(queue), n)
             j = right[i]
-            if ids[i] != a or j >= n or ids[j] != b:  # stale: one of the two has merged since
+            if ids[i] < 0 or j >= n or rank_of.get(ids[i] << 32 | ids[j]) != rank:  # stale: one of the two has merged since
                 continue
-            ids[i], ids[j] = new, -1
+            new = ids[i] = self._merged[rank]
+            ids[j] = -1
             k = right[i] = right[j]
             if k < n:
                 left[k] = i
-                if (found := merge.get((new, ids[k]))) is not None:
-                    heapq.heappush(queue, (found[0], i, found[1], new, ids[k]))
+                if (r := rank_of.get(new << 32 | ids[k])) is not None:
+                    heapq.heappush(queue, r * n + i)
             h = left[i]
-            if h >= 0 and (found := merge.get((ids[h], new))) is not None:
-                heapq.heappush(queue, (found[0], h, found[1], ids[h], new))
+            if h >= 0 and (r := rank_of.get(ids[h] << 32 | new)) is not None:
+                heapq.heappush(queue, r * n + h)
         return [x for x in ids if x >= 0]
 
-    def _stretch(self, stretch: str) -> bytes:
-        ids = [i for piece in _PIECES.findall(stretch) for i in self.merge_piece(piece.encode("utf-8", "replace"))]
-        out = b"".join(i.to_bytes(4, "little") for i in ids)
-        if len(stretch) <= 64:
+    def _keep(self, key: str, ids: bytes) -> bytes:
+        """Entries live in two generations: when the young one is full, it takes the old one's place."""
+        if len(key) <= 64:
             if len(self._cache) >= CACHE_ENTRIES:
-                self._cache.clear()
-            self._cache[stretch] = out
-        return out
+                self._old, self._cache = self._cache, {}
+            self._cache[key] = ids
+        return ids
+
+    def _piece(self, piece: str) -> bytes:
+        if found := self._cache.get(piece) or self._old.get(piece):
+            return found
+        ids = self.merge_piece(piece.encode("utf-8", "replace"))
+        return self._keep(piece, struct.pack(f"<{len(ids)}I", *ids))
+
+    def _stretch(self, stretch: str) -> bytes:
+        if found := self._old.get(stretch):
+            return self._keep(stretch, found)
+        pieces = _PIECES.findall(stretch)
+        return self._piece(stretch) if len(pieces) == 1 else self._keep(stretch, b"".join(map(self._piece, pieces)))
 
     def _plain(self, text: str) -> bytes:
         cache, miss = self._cache, self._stretch
