@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import ascii_lower, let, shuffle_parts, strip_space
+from tracelake.llm.common import ascii_lower, let, shuffle_parts, stored, strip_space
 
 
 def lines_of(text: Column) -> Column:
@@ -47,8 +47,9 @@ def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     # A digest repeated in one document is counted once: the pair is combined before the digest is.
     pairs = occurrences.select("digest", "doc").distinct()
     first = pairs.groupBy("digest").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("first_doc")).where(F.col("n_docs") >= min_docs).drop("n_docs")
+    # Written, so that Spark can broadcast them by their size or split the occurrences of one digest.
     ordered = (
-        occurrences.join(first, "digest")
+        occurrences.join(stored(first, "digests"), "digest")
         .repartitionByRange(shuffle_parts(spark), F.col("digest"), F.col("doc").desc(), F.col("pos"))
         .sortWithinPartitions(F.col("digest"), F.col("doc").desc(), F.col("pos"))
     )
