@@ -102,7 +102,8 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[Rule], *, id_col
     rows = rows.withColumn("_key", F.array_join("_tokens", " "))
     mined = mine_rules(rows.select(F.col(id_col).alias("page"), F.col("_tokens").alias("tokens")), labels, **mining)
     sets = rows.select(F.col("_key").alias("key"), F.col("_tokens").alias("tokens")).distinct()
-    hits = match_rules(sets, mined).select(F.col("key").alias("_hit"), F.col("rule_id").alias("mined_rule"))
+    # Written, so that Spark can broadcast the hits by their size or split the pages of one token set.
+    hits = stored(match_rules(sets, mined).select(F.col("key").alias("_hit"), F.col("rule_id").alias("mined_rule")), "hits")
     rows = rows.join(hits, rows["_key"] == hits["_hit"], "left").withColumn("_fixed", longest_rule(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(F.col("_fixed.verdict"), F.when(F.col("mined_rule").isNotNull(), F.lit("block")).otherwise("allow"))
     return rows.select(id_col, "host", "path", F.col("_fixed.rule").alias("rule"), verdict.alias("verdict"), "mined_rule")
