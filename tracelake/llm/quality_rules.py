@@ -162,7 +162,9 @@ def judge(rows: DataFrame, fences: DataFrame, keys: list[str]) -> DataFrame:
     above = F.lit(False)
     for m, value in measures().items():
         above = above | F.coalesce(value > F.col(f"fence_{m}"), F.lit(False))
-    return joined.withColumn("kept", ~F.col("base_failed") & ~above).drop(*names, *[f"fence_{m}" for m in MEASURES])
+    # One predicate of both sides: a part that needs the left side only would be pushed below the join and count the words twice.
+    kept = F.greatest(F.col("base_failed").cast("int"), above.cast("int")) == 0
+    return joined.withColumn("kept", kept).drop(*names, *[f"fence_{m}" for m in MEASURES])
 
 
 def quality_features(docs: DataFrame, *, keys: tuple[str, ...] = ("lang", "source"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
