@@ -28,7 +28,9 @@ _PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_W
 #: Stretches at whose borders the word pattern always cuts.
 _STRETCHES = regex.compile(rf" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 #: Of each of the cache's two generations.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 100_000
+#: Rows of a batch that are worked on at once.
+ROWS = 500
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -143,6 +145,12 @@ def coder(path: str) -> BytePairCoder:
     return _coders[path]
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def encode_frame(docs: DataFrame, path: str, *, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with ``ids_col`` (binary, little-endian unsigned 32-bit ids) in place of an equal name."""
     kept = [c for c in docs.columns if c != ids_col]
@@ -150,7 +158,7 @@ def encode_frame(docs: DataFrame, path: str, *, text_col: str = "text", ids_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = coder(path).encode
-        for batch in batches:
+        for batch in _parts(batches):
             ids = pa.array([encode(t.as_py()) for t in batch.column(text_col)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, ids_col])
 
@@ -164,7 +172,7 @@ def decode_frame(rows: DataFrame, path: str, *, ids_col: str = "ids", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = coder(path).decode
-        for batch in batches:
+        for batch in _parts(batches):
             text = pa.array([None if x.as_py() is None else decode(x.as_py()) for x in batch.column(ids_col)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, text], names=[*batch.schema.names, text_col])
 
