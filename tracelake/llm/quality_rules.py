@@ -176,12 +176,12 @@ def quality_features(docs: DataFrame, *, keys: tuple[str, ...] = ("lang", "sourc
 def quality_rules(docs: DataFrame, *, keys: tuple[str, ...] = ("lang", "source"), text_col: str = "text") -> DataFrame:
     """The documents that are kept, with the columns of ``docs``.
 
-    Features are counted twice, once for the sketches and once beside the text:
-    counting again is cheaper than shuffling texts to join verdicts by id, and
-    rows that repeat an id need no care.
+    Features are counted once and written beside their rows: the sketches then
+    read the counts alone, and no text is shuffled to meet its verdict. Rows that
+    repeat an id need no care.
     """
-    features = text_features(docs.select(*keys, text_col), text_col=text_col).drop(text_col)
-    fences = stored(thresholds(features, list(keys)), "fences")
     # The row travels as one column, so that no name of its own meets one of the rules'.
     rows = docs.select(F.struct("*").alias("_row"), *keys, text_col)
-    return judge(text_features(rows, text_col=text_col), fences, list(keys)).where("kept").select("_row.*")
+    features = stored(text_features(rows, text_col=text_col).drop(text_col), "quality")
+    fences = stored(thresholds(features, list(keys)), "fences")
+    return judge(features, fences, list(keys)).where("kept").select("_row.*")
