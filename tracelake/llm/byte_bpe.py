@@ -12,10 +12,11 @@ tokenizers library does by default. Extra columns are kept.
 
 from __future__ import annotations
 
-import heapq
 import json
 import struct
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from itertools import pairwise
 
 import pyarrow as pa
 import regex
@@ -70,28 +71,34 @@ class BytePairCoder:
     def merge_piece(self, piece: bytes) -> list[int]:
         """Ids of one piece: the lowest rank merges first, at equal ranks the leftmost."""
         ids = [self.byte_id[b] for b in piece]
-        n, rank_of = len(ids), self._rank
+        n, rank_of, merged = len(ids), self._rank, self._merged
         if n < 2:
             return ids
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        # The rank at which a place now merges with its right neighbour; an entry with another rank is stale.
+        ranks = [rank_of.get(a << 32 | b, -1) for a, b in pairwise(ids)]
+        ranks.append(-1)
         # An entry is rank * n + place: one number, so that the queue compares no tuples.
-        queue = [r * n + i for i in range(n - 1) if (r := rank_of.get(ids[i] << 32 | ids[i + 1])) is not None]
-        heapq.heapify(queue)
+        queue = [r * n + i for i, r in enumerate(ranks) if r >= 0]
+        heapify(queue)
         while queue:
-            rank, i = divmod(heapq.heappop(queue), n)
-            j = right[i]
-            if ids[i] < 0 or j >= n or rank_of.get(ids[i] << 32 | ids[j]) != rank:  # stale: one of the two has merged since
+            rank, i = divmod(heappop(queue), n)
+            if ranks[i] != rank:
                 continue
-            new = ids[i] = self._merged[rank]
-            ids[j] = -1
+            j = right[i]
+            new = ids[i] = merged[rank]
+            ids[j] = ranks[j] = ranks[i] = -1
             k = right[i] = right[j]
             if k < n:
                 left[k] = i
-                if (r := rank_of.get(new << 32 | ids[k])) is not None:
-                    heapq.heappush(queue, r * n + i)
+                if (r := rank_of.get(new << 32 | ids[k], -1)) >= 0:
+                    ranks[i] = r
+                    heappush(queue, r * n + i)
             h = left[i]
-            if h >= 0 and (r := rank_of.get(ids[h] << 32 | new)) is not None:
-                heapq.heappush(queue, r * n + h)
+            if h >= 0:
+                r = ranks[h] = rank_of.get(ids[h] << 32 | new, -1)
+                if r >= 0:
+                    heappush(queue, r * n + h)
         return [x for x in ids if x >= 0]
 
     def _keep(self, key: str, ids: bytes) -> bytes:
