@@ -76,6 +76,36 @@ def test_rare_tokens_count_over_all_documents(docs, texts, monkeypatch):
         assert math.isfinite(r.score)
 
 
+def test_vocabulary_grows_with_the_counts(spark, monkeypatch):
+    """Words beyond the upper level, and tokens beyond the table, are scored by what stands before them."""
+    monkeypatch.setattr(lb, "FREQUENT", 80)
+    monkeypatch.setattr(lb, "SHORTLIST", 4)
+    pairs = [(f"{x}{i}", f"{y}{i}") for x, y in (("a", "b"), ("c", "d")) for i in range(30)]
+    rows = [(k, " ".join(w for j in range(40) for w in pairs[(k * 7 + j * j) % 60])) for k in range(1500)]
+    rows += [(5000 + i, f"rare{i}") for i in range(900)]
+    rows += [(9000, " ".join(w for p in pairs for w in p)), (9001, " ".join(w for p, q in zip(pairs, pairs[30:] + pairs[:30], strict=True) for w in (p[0], q[1])))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(2)
+    got = {r.doc_id: r for r in lb.lm_scores(docs).where("doc_id >= 9000").collect()}
+    assert got[9000].base_score == pytest.approx(got[9001].base_score)
+    assert got[9000].score > got[9001].score + 10
+
+
+def test_probabilities_over_groups_and_buckets_add_up(monkeypatch):
+    monkeypatch.setattr(lb, "SHORTLIST", 5)
+    frequent = [(f"w{i}".encode(), 100 - i) for i in range(40)]
+    v = lb.Vocabulary(frequent, np.array([[7.0, 3], [0, 0], [2, 2]]))
+    assert sorted([*v.known.values(), *v.bucket]) == list(range(43)) and len(v.offsets) > 3
+    assert [v.unigram[v.known[w]] for w, _ in frequent] == [n for _, n in frequent]
+    model, draw = lb.LogBilinear(v.unigram, offsets=v.offsets), np.random.default_rng(0)
+    model.load_rows(model.rows() + draw.normal(0, 0.5, model.rows().shape))
+    contexts = draw.integers(0, 44, (20, lb.CONTEXT))
+    total = sum(np.exp(model.log_probability(contexts, np.full(20, w))) for w in range(43))
+    assert np.allclose(total, 1, atol=1e-4)
+    again = lb.LogBilinear(v.unigram, seed=9, offsets=v.offsets).load(model.parameters())
+    targets = draw.integers(0, 43, 20)
+    assert np.allclose(again.log_probability(contexts, targets), model.log_probability(contexts, targets))
+
+
 def test_messy(messy, none, spark):
     rows = lb.lm_scores(messy).collect()
     assert len(rows) == messy.count()

@@ -1,16 +1,23 @@
 """LM scoring: a log-bilinear model, trained with noise-contrastive estimation, and its unigram base.
 
 Tokens are words with A-Z lower-cased, and one end for each text. Counts of all
-tokens of all training texts are summed up by Spark. The most frequent tokens
-(at most SHORTLIST) are the model's outputs, all others share one more output,
-whose probability is spread over them by their smoothed counts, with one slot
-for unknown tokens; so probabilities over all tokens add up to 1.
+tokens of all training texts are summed up by Spark. Every token has rows of
+parameters, as a context and as an output: each of the FREQUENT most frequent ones
+its own, the rarer ones those of their bucket by crc32. Buckets grow as the square
+root of the number of rare tokens. A bucket's probability is spread over its tokens
+by their smoothed counts, with one slot for unknown tokens; so probabilities over
+all tokens add up to 1.
 
 The model: a context of CONTEXT tokens gives h = sum of C_i * R[token]; the score
-of output w is h . Q[w] + b[w]. Each task trains on all of its training texts, in
-mini-batches against shared noise drawn from the unigram distribution, starting
-from the same parameters; Spark averages the tasks' parameters weighted by their
-tokens. Scoring multiplies batches of contexts with all outputs and normalises.
+of output w is h . Q[w] + b[w]. The most frequent tokens (at most SHORTLIST) are
+outputs of the upper level; all other words and the buckets are dealt to groups,
+about as many as a group has members. A group is one more output of the upper
+level, and its members are normalised among themselves, so that the cost of a token
+grows as the root of the vocabulary. Each task trains on all of its training texts,
+in mini-batches: the upper level against shared noise drawn from the unigram
+distribution, members against noise from their group. All tasks start from the same
+parameters; Spark averages them, the upper level weighted by the tasks' tokens, the
+rows of words and buckets by how often the task met them.
 
 Tokens up to FREQUENT most frequent ones (a bounded table) reach the tasks by
 closure; the counts of all rarer tokens meet the texts' tokens in a join.
@@ -25,6 +32,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +44,8 @@ from tracelake.llm.common import stored
 
 SHORTLIST, FREQUENT, LONGEST = 510, 60_000, 64
 CONTEXT, DIM, NOISE, BATCH = 3, 16, 48, 4096
+#: Noise for each member of a group; buckets for each root of the number of rare tokens; rows of parameters that travel together.
+GROUP_NOISE, BUCKETS, BLOCK = 8, 4, 512
 LEARNING_RATE = 0.25
 END = b""  # no word is empty
 
@@ -86,75 +96,162 @@ def frequent_tokens(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(((bytes(r["token"]), r["n"]) for r in found), key=lambda x: (-x[1], x[0]))
 
 
+def sums_by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct rows, sums of their values, their numbers)."""
+    order = np.argsort(rows)
+    found = rows[order]
+    firsts = np.flatnonzero(np.diff(found, prepend=-1))
+    return found[firsts], np.add.reduceat(values[order], firsts), np.diff(firsts, append=len(rows))
+
+
+def log_sums(h: np.ndarray, q: np.ndarray, b: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Log-probability of the chosen outputs among all of ``q`` and ``b``."""
+    logits = h @ q.T
+    logits += b
+    out = logits[np.arange(len(h)), chosen]
+    top = logits.max(1, keepdims=True) if np.sqrt((h * h).sum(1).max() * (q * q).sum(1).max()) + np.abs(b.max()) > 40 else np.float32(0)
+    if np.ndim(top):
+        logits -= top
+        out = out - top[:, 0]
+    return out - np.log(np.exp(logits, out=logits).sum(1))
+
+
 class LogBilinear:
-    """Parameters, training steps and normalised log-probabilities."""
+    """Parameters, training steps and normalised log-probabilities.
 
-    def __init__(self, unigram: np.ndarray, seed: int = 5):
+    ``unigram``: weights of the tokens by id, first those of the upper level, then
+    the members of the groups; ``offsets``: where groups begin among the members, and
+    their end.
+    """
+
+    def __init__(self, unigram: np.ndarray, seed: int = 5, offsets: np.ndarray | None = None):
         self.n = len(unigram)
-        self.unigram = np.maximum(unigram, 1e-9) / np.maximum(unigram, 1e-9).sum()
+        self.offsets = np.zeros(1, np.int64) if offsets is None else offsets
+        weights = np.maximum(unigram, 1e-9)
+        members = int(self.offsets[-1])
+        self.head = self.n - members
+        sizes = np.diff(self.offsets)
+        self.group = np.repeat(np.arange(len(sizes)), sizes)
+        self.top = np.concatenate([np.arange(self.head), self.head + self.group])
+        totals = np.add.reduceat(weights[self.head :], self.offsets[:-1]) if members else np.empty(0)
+        self.unigram = np.concatenate([weights[: self.head], totals]) / weights.sum()
+        within = weights[self.head :] / totals[self.group]
+        self.upto = np.cumsum(within)  # each group adds 1
         draw = np.random.default_rng(seed)
         # The context tables have one row more, for places before the text.
         self.r = draw.normal(0, 0.1, (self.n + 1, DIM)).astype(np.float32)
-        self.q = draw.normal(0, 0.1, (self.n, DIM)).astype(np.float32)
+        self.q = draw.normal(0, 0.1, (len(self.unigram), DIM)).astype(np.float32)
         self.c = np.full((CONTEXT, DIM), 1 / CONTEXT, np.float32)
         self.b = np.log(self.unigram).astype(np.float32)
+        self.qm = np.zeros((members, DIM), np.float32)
+        self.bm = np.log(within).astype(np.float32)
+        self.log_k = np.log(NOISE * self.unigram).astype(np.float32)
+        self.log_km = np.log(GROUP_NOISE * within).astype(np.float32)
+
+    NAMES = ("r", "q", "c", "b", "qm", "bm")
 
     def parameters(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.r, self.q, self.c, self.b)])
+        return np.concatenate([getattr(self, name).ravel() for name in self.NAMES])
 
     def load(self, flat: np.ndarray) -> LogBilinear:
         at = 0
-        for name in ("r", "q", "c", "b"):
+        for name in self.NAMES:
             x = getattr(self, name)
             setattr(self, name, flat[at : at + x.size].reshape(x.shape).astype(np.float32))
             at += x.size
         return self
 
+    def rows(self) -> np.ndarray:
+        """All parameters as rows of DIM + 1: upper level, places, contexts, members."""
+        wide = lambda x, last: np.concatenate([x, last[:, None]], axis=1)
+        none = np.zeros(max(CONTEXT, self.n + 1), np.float32)
+        return np.concatenate([wide(self.q, self.b), wide(self.c, none[:CONTEXT]), wide(self.r, none[: self.n + 1]), wide(self.qm, self.bm)])
+
+    def load_rows(self, rows: np.ndarray) -> LogBilinear:
+        q, c, r, qm = np.split(rows.astype(np.float32), np.cumsum([len(self.q), CONTEXT, self.n + 1]))
+        self.q, self.b, self.c, self.r, self.qm, self.bm = (x.copy() for x in (q[:, :DIM], q[:, DIM], c[:, :DIM], r[:, :DIM], qm[:, :DIM], qm[:, DIM]))
+        return self
+
+    def row_weights(self, seen: int, state: dict) -> np.ndarray:
+        """How often training met each of ``rows``; the upper level counts as met by every token."""
+        return np.concatenate([np.full(len(self.q) + CONTEXT, float(seen)), state["met_r"], state["met_qm"]])
+
     def hidden(self, context: np.ndarray) -> np.ndarray:
         h = self.r[context[:, 0]] * self.c[0]
         for i in range(1, CONTEXT):
             h += self.r[context[:, i]] * self.c[i]
         return h
 
+    def _step(self, state: dict, name: str, g: np.ndarray, rows=slice(None)) -> None:
+        """An AdaGrad step of some rows."""
+        x = getattr(self, name)
+        if name not in state:
+            state[name] = np.ones_like(x)
+        s = state[name]
+        near = s[rows] + g * g
+        s[rows] = near
+        x[rows] -= LEARNING_RATE * g / np.sqrt(near)
+
+    def _train_members(self, h: np.ndarray, members: np.ndarray, draw: np.random.Generator, state: dict) -> np.ndarray:
+        """Members against draws from their groups; the gradient of h."""
+        g = self.group[members]
+        drawn = np.searchsorted(self.upto, g[:, None] + draw.random((len(g), GROUP_NOISE)), side="right")
+        drawn = np.clip(drawn, self.offsets[g][:, None], self.offsets[g + 1][:, None] - 1)
+        rows = np.concatenate([members[:, None], drawn], axis=1)
+        q = self.qm[rows]
+        wrong = 1 / (1 + np.exp(-(np.matmul(q, h[:, :, None])[:, :, 0] + self.bm[rows] - self.log_km[rows])))
+        wrong[:, 0] -= 1
+        gh = np.matmul(wrong[:, None, :], q)[:, 0]
+        values = np.concatenate([wrong[:, :, None] * h[:, None, :], wrong[:, :, None]], axis=2).reshape(-1, DIM + 1)
+        at, sums, met = sums_by_row(rows.ravel(), values)
+        sums /= np.sqrt(met, dtype=np.float32)[:, None]
+        self._step(state, "qm", sums[:, :DIM], at)
+        self._step(state, "bm", sums[:, DIM], at)
+        state["met_qm"][at] += met
+        return gh
+
     def train(self, contexts: np.ndarray, targets: np.ndarray, draw: np.random.Generator, state: dict) -> None:
-        """One mini-batch: targets against NOISE shared draws, AdaGrad steps."""
-        noise = draw.choice(self.n, NOISE, p=self.unigram)
-        log_k = np.log(NOISE * self.unigram).astype(np.float32)
+        """One mini-batch: targets against NOISE shared draws, members of groups against GROUP_NOISE each; AdaGrad steps."""
+        if "met_r" not in state:
+            state |= {"met_r": np.zeros(self.n + 1), "met_qm": np.zeros(len(self.qm))}
+        noise = draw.choice(len(self.unigram), NOISE, p=self.unigram)
+        tops = self.top[targets]
         h = self.hidden(contexts)
-        qt, qn = self.q[targets], self.q[noise]
-        wrong_t = 1 / (1 + np.exp(-((h * qt).sum(1) + self.b[targets] - log_k[targets]))) - 1
-        wrong_n = 1 / (1 + np.exp(-(h @ qn.T + self.b[noise] - log_k[noise])))
+        qt, qn = self.q[tops], self.q[noise]
+        wrong_t = 1 / (1 + np.exp(-((h * qt).sum(1) + self.b[tops] - self.log_k[tops]))) - 1
+        wrong_n = 1 / (1 + np.exp(-(h @ qn.T + self.b[noise] - self.log_k[noise])))
         gh = wrong_t[:, None] * qt + wrong_n @ qn
         grow = np.zeros_like(self.q)
-        scattered = np.zeros_like(self.r)
-        order = np.argsort(targets, kind="stable")
-        firsts = np.flatnonzero(np.diff(targets[order], prepend=-1))
-        grow[targets[order][firsts]] = np.add.reduceat((wrong_t[:, None] * h)[order], firsts)
+        at, sums, _ = sums_by_row(tops, wrong_t[:, None] * h)
+        grow[at] = sums
         np.add.at(grow, noise, wrong_n.T @ h)
-        gb = np.bincount(targets, wrong_t, self.n) + np.bincount(noise, wrong_n.sum(0), self.n)
-        gc = np.empty_like(self.c)
-        for i in range(CONTEXT):
-            rows = contexts[:, i]
-            gc[i] = (gh * self.r[rows]).sum(0)
-            order = np.argsort(rows, kind="stable")
-            firsts = np.flatnonzero(np.diff(rows[order], prepend=-1))
-            scattered[rows[order][firsts]] += np.add.reduceat((gh * self.c[i])[order], firsts)
-        for name, g in (("q", grow), ("r", scattered), ("b", gb.astype(np.float32)), ("c", gc)):
-            g = g / np.float32(len(targets) ** 0.5)
-            s = state[name] = state.get(name, np.float32(1.0)) + g * g
-            setattr(self, name, getattr(self, name) - LEARNING_RATE * g / np.sqrt(s))
+        gb = (np.bincount(tops, wrong_t, len(self.q)) + np.bincount(noise, wrong_n.sum(0), len(self.q))).astype(np.float32)
+        inside = np.flatnonzero(targets >= self.head)
+        if len(inside):
+            gh[inside] += self._train_members(h[inside], targets[inside] - self.head, draw, state)
+        gc = np.stack([(gh * self.r[contexts[:, i]]).sum(0) for i in range(CONTEXT)])
+        at, sums, met = sums_by_row(contexts.T.ravel(), np.concatenate([gh * self.c[i] for i in range(CONTEXT)]))
+        state["met_r"][at] += met
+        scale = np.float32(len(targets) ** 0.5)
+        for name, g in (("q", grow), ("b", gb), ("c", gc)):
+            self._step(state, name, g / scale)
+        self._step(state, "r", sums / np.sqrt(met, dtype=np.float32)[:, None], at)
 
     def log_probability(self, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Normalised natural log-probabilities of targets, for batches of contexts against all outputs."""
+        """Normalised natural log-probabilities of targets: the upper level's outputs, then the members of a target's group."""
+        h, tops = self.hidden(contexts), self.top[targets]
         out = np.empty(len(targets), np.float32)
-        qb = np.concatenate([self.q, self.b[:, None]], axis=1).T.copy()
-        for at in range(0, len(targets), 2048):
-            h = self.hidden(contexts[at : at + 2048])
-            logits = np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1) @ qb
-            chosen = logits[np.arange(len(h)), targets[at : at + 2048]]
-            top = logits.max(1, keepdims=True)
-            np.subtract(logits, top, out=logits)
-            out[at : at + 2048] = chosen - top[:, 0] - np.log(np.exp(logits, out=logits).sum(1))
+        for at in range(0, len(targets), 512):
+            out[at : at + 512] = log_sums(h[at : at + 512], self.q, self.b, tops[at : at + 512])
+        order = np.argsort(tops)
+        order = order[np.searchsorted(tops[order], self.head) :]
+        ends = np.flatnonzero(np.diff(tops[order], append=-1)) + 1
+        for start, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False):
+            some = order[start:end]
+            first, last = self.offsets[tops[some[0]] - self.head :][:2]
+            for at in range(0, len(some), 512):
+                part = some[at : at + 512]
+                out[part] += log_sums(h[part], self.qm[first:last], self.bm[first:last], targets[part] - self.head - first)
         return out
 
 
@@ -166,16 +263,59 @@ def windows(ids: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndarray]:
     return contexts, np.concatenate(ids)
 
 
-def trained(docs: DataFrame, outputs: dict[bytes, int], unigram: np.ndarray, *, text_col: str = "text") -> LogBilinear:
+class Vocabulary:
+    """Ids of tokens: the upper level, then the groups' members, words and buckets dealt in turn.
+
+    ``frequent``: (token, count) by falling count; ``buckets``: counts and numbers of
+    the rarer tokens by bucket.
+    """
+
+    def __init__(self, frequent: list[tuple[bytes, int]], buckets: np.ndarray):
+        head, k = min(SHORTLIST, len(frequent)), len(buckets)
+        members = len(frequent) - head + k
+        groups = int(np.ceil(members**0.5))
+        order = np.argsort(np.arange(members) % groups, kind="stable")
+        at = np.empty(members, np.int64)
+        at[order] = np.arange(members) + head
+        ids = np.concatenate([np.arange(head), at])
+        self.known = {w: i for (w, _), i in zip(frequent, ids[: len(frequent)].tolist(), strict=True)}
+        self.bucket = ids[len(frequent) :].tolist()
+        self.offsets = np.append(0, np.cumsum(np.bincount(np.arange(members) % groups, minlength=groups)))
+        counts = np.array([n for _, n in frequent], float)
+        self.unigram = np.empty(head + members)
+        self.unigram[ids] = np.concatenate([counts, np.maximum(1.0, buckets[:, 0])])
+        #: Counts of words, as in the base; 0 for buckets, whose tokens' counts come by a join.
+        self.log_count = np.zeros(head + members)
+        self.log_count[ids[: len(frequent)]] = np.log10(counts + 1)
+        #: What a bucket's smoothed counts add up to, unknown tokens included; 0 for words.
+        self.log_share = np.zeros(head + members)
+        self.log_share[ids[len(frequent) :]] = np.log10(buckets.sum(1) + 1)
+
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        known, bucket, k = self.known, self.bucket, len(self.bucket)
+        return np.array([known[w] if w in known else bucket[crc32(w) % k] for w in words], np.int64)
+
+
+def rare_buckets(counts: DataFrame, frequent: list[tuple[bytes, int]], n_types: int) -> np.ndarray:
+    """Counts and numbers of the tokens that are not frequent, by bucket."""
+    k = max(1, int(np.ceil(BUCKETS * (n_types - len(frequent)) ** 0.5)))
+    out = np.zeros((k, 2))
+    rare = counts.where((F.length("token") > LONGEST) | (F.col("n") < frequent[-1][1])) if frequent else counts
+    for r in rare.groupBy((F.crc32("token") % k).alias("k")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect():  # one row for each bucket
+        out[r["k"]] = r["n"], r["types"]
+    return out
+
+
+def trained(docs: DataFrame, vocabulary: Vocabulary, *, text_col: str = "text") -> LogBilinear:
     """The model averaged over tasks, each trained on all of its rows."""
-    other, start = len(unigram) - 1, len(unigram)
+    start, width = len(vocabulary.unigram), 4 * (DIM + 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, state, seen = LogBilinear(unigram), {}, 0
+        model, state, seen = LogBilinear(vocabulary.unigram, offsets=vocabulary.offsets), {}, 0
         draw = np.random.default_rng(TaskContext.get().partitionId())
         for batch in batches:
             for row in range(0, batch.num_rows, 512):
-                ids = [np.array([outputs.get(w, other) for w in tokens_of(t.as_py())], np.int64) for t in batch.column(0).slice(row, 512)]
+                ids = [vocabulary.ids(tokens_of(t.as_py())) for t in batch.column(0).slice(row, 512)]
                 contexts, targets = windows(ids, start)
                 order = draw.permutation(len(targets))
                 for at in range(0, len(order), BATCH):
@@ -183,15 +323,29 @@ def trained(docs: DataFrame, outputs: dict[bytes, int], unigram: np.ndarray, *,
                     model.train(contexts[some], targets[some], draw, state)
                 seen += len(targets)
         if seen:
-            flat = model.parameters() * float(seen)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(flat)), pa.int32()), pa.array(np.concatenate([[float(seen)], flat]))], names=["i", "v"])
-
-    sums = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # one row for each parameter
-    model = LogBilinear(unigram)
-    if sums:
-        found = dict(sums)
-        flat = np.array([found[i] for i in range(len(found) - 1)]) / found[-1]
-        model.load(flat)
+            weights = model.row_weights(seen, state)[:, None]
+            rows = np.concatenate([model.rows() * weights, weights], axis=1).astype("<f4")
+            for at in range(0, len(rows), BLOCK):
+                yield pa.RecordBatch.from_arrays([pa.array([at // BLOCK], pa.int32()), pa.array([rows[at : at + BLOCK].tobytes()], pa.binary())], names=["block", "v"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.frombuffer(v.as_buffer(), "<f4").astype(float)
+                sums[block] = sums[block] + x if block in sums else x
+        for block, x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([x.astype("<f4").tobytes()], pa.binary())], names=["block", "v"])
+
+    schema = "block int, v binary"
+    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(run, schema)
+    found = parts.repartition("block").mapInArrow(added, schema).collect()  # one row for each block of parameters
+    model = LogBilinear(vocabulary.unigram, offsets=vocabulary.offsets)
+    if found:
+        flat = np.frombuffer(b"".join(bytes(r["v"]) for r in sorted(found, key=lambda r: r["block"])), "<f4").reshape(-1, width // 4)
+        weights = flat[:, -1:]
+        # Rows that no task met stay as they are.
+        model.load_rows(np.where(weights > 0, flat[:, :-1] / np.maximum(weights, 1e-9), model.rows()))
     return model
 
 
@@ -202,15 +356,12 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     counts = stored(token_counts(train), "counts")
     n_train, n_types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     frequent = frequent_tokens(counts, FREQUENT)
-    known = {w: i for i, (w, _) in enumerate(frequent)}
-    outputs = {w: i for w, i in known.items() if i < SHORTLIST}
-    listed = np.array([n for _, n in frequent[:SHORTLIST]], float)
-    rest_tokens, rest_types = n_train - int(listed.sum()), n_types - len(listed)
-    unigram = np.append(listed, max(1.0, float(rest_tokens)))
-    model = trained(train, outputs, unigram)
-
-    other, start = len(listed), len(listed) + 1
-    log_count = np.log10(np.append(np.array([n for _, n in frequent], float), 0.0) + 1)
+    vocabulary = Vocabulary(frequent, rare_buckets(counts, frequent, n_types))
+    model = trained(train, vocabulary)
+
+    start = len(vocabulary.unigram)
+    is_bucket = np.zeros(start, bool)
+    is_bucket[vocabulary.bucket] = True
     kind = dict(rows.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,34 +369,32 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             for row in range(0, batch.num_rows, 512):
                 some = batch.slice(row, 512)
-                listing, ids, n, known_n, base, spread, rare = [], [], [], [], [], [], []
+                ids, n, known_n, base, shared, rare = [], [], [], [], [], []
                 for text in some.column("text"):
                     words = tokens_of(text.as_py())
-                    at_word = np.array([known.get(w, -1) for w in words], np.int64)
-                    ids.append(np.where((at_word >= 0) & (at_word < other), at_word, other))
+                    own = vocabulary.ids(words)
+                    at_rare = np.flatnonzero(is_bucket[own])
+                    ids.append(own)
                     n.append(len(words))
-                    known_n.append(int((at_word >= 0).sum()))
-                    logs = log_count[at_word]
-                    base.append(float(logs.sum()))
-                    spread.append(float(logs[at_word >= other].sum()))
-                    rare.append([words[i] for i in np.flatnonzero(at_word < 0).tolist()])
-                    listing.append(int((ids[-1] == other).sum()))
+                    known_n.append(len(words) - len(at_rare))
+                    base.append(float(vocabulary.log_count[own].sum()))
+                    shared.append(float(vocabulary.log_share[own].sum()))
+                    rare.append([words[i] for i in at_rare.tolist()])
                 contexts, targets = windows(ids, start)
                 logp = model.log_probability(contexts, targets).astype(float) / np.log(10)
                 ends = np.cumsum(n)
                 score = np.add.reduceat(logp, ends - np.array(n))
                 key = pa.array(part + at + np.arange(len(n)))
                 at += len(n)
-                columns = [key, some.column(id_col), some.column("held_out"), *map(pa.array, (n, known_n, base, spread, score, listing))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(rare, pa.list_(pa.binary()))], names=["key", id_col, "held_out", "n_tokens", "n_frequent", "base", "spread", "model", "n_listed", "rare"])
+                columns = [key, some.column(id_col), some.column("held_out"), *map(pa.array, (n, known_n, base, score, shared))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(rare, pa.list_(pa.binary()))], names=["key", id_col, "held_out", "n_tokens", "n_frequent", "base", "model", "shared", "rare"])
 
-    schema = f"key bigint, `{id_col}` {kind}, held_out boolean, n_tokens bigint, n_frequent bigint, base double, spread double, model double, n_listed bigint, rare array<binary>"
+    schema = f"key bigint, `{id_col}` {kind}, held_out boolean, n_tokens bigint, n_frequent bigint, base double, model double, shared double, rare array<binary>"
     scored = stored(rows.select(id_col, "text", "held_out").mapInArrow(run, schema), "scored")
     # Rare tokens meet their counts; none of them is frequent, so no key is hot.
     seen = scored.select("key", F.explode("rare").alias("token")).join(counts, "token").groupBy("key").agg(F.count(F.lit(1)).alias("n_rare"), F.sum(F.log10(F.col("n") + 1)).alias("rare_log"))
     out = scored.drop("rare").join(seen, "key", "left")
     log_all = float(np.log10(n_train + n_types + 1))
-    log_rest = float(np.log10(rest_tokens + rest_types + 1))
     rare_log = F.coalesce("rare_log", F.lit(0.0))
     return out.select(
         id_col,
@@ -254,5 +403,5 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         (F.col("n_frequent") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
         F.lit(int(n_train)).cast("long").alias("train_tokens"),
         (F.col("base") + rare_log - F.col("n_tokens") * log_all).alias("base_score"),
-        (F.col("model") + F.col("spread") + rare_log - F.col("n_listed") * log_rest).alias("score"),
+        (F.col("model") + rare_log - F.col("shared")).alias("score"),
     )
