@@ -53,6 +53,12 @@ def test_query_equals_all_pairs(spark, sf_dir, texts):
     assert all(r.kept == (r.component_id == k) for k, r in got.items())
 
 
+def test_a_text_of_one_shingle_meets_longer_ones(spark):
+    """A text of exactly k words has the shingle that a longer run of them has."""
+    rows = [(1, "a a a"), (2, "a a a a a"), (3, "b b"), (4, "b b b"), (5, "A A A")]
+    assert found(nd.near_groups(spark.createDataFrame(rows, "doc_id bigint, text string"), words=3, threshold=85)) == groups(rows, 3, 85)
+
+
 def test_pipeline_parameters_equal_all_pairs(docs, texts):
     assert found(nd.near_groups(docs)) == groups(list(texts.items()), 5, 80)
 

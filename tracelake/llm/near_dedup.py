@@ -60,7 +60,7 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     if not words:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    if len(words) <= k:
+    if len(words) < k:
         return np.array([xxhash.xxh3_64_intdigest(h.tobytes())], np.uint64)
     out = h[: len(h) - k + 1].copy()
     for i in range(1, k):
