@@ -1,7 +1,8 @@
 """Token-ID output: documents encoded, written as coded segments in id order, read back.
 
 ``write_ids`` range-partitions documents by id, encodes them with a tokenizers
-file, appends the end id and writes a table of segments: the ids of a run of
+file (stretch by stretch from a cache where the tokenizer cuts at white space, which
+is tried out first; else text by text), appends the end id and writes a table of segments: the ids of a run of
 documents, coded by ``id_coder``, with the documents' ids and lengths. The table
 lies in a folder that all executors share, written by Spark's own commit
 protocol, so a lost executor costs its unfinished partitions only. ``read_ids``
@@ -16,8 +17,9 @@ an empty file. Extra columns are not read.
 
 from __future__ import annotations
 
+import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,34 +27,139 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import shuffle_parts
+from tracelake.llm.common import SPACE, shuffle_parts
 from tracelake.llm.id_coder import decode_segment, encode_segment
 
-SEGMENT_IDS = 4_000_000
+SEGMENT_IDS = 3_000_000
 CACHE_ENTRIES = 400_000
 
 
+#: A character that stands between the stretches of a batch; stretches that have it are encoded alone.
+MARK = "\x01"
+#: Stretches that are encoded as one text.
+JOINED = 400
+
+
+def load(path: str):
+    """A tokenizers file without truncation and padding; one thread, as a task has one core."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
+def ids_of(tokenizer, texts: list[str]) -> list[list[int]]:
+    return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+#: Marks that often end a stretch.
+TAIL = b'.,!?;:#$%&*)-"'
+
+
+class Habits:
+    """What a tokenizer does, tried out on short texts that have all of a kind.
+
+    ``space``: a text's ids are those of its stretches without ASCII white space, one
+    after the other. ``case``: A-Z and a-z have the same ids. ``tail``: marks that end
+    a stretch after an ASCII letter or digit have their own ids.
+    """
+
+    def __init__(self, tokenizer):
+        parts = ["ab", "Cd,", "7", "é'", "!", "a1.b", MARK, "'s", "ﬁ", "\u0301x"]
+        alone = ids_of(tokenizer, parts)
+        self.space = True
+        for space in SPACE:
+            joined = ids_of(tokenizer, [f"{a}{space}{b}" for a in parts for b in parts] + [f"{space}{a}{space}{space}" for a in parts])
+            self.space &= joined == [a + b for a in alone for b in alone] + alone
+        letters = [chr(x) for x in range(97, 123)]
+        small = [*letters, *(a + b for a in letters for b in letters), "it's", "abcdefghijklmnopqrstuvwxyz"]
+        self.case = self.space and ids_of(tokenizer, small) == ids_of(tokenizer, [x.upper() for x in small])
+        ends, marks = [*letters, "The", *"0123456789"], [chr(x) for x in TAIL]
+        tails = [*marks, *(a + b for a in marks for b in marks), "..."]
+        both = ids_of(tokenizer, [e + t for e in ends for t in tails])
+        own = not any(m in str(t) for t in tokenizer.get_added_tokens_decoder().values() for m in marks)
+        self.tail = self.space and own and both == [a + b for a in ids_of(tokenizer, ends) for b in ids_of(tokenizer, tails)]
+
+
 class WordCache(dict):
-    """Stretches without ASCII white space -> their ids as bytes; the tokenizer cuts at white space, so they are encoded on their own."""
+    """Stretches without ASCII white space -> their ids as bytes."""
 
     def __init__(self, path: str):
         super().__init__()
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers, new stretches encoded in one batch."""
-        split = [t.encode().split() for t in texts]  # of bytes, so at ASCII white space only
-        new = list({w for words in split for w in words if w not in self})
+        self.tokenizer = load(path)
+        self.habits = Habits(self.tokenizer)
+        mark = ids_of(self.tokenizer, [MARK])[0]
+        self.mark = mark[0] if len(mark) == 1 else None
+        #: By id: whether it ends a word; none if words have no ends of their own.
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+            self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith(suffix)]] = True
+
+    def _alone(self, words: list[bytes]) -> None:
+        for w, ids in zip(words, ids_of(self.tokenizer, [w.decode() for w in words]), strict=True):
+            self[w] = np.array(ids, "<u4").tobytes()
+
+    def _together(self, words: list[bytes], between: str, edges: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> None:
+        """Encode many stretches as one text; ``edges`` finds where each begins and ends in its ids."""
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        texts = [b"\n".join(g).decode().replace("\n", between) for g in groups]
+        for group, ids in zip(groups, ids_of(self.tokenizer, texts), strict=True):
+            ids = np.array(ids, "<u4")
+            begins, ends = edges(ids)
+            if len(begins) != len(group):  # a stretch has more ends than its own
+                self._alone(group)
+                continue
+            data = ids.tobytes()
+            self.update(zip(group, [data[a:b] for a, b in zip((4 * begins).tolist(), (4 * ends).tolist(), strict=True)], strict=True))
+
+    def _at_ends(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        return np.append(0, ends[:-1]), ends
+
+    def _at_marks(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(ids == self.mark)
+        return np.append(0, at + 1), np.append(at, len(ids))
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Words of letters have one end at least, so as many ends as words tell them apart; other stretches get marks between them."""
+        plain = [w for w in words if w.decode().isalpha()] if self.ends is not None else []
+        rest = list(set(words).difference(plain)) if plain else words
+        odd = [w for w in rest if b"\x01" in w] if self.mark is not None else rest
+        self._alone(odd)
+        self._together(plain, " ", self._at_ends)
+        self._together([w for w in rest if b"\x01" not in w] if self.mark is not None else [], f" {MARK} ", self._at_marks)
+
+    def _learn_cores(self, words: set[bytes]) -> None:
+        """Encode new stretches; where one ends in marks, what stands before them and the marks."""
+        cores, whole = [], []
+        for w in words:
+            core = w.rstrip(TAIL)
+            if len(core) < len(w) and core[-1:].isalnum() and self.habits.tail:
+                cores.append((w, core, w[len(core) :]))
+            else:
+                whole.append(w)
+        parts = {x for _, core, tail in cores for x in (core, tail) if x not in self}
+        self._learn(list(parts.union(whole)))
+        for w, core, tail in cores:
+            self[w] = self[core] + self[tail]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text (UTF-8) as little-endian unsigned 32-bit integers."""
+        if not self.habits.space:
+            return [np.array(ids, "<u4").tobytes() for ids in ids_of(self.tokenizer, [t.decode() for t in texts])]
+        # Of bytes: A-Z and ASCII white space only.
+        split = [t.lower().split() for t in texts] if self.habits.case else [t.split() for t in texts]
+        found = [list(map(self.get, words)) for words in split]
+        new = {w for words, ids in zip(split, found, strict=True) for w, x in zip(words, ids, strict=True) if x is None}
         if len(self) + len(new) > CACHE_ENTRIES:
             self.clear()
-            new = list({w for words in split for w in words})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        self._learn_cores(new)
+        return [b"".join([self[w] if x is None else x for w, x in zip(words, ids, strict=True)]) for words, ids in zip(split, found, strict=True)]
 
 
 _caches: dict[str, WordCache] = {}
@@ -81,7 +188,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, *, end_id: int =
         for batch in batches:
             for row in range(0, batch.num_rows, 256):
                 some = batch.slice(row, 256)
-                coded = _cache(tokenizer_path).encode([t or "" for t in some.column(1).to_pylist()])
+                coded = _cache(tokenizer_path).encode([t or b"" for t in some.column(1).cast(pa.binary()).to_pylist()])
                 pieces += [c + end for c in coded]
                 ids.append(some.column(0))
                 n += sum(map(len, coded)) // 4 + len(coded)
