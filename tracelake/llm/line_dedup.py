@@ -3,19 +3,26 @@
 A line's key is the line stripped of white space with A-Z lower-cased. Keys of
 at least ``min_chars`` code points found in at least ``min_docs`` documents stay
 only in the document with the largest id. Everything runs as DataFrame
-operations. The result is one compressed keep bitmap per document with drops
-(runs of kept lines), never text.
+operations. The result is one keep bitmap per document with drops, compressed as
+its runs of dropped lines, never text.
+
+Texts are read once for their digests, which are written. Digests are range-
+partitioned by (digest, band), a band being a share of the documents, so that the
+range splits a digest that holds a third of all rows; each partition is sorted by
+document and position and streams its rows: a row begins a document where the row
+before it has another. A digest's bands add up to its number of documents and its
+first one.
 
 Defined cases: a null or empty text is one empty line; repeated lines of one
 document count once for the document number; a null ``doc_id`` takes no part
 (all its lines stay); rows that repeat a ``doc_id`` count as one document; an
-empty table gives an empty result. Extra columns are ignored, so their names
-cannot clash.
+empty table gives an empty result. Extra columns are kept, whatever their names;
+``n_lines`` and ``n_dropped`` are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import ascii_lower, let, shuffle_parts, stored, strip_space
@@ -26,34 +33,35 @@ def lines_of(text: Column) -> Column:
 
 
 def line_digests(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(digest, doc, positions): one row for each document and long enough key."""
+    """(digest, doc, pos): one row for each line with a long enough key."""
     rows = docs.select(F.col(id_col).alias("doc"), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line")).where("doc is not null")
     key = strip_space(F.col("line"))
     rows = rows.where(F.length("line") >= min_chars).select("doc", "pos", key.alias("key")).where(F.length("key") >= min_chars)
-    return rows.select("doc", "pos", F.unhex(F.md5(ascii_lower(F.col("key")))).alias("digest"))
+    return rows.select(F.unhex(F.md5(ascii_lower(F.col("key")))).alias("digest"), "doc", "pos")
 
 
-def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """(doc, pos) of every line to drop.
+def first_documents(occurrences: DataFrame, min_docs: int) -> DataFrame:
+    """(digest, first_doc) of the digests found in at least ``min_docs`` documents.
 
-    Digests are counted with map-side combine, so a digest that holds a third
-    of all rows costs each task one row. Occurrences of the digests that pass
-    are range-partitioned by (digest, document descending, position): the range
-    splits a hot digest over many partitions, and each partition streams its
-    sorted rows against the digest's first document.
+    The window and the first aggregate find the rows in place: a range by (digest,
+    band) keeps each pair of them in one partition. Only one row for each pair is
+    shuffled after that.
     """
-    spark = docs.sparkSession
-    occurrences = line_digests(docs, id_col, text_col, min_chars)
-    # A digest repeated in one document is counted once: the pair is combined before the digest is.
-    pairs = occurrences.select("digest", "doc").distinct()
-    first = pairs.groupBy("digest").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("first_doc")).where(F.col("n_docs") >= min_docs).drop("n_docs")
+    parts = shuffle_parts(occurrences.sparkSession)
+    banded = occurrences.withColumn("band", F.pmod(F.xxhash64("doc"), F.lit(parts)))
+    ranged = banded.repartitionByRange(parts, "digest", "band").sortWithinPartitions("digest", "band", F.col("doc").desc(), "pos")
+    order = Window.partitionBy("digest", "band").orderBy(F.col("doc").desc(), "pos")
+    begins = F.coalesce(F.lag("doc").over(order) != F.col("doc"), F.lit(True))
+    bands = ranged.select("digest", "band", "doc", begins.alias("begins")).where("begins").groupBy("digest", "band").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("doc"))
+    return bands.groupBy("digest").agg(F.sum("n").alias("n"), F.max("doc").alias("first_doc")).where(F.col("n") >= min_docs).drop("n")
+
+
+def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+    """(doc, pos) of every line to drop."""
+    occurrences = stored(line_digests(docs, id_col, text_col, min_chars), "lines")
     # Written, so that Spark can broadcast them by their size or split the occurrences of one digest.
-    ordered = (
-        occurrences.join(stored(first, "digests"), "digest")
-        .repartitionByRange(shuffle_parts(spark), F.col("digest"), F.col("doc").desc(), F.col("pos"))
-        .sortWithinPartitions(F.col("digest"), F.col("doc").desc(), F.col("pos"))
-    )
-    return ordered.where(F.col("doc") < F.col("first_doc")).select("doc", "pos")
+    first = stored(first_documents(occurrences, min_docs), "digests")
+    return occurrences.join(first, "digest").where(F.col("doc") < F.col("first_doc")).select("doc", "pos")
 
 
 def keep_bitmaps(dropped: DataFrame) -> DataFrame:
@@ -93,10 +101,10 @@ def apply_bitmap(lines: Column, runs: Column) -> Column:
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """``docs`` with its text replaced by the kept lines, plus ``n_lines`` and ``n_dropped``."""
     bitmaps = keep_bitmaps(dropped_lines(docs, id_col=id_col, text_col=text_col, min_chars=min_chars, min_docs=min_docs))
-    bitmaps = bitmaps.select(F.col("doc").alias("_doc"), F.col("n_dropped").alias("_n"), F.col("dropped_runs").alias("_runs"))
-    joined = docs.join(bitmaps, docs[id_col] == bitmaps["_doc"], "left")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    kept = F.when(F.col("_n").isNull(), text).otherwise(apply_bitmap(lines_of(F.col(text_col)), F.col("_runs")))
-    n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    others = [F.col(c) for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
-    return joined.select(*others, kept.alias(text_col), n_lines.cast("long").alias("n_lines"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_dropped"))
+    # The row travels as one column, so that no name of its own meets one of the bitmaps'.
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*[c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]).alias("row"))
+    joined = rows.join(bitmaps, F.col("id") == F.col("doc"), "left")
+    kept = F.when(F.col("dropped_runs").isNull(), F.col("text")).otherwise(apply_bitmap(lines_of(F.col("text")), F.col("dropped_runs")))
+    n_lines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
+    new = F.struct(kept.alias(text_col), n_lines.cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"))
+    return joined.select("row", new.alias("new")).select("row.*", "new.*")
