@@ -27,7 +27,7 @@ def texts(docs):
     return {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
 
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept boolean, n_words string, token string, hub int, component int, h string, pos int, n_tokens string"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept boolean, n_words string, token string, hub int, component int, h string, pos int, n_tokens string, _n string, _doc int, _runs string, _weight string, _cut int, _source string, _passes int, _spans string, doc string, id string, row int, spans int, dropped_runs int, digest int, epoch string, weight int"
 
 
 @pytest.fixture(scope="session")
@@ -46,7 +46,8 @@ def messy(spark):
         (None, f"{line}\nno id here", "en", "web", 60, True, "x", "t", 1, 1, "h", 1, "1"),
         (None, None, None, None, None, None, None, None, None, None, None, None, None),
     ]
-    return spark.createDataFrame(rows, SCHEMA)
+    more = ("n", 1, "r", "w", 1, "s", 1, "sp", "d", "i", 1, 1, 1, 1, "e", 1)
+    return spark.createDataFrame([r + more for r in rows], SCHEMA)
 
 
 @pytest.fixture(scope="session")

@@ -6,15 +6,21 @@ from tracelake.llm.queries import op5_unit_dedup
 from tracelake.llm.unit_dedup import LONG, repeated_units, substring_dedup, units
 
 
-def walked(rows, min_words=6):
-    """Rows (id, start, end, first id, first start) of every unit that occurs earlier."""
+def walked(rows, min_words=6, min_run=25):
+    """Rows (id, start, end, first id, first start) of every unit that occurs earlier, in a long enough run of such units."""
     first, out = {}, []
     for k, text in sorted((k, t) for k, t in rows if k is not None and t is not None):
-        for d, start, end in units(text, min_words):
+        run, last = [], None
+        for d, start, end, place, n in units(text, min_words):
             if d in first and first[d] < (k, start):
-                out.append((k, start, end, *first[d]))
+                if last != place - 1:
+                    out += run if sum(x[-1] for x in run) >= min_run else []
+                    run = []
+                run.append((k, start, end, *first[d], n))
+                last = place
             first.setdefault(d, (k, start))
-    return sorted(out)
+        out += run if sum(x[-1] for x in run) >= min_run else []
+    return sorted(x[:-1] for x in out)
 
 
 def test_query_equals_walk(spark, sf_dir, texts):
@@ -22,17 +28,34 @@ def test_query_equals_walk(spark, sf_dir, texts):
     assert got == walked(texts.items()) and got
 
 
-def test_units_cover_lines(texts):
+def test_units_cover_texts(texts):
     for text in list(texts.values())[:50]:
         found = units(text or "", 1)
         words = (text or "").encode().lower().split()
-        assert sum(len(text[s:e].encode().split()) for _, s, e in found) == len(words)
-        assert all("\n" not in text[s:e] for _, s, e in found)
+        assert sum(len(text[s:e].encode().split()) for _, s, e, _, _ in found) == len(words) == sum(x[-1] for x in found)
+        assert all("\n" not in text[s:e] for _, s, e, _, _ in found)  # no line is short here
+        assert [x[3] for x in found] == list(range(len(found)))
+
+
+def test_short_lines_are_one_paragraph(spark):
+    """A passage set in lines of two words is found, also where its lines break elsewhere or nowhere."""
+    words = [f"v{i}" for i in range(60)]
+    lines = lambda n: "\n".join(" ".join(words[i : i + n]) for i in range(0, 60, n))
+    rows = [(1, f"an own line of some eight words here\n{lines(2)}"), (2, f"{lines(3)}\nanother line of eight words in this text"), (3, lines(60))]
+    gone = {r.doc_id: r.text for r in substring_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert gone[1] == rows[0][1] and len(gone[2].split()) < 20 and len(gone[3].split()) < 20
+
+
+def test_shared_sentences_stay(spark):
+    """Repeated units that add up to fewer than min_run words in a row stay."""
+    rows = [(i, f"this is number {i} of some texts\none short sentence that all of them share\nand another end {i} of the text") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert repeated_units(docs).count() == 0 and repeated_units(docs, min_run=8).count() == 4
 
 
 def test_normalised_and_in_code_points(spark):
     rows = [(1, "é Eins zwei drei vier fünf  sechs"), (2, "x\n É nein\n\té  EINS zwei drei vier fünf sechs \nrest"), (3, "é eins zwei drei vier fünf sechs")]
-    got = sorted(map(tuple, repeated_units(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()))
+    got = sorted(map(tuple, repeated_units(spark.createDataFrame(rows, "doc_id bigint, text string"), min_run=6).collect()))
     start = rows[1][1].index("é  EINS")
     assert got == [(2, start, start + len("é  EINS zwei drei vier fünf sechs"), 1, 0), (3, 0, len(rows[2][1]), 1, 0)]
 
@@ -73,6 +96,6 @@ def test_messy(messy, none):
 
 def test_cuts_are_local():
     words = [f"w{i}" for i in range(400)]
-    a = {d for d, _, _ in units(" ".join(words), 1)}
-    b = {d for d, _, _ in units(" ".join([*words[:200], "changed", *words[200:]]), 1)}
+    a = {x[0] for x in units(" ".join(words), 1)}
+    b = {x[0] for x in units(" ".join([*words[:200], "changed", *words[200:]]), 1)}
     assert len(a - b) <= 3 and len(a) > 400 / LONG

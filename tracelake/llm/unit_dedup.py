@@ -1,16 +1,22 @@
 """Substring dedup: digests of lines and of pieces of long lines, first occurrence kept, offsets retained.
 
-A unit is a line; a line of more than LONG words is cut into pieces after each
-word whose digest is the least among the REACH words to either side, so that a
-passage is cut alike wherever it stands. Units are normalised (A-Z lower-cased,
-white space single) and hashed to 128 bits; those of fewer than ``min_words``
-words are left alone. Digests are counted with map-side combine; the earliest
-occurrence by (id, position) stays, the others are listed with their offsets in
-the original text (code points) and the occurrence that stays.
+A unit is a line; lines of fewer than ``min_words`` words that follow each other are
+one paragraph. A unit of more than LONG words is cut into pieces after each word
+whose digest is the least among the REACH words to either side, so that a passage is
+cut alike wherever it stands. Units are normalised (A-Z lower-cased, white space
+single) and hashed to 128 bits; those of fewer than ``min_words`` words are left
+alone. Digests are counted with map-side combine; the earliest occurrence by (id,
+position) stays. The others go where they stand in a run of repeated units of at
+least ``min_run`` words, as a short sentence that many texts share is no passage;
+they are listed with their offsets in the original text (code points) and the
+occurrence that stays.
+
+Texts are parsed once: units are written, and so are the first occurrences, so that
+Spark can split a digest that holds a third of all rows when the two meet.
 
 Defined cases: null texts and ids have no units; repeats inside one document
 count; rows with equal ids rank by position only; an empty table gives an empty
-result. Columns other than the id and the text are not read.
+result. Extra columns are kept, whatever their names; ``removed`` is replaced.
 """
 
 from __future__ import annotations
@@ -21,10 +27,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import let
+from tracelake.llm.common import let, stored
 
 LONG, REACH = 24, 5
 _WHITE = np.zeros(256, bool)
@@ -41,8 +47,8 @@ def cut_after(digests: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first & (around.min(axis=1) == here)) + REACH
 
 
-def units(text: str, min_words: int) -> list[tuple[bytes, int, int]]:
-    """(digest, start, end) of each unit, offsets in code points."""
+def units(text: str, min_words: int) -> list[tuple[bytes, int, int, int, int]]:
+    """(digest, start, end, place, n_words) of each unit: offsets in code points, place among all units of the text."""
     raw = text.encode("utf-8", "replace")
     data = np.frombuffer(raw, np.uint8)
     if not len(data):
@@ -57,58 +63,62 @@ def units(text: str, min_words: int) -> list[tuple[bytes, int, int]]:
     words = raw.lower().split()
     line = np.searchsorted(np.flatnonzero(data == 10), begins)
     starts = np.flatnonzero(np.diff(line, prepend=-1))
-    out = []
+    short = np.diff(starts, append=len(words)) < min_words
+    starts = starts[~(short & np.append(False, short[:-1]))]  # a short line joins one before it
+    out, place = [], -1
     for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(words)], strict=True):
-        if b - a < min_words:
-            continue
         marks = [a, b]
         if b - a > LONG:
             h = np.fromiter(map(xxhash.xxh3_64_intdigest, words[a:b]), np.uint64, b - a)
             marks = [a, *(cut_after(h) + a + 1).tolist(), b]
         for i, j in zip(marks, marks[1:], strict=False):
+            place += 1
             if j - i >= min_words:
-                out.append((xxhash.xxh3_128_digest(b" ".join(words[i:j])), int(point[begins[i]]), int(point[ends[j - 1]])))
+                out.append((xxhash.xxh3_128_digest(b" ".join(words[i:j])), int(point[begins[i]]), int(point[ends[j - 1]]), place, j - i))
     return out
 
 
 def unit_rows(docs: DataFrame, *, min_words: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(digest, doc, start, end) of every unit."""
+    """(digest, doc, start, end, place, n_words) of every unit."""
+    names = ["digest", "start", "end", "place", "n_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                digest, row, start, end = [], [], [], []
-                for i, text in enumerate(part.column(1)):
-                    for d, s, e in units(text.as_py(), min_words):
-                        digest.append(d)
-                        row.append(i)
-                        start.append(s)
-                        end.append(e)
-                doc = part.column(0).take(pa.array(row, pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), doc, pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["digest", "doc", "start", "end"])
+                found = [units(text.as_py(), min_words) for text in part.column(1)]
+                rows = [x for some in found for x in some]
+                doc = part.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(some) for some in found]), pa.int32()))
+                columns = [pa.array([x[k] for x in rows], pa.int32() if k else pa.binary()) for k in range(len(names))]
+                yield pa.RecordBatch.from_arrays([doc, *columns], names=["doc", *names])
 
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
-    return rows.mapInArrow(run, f"digest binary, doc {dict(rows.dtypes)['doc']}, start int, end int")
+    return rows.mapInArrow(run, f"doc {dict(rows.dtypes)['doc']}, digest binary, start int, end int, place int, n_words int")
 
 
-def repeated_units(docs: DataFrame, *, min_words: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, start, end, first_doc, first_start) of every unit that occurs earlier; to be removed."""
-    rows = unit_rows(docs, min_words=min_words, id_col=id_col, text_col=text_col)
+def repeated_units(docs: DataFrame, *, min_words: int = 6, min_run: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, start, end, first_doc, first_start) of every unit that occurs earlier, in a run of such units that is long enough; to be removed."""
+    rows = stored(unit_rows(docs, min_words=min_words, id_col=id_col, text_col=text_col), "units")
     first = rows.groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return rows.join(first, "digest").where("struct(doc, start) > first").select("doc", "start", "end", F.col("first.doc").alias("first_doc"), F.col("first.start").alias("first_start"))
+    found = rows.join(stored(first, "firsts"), "digest").where("struct(doc, start) > first")
+    # Places that follow each other differ from their rank by the same number; equal places come from rows with equal ids.
+    rank = F.dense_rank().over(Window.partitionBy("doc").orderBy("place"))
+    runs = found.withColumn("run", F.col("place") - rank)
+    runs = runs.withColumn("words", F.sum("n_words").over(Window.partitionBy("doc", "run"))).where(F.col("words") >= min_run)
+    return runs.select("doc", "start", "end", F.col("first.doc").alias("first_doc"), F.col("first.start").alias("first_start"))
 
 
-def substring_dedup(docs: DataFrame, *, min_words: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, *, min_words: int = 6, min_run: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the repeated units in its texts, plus ``removed``: (start, end) of each in the original text."""
-    spans = repeated_units(docs, min_words=min_words, id_col=id_col, text_col=text_col)
-    spans = spans.groupBy(F.col("doc").alias("_doc")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_spans"))
-    joined = docs.join(spans, docs[id_col] == spans["_doc"], "left")
-    text = F.col(text_col)
-    begins = F.concat(F.array(F.lit(0)), F.transform("_spans", lambda s: s["end"]))
-    ends = F.concat(F.transform("_spans", lambda s: s["start"]), F.array(F.length(text)))
+    spans = repeated_units(docs, min_words=min_words, min_run=min_run, id_col=id_col, text_col=text_col)
+    spans = spans.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    # The row travels as one column, so that no name of its own meets one of the spans'.
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*[c for c in docs.columns if c not in (text_col, "removed")]).alias("row"))
+    joined = rows.join(spans, F.col("id") == F.col("doc"), "left")
+    begins = F.concat(F.array(F.lit(0)), F.transform("spans", lambda s: s["end"]))
+    ends = F.concat(F.transform("spans", lambda s: s["start"]), F.array(F.length("text")))
     # Texts become arrays of code points, so that each cut costs its own length only.
-    cut = let(F.split(text, ""), lambda t: F.array_join(F.flatten(F.zip_with(begins, ends, lambda a, b: F.slice(t, a + 1, F.greatest(b - a, F.lit(0))))), ""))
-    kept = [F.col(c) for c in docs.columns if c not in (text_col, "removed")]
+    cut = let(F.split("text", ""), lambda t: F.array_join(F.flatten(F.zip_with(begins, ends, lambda a, b: F.slice(t, a + 1, F.greatest(b - a, F.lit(0))))), ""))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    return joined.select(*kept, F.when(F.col("_spans").isNull(), text).otherwise(cut).alias(text_col), F.coalesce("_spans", none).alias("removed"))
+    new = F.struct(F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut).alias(text_col), F.coalesce("spans", none).alias("removed"))
+    return joined.select("row", new.alias("new")).select("row.*", "new.*")
