@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tracelake.llm.oracle import ORACLE
-from tracelake.llm.quality_rules import bin_of, bin_top, quality_features, quality_rules, quantile_sketch, text_features
+from tracelake.llm.quality_rules import base_failed, bin_of, bin_top, quality_features, quality_rules, quantile_sketch, text_features, thresholds
 from tracelake.llm.queries import op3_quality_rules
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -63,6 +63,28 @@ def test_clean_documents_stay(spark):
     assert all(got[i] for i in range(200)) and not any(got[1000 + i] for i in range(3))
 
 
+def test_a_source_full_of_junk(spark):
+    """Fences follow each source's own texts; a source with much junk can't raise its own."""
+    clean = lambda i, mark: " ".join(f"word{(i * 31 + k * k) % 9973}{mark if k % 6 == i % 3 else ''}" for k in range(60))
+    rows = [(i, clean(i, ""), "en", f"s{i % 5}") for i in range(500)]
+    rows += [(1000 + i, clean(i, "#"), "en", f"marked{i % 2}") for i in range(160)]  # sources whose clean texts have marks
+    rows += [(2000 + i, clean(i, ""), "en", "hot") for i in range(300)] + [(3000 + i, " ".join(f"#$%{i}w{k}" for k in range(60)), "en", "hot") for i in range(250)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    got = {r.doc_id: r.kept for r in quality_features(docs).collect()}
+    assert not any(got[3000 + i] for i in range(250))
+    assert all(kept for k, kept in got.items() if k < 3000)
+
+
+def test_fences_follow_the_sources(docs):
+    """No measure that varies has one fence for all; nearly every source has a word length of its own."""
+    features = text_features(docs)
+    found = thresholds(features, ["lang", "source"]).collect()
+    assert len({r.fence_word_length for r in found}) > 1 and len({r.fence_repeats for r in found}) > 1
+    kept = {r.doc_id for r in quality_features(docs).where("kept").collect()}
+    base = {r.doc_id for r in base_failed(features).where("not base_failed").select("doc_id").collect()}
+    assert kept <= base and len(kept) > 0.8 * len(base)
+
+
 def test_messy(messy, none):
     rows = quality_features(messy).collect()
     assert len(rows) == messy.count()

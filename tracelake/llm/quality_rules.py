@@ -5,19 +5,25 @@ histograms per language and source; ``thresholds`` reads quantiles off them;
 ``quality_rules`` joins the thresholds back and gives the verdicts. Everything
 runs as DataFrame operations.
 
-The sketch: a value below 32 is its own bin; a larger one is binned by its top
-five bits, so a bin's width is at most 1/16 of its values. Bins are integers and
+The sketch: a value below 256 is its own bin; a larger one is binned by its top
+eight bits, so a bin's width is at most 1/128 of its values. Bins are integers and
 counts add up, so sketches merge in any order to the same result. A language
 and source that holds a third of all rows reaches a task only as one row for
 each bin and map task.
 
-A text fails the method's rules if one of its measures lies above both the
-fence ``q75 + spread * (q75 - q25)`` of its language and source and the measure's
-least fence. Clean texts of a clean source thus stay, however its quantiles lie.
+Thresholds come from the data alone: a measure's fence is ``high + spread * (high -
+low)`` of two quantiles of the texts that pass the base rules. A source with fewer
+than LEAST_ROWS such texts takes the fence of its language's merged sketch. No fence
+is above CAP times the source's own median or the median of the fences of the
+language's larger sources, each of which counts once, whichever is more: a source
+where less than half is junk can't raise its own. A text fails if
+one of its measures lies above the fence and what it counts occurs at least
+``evidence`` times, so that one mark in a short text decides nothing.
 
 Defined cases: a null text has no words and fails the base; null languages and
-sources form groups of their own; an empty table gives an empty result; rows
-that repeat are judged alike. Only the named columns are read.
+sources form groups of their own; a group none of whose texts pass the base has no
+fences; an empty table gives an empty result; rows that repeat are judged alike.
+Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -28,15 +34,16 @@ from pyspark.sql import functions as F
 from tracelake.llm.common import WORD, let, stored
 
 WINDOW = 5
-#: The measures, integers per text (1000 times a ratio), and the least fence of each.
+#: The measures, integers per text (1000 times a ratio): hundredths of the low and the high quantile, spread, what is counted, evidence.
 MEASURES = {
-    "symbols": 300,  # of #*$%&|<> per word
-    "bangs": 400,  # exclamation marks per word
-    "word_length": 9000,  # code points per word
-    "repeats": 150,  # repeated words per word
-    "dup_lines": 350,  # repeated lines per line with a word
+    "symbols": (50, 90, 4, "n_symbols", 3),  # of #*$%&|<> per word
+    "bangs": (50, 90, 4, "n_bangs", 3),  # exclamation marks per word
+    "word_length": (25, 75, 4, "n_words", 1),  # code points per word
+    "repeats": (50, 95, 4, "n_repeat_words", 15),  # repeated words per word
+    "dup_lines": (50, 97, 1, "n_dup_lines", 3),  # repeated lines per line with a word
 }
-SPREAD = 4
+#: Texts from which a source has fences of its own; bound of its fences, in hundredths of the medians.
+LEAST_ROWS, CAP = 30, 150
 
 
 def repeat_words(words: Column) -> Column:
@@ -117,16 +124,16 @@ def measures() -> dict[str, Column]:
 
 
 def bin_of(value: Column) -> Column:
-    """Bin of a non-negative integer: itself below 32, then 16 bins for each power of two."""
-    shift = F.length(F.bin(value)) - 5
+    """Bin of a non-negative integer: itself below 256, then 128 bins for each power of two."""
+    shift = F.length(F.bin(value)) - 8
     top = F.call_function("shiftright", value, shift)
-    return F.when(value < 32, value).otherwise(shift * 32 + top).cast("long")
+    return F.when(value < 256, value).otherwise(shift * 256 + top).cast("long")
 
 
 def bin_top(code: Column) -> Column:
     """The largest value of a bin."""
-    shift = F.floor(code / 32).cast("int")
-    return F.when(code < 32, code).otherwise(F.call_function("shiftleft", (code - shift * 32 + 1).cast("long"), shift) - 1)
+    shift = F.floor(code / 256).cast("int")
+    return F.when(code < 256, code).otherwise(F.call_function("shiftleft", (code - shift * 256 + 1).cast("long"), shift) - 1)
 
 
 def quantile_sketch(rows: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
@@ -135,36 +142,54 @@ def quantile_sketch(rows: DataFrame, keys: list[str], values: dict[str, Column])
     return rows.select(*keys, F.explode(pairs).alias("p")).groupBy(*keys, "p.measure", "p.code").agg(F.count(F.lit(1)).alias("n"))
 
 
-def quantiles(sketch: DataFrame, keys: list[str], shares: dict[str, int]) -> DataFrame:
-    """For each key and measure the bin tops at the shares (in hundredths)."""
+def by_measure(field: int) -> Column:
+    """A field of MEASURES for the row's measure."""
+    return F.create_map(*[F.lit(x) for m, spec in MEASURES.items() for x in (m, spec[field])])[F.col("measure")]
+
+
+def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, measure, n, middle, fence) from a sketch: n texts, their median, and the fence of their quantiles' bin tops."""
     by = Window.partitionBy(*keys, "measure")
     ranked = sketch.withColumns({"upto": F.sum("n").over(by.orderBy("code")), "total": F.sum("n").over(by)})
-    found = [F.min(F.when(100 * F.col("upto") >= share * F.col("total"), F.col("code"))).alias(name) for name, share in shares.items()]
-    at = ranked.groupBy(*keys, "measure").agg(*found)
-    return at.withColumns({name: bin_top(F.col(name)) for name in shares})
+    at = lambda share: F.min(F.when(100 * F.col("upto") >= share * F.col("total"), F.col("code")))
+    found = ranked.groupBy(*keys, "measure").agg(F.first("total").alias("n"), at(by_measure(0)).alias("low"), at(by_measure(1)).alias("high"), at(F.lit(50)).alias("middle"))
+    low, high = bin_top(F.col("low")), bin_top(F.col("high"))
+    return found.select(*keys, "measure", "n", bin_top(F.col("middle")).alias("middle"), (high + by_measure(2) * (high - low)).alias("fence"))
 
 
 def thresholds(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, fence_<measure>...): one row for each language and source."""
-    q = quantiles(quantile_sketch(rows, keys, measures()), keys, {"q25": 25, "q75": 75})
-    fence = F.greatest(F.col("q75") + SPREAD * (F.col("q75") - F.col("q25")), F.create_map(*[F.lit(x) for kv in MEASURES.items() for x in kv])[F.col("measure")].cast("long"))
-    return q.withColumn("fence", fence).groupBy(*keys).agg(*[F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(f"fence_{m}") for m in MEASURES])
+    """(keys, fence_<measure>...): one row for each language and source with texts that pass the base."""
+    sketch = stored(quantile_sketch(base_failed(rows).where("not base_failed"), keys, measures()), "sketch")
+    above = keys[:-1]
+    own, parent = fences(sketch, keys), fences(sketch.groupBy(*above, "measure", "code").agg(F.sum("n").alias("n")), above)
+    # One value for each source; fences are bin tops and sums of two of them, so few are distinct.
+    medians = own.where(F.col("n") >= LEAST_ROWS).groupBy(*above, "measure").agg(F.expr("percentile_disc(0.5) within group (order by fence)").alias("median"))
+    beside = _beside(parent, medians, [*above, "measure"]).select(*above, "measure", F.col("fence").alias("merged"), F.col("median").cast("long").alias("median"))
+    both = _beside(own, beside, [*above, "measure"])
+    fence = F.least(F.when(F.col("n") >= LEAST_ROWS, F.col("fence")).otherwise(F.col("merged")), F.expr(f"{CAP}L * greatest(median, middle) div 100"))
+    found = both.select(*keys, "measure", fence.alias("fence"))
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(f"fence_{m}") for m in MEASURES])
+
+
+def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """All rows of ``left`` with the columns of ``right`` that has equal keys; nulls are equal."""
+    names = {k: f"_right_{k}" for k in keys}
+    right = right.withColumnsRenamed(names)
+    same = F.lit(True)
+    for k, name in names.items():
+        same = same & F.col(k).eqNullSafe(F.col(name))
+    return left.join(right, same, "left").drop(*names.values())
 
 
-def judge(rows: DataFrame, fences: DataFrame, keys: list[str]) -> DataFrame:
+def judge(rows: DataFrame, limits: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` (features) with base_failed and kept."""
-    names = [f"_k{i}" for i in range(len(keys))]
-    limits = fences.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], *[f"fence_{m}" for m in MEASURES])
-    same = F.lit(True)
-    for k, n in zip(keys, names, strict=True):
-        same = same & rows[k].eqNullSafe(limits[n])
-    joined = base_failed(rows).join(limits, same, "left")
+    joined = _beside(base_failed(rows), limits, keys)
     above = F.lit(False)
     for m, value in measures().items():
-        above = above | F.coalesce(value > F.col(f"fence_{m}"), F.lit(False))
+        above = above | F.coalesce((value > F.col(f"fence_{m}")) & (F.col(MEASURES[m][3]) >= MEASURES[m][4]), F.lit(False))
     # One predicate of both sides: a part that needs the left side only would be pushed below the join and count the words twice.
     kept = F.greatest(F.col("base_failed").cast("int"), above.cast("int")) == 0
-    return joined.withColumn("kept", kept).drop(*names, *[f"fence_{m}" for m in MEASURES])
+    return joined.withColumn("kept", kept).drop(*[f"fence_{m}" for m in MEASURES])
 
 
 def quality_features(docs: DataFrame, *, keys: tuple[str, ...] = ("lang", "source"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,5 +208,5 @@ def quality_rules(docs: DataFrame, *, keys: tuple[str, ...] = ("lang", "source")
     # The row travels as one column, so that no name of its own meets one of the rules'.
     rows = docs.select(F.struct("*").alias("_row"), *keys, text_col)
     features = stored(text_features(rows, text_col=text_col).drop(text_col), "quality")
-    fences = stored(thresholds(features, list(keys)), "fences")
-    return judge(features, fences, list(keys)).where("kept").select("_row.*")
+    limits = stored(thresholds(features, list(keys)), "fences")
+    return judge(features, limits, list(keys)).where("kept").select("_row.*")
