@@ -106,6 +106,51 @@ def test_probabilities_over_groups_and_buckets_add_up(monkeypatch):
     assert np.allclose(again.log_probability(contexts, targets), model.log_probability(contexts, targets))
 
 
+def test_scores_do_not_depend_on_partitions(docs, monkeypatch):
+    monkeypatch.setattr(lb, "SHARD", 50)
+    one, eight = ({r.doc_id: r.score for r in lb.lm_scores(docs.repartition(k)).collect()} for k in (1, 8))
+    assert one.keys() == eight.keys() and all(one[k] == pytest.approx(eight[k], rel=1e-6) for k in one)
+
+
+def test_scores_equal_plain_softmax(docs, texts, monkeypatch):
+    """Scores from the trained parameters: every distribution is summed up in full, one token after the other."""
+    monkeypatch.setattr(lb, "FREQUENT", 300)
+    monkeypatch.setattr(lb, "SHORTLIST", 60)
+    kept, own = [], lb.trained
+    monkeypatch.setattr(lb, "trained", lambda rows, vocabulary, **k: kept.append((own(rows, vocabulary, **k), vocabulary)) or kept[-1][0])
+    got = {r.doc_id: r for r in lb.lm_scores(docs).collect()}
+    model, v = kept[0]
+    counts = Counter(w for k, t in texts.items() if not held(k) for w in lb.tokens_of(t))
+    bucket = lambda w: v.bucket[zlib.crc32(w) % len(v.bucket)]
+    sums = Counter()
+    for w, n in counts.items():
+        if w not in v.known:
+            sums[bucket(w)] += n + 1
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    for k in sorted(texts)[:12]:
+        words = lb.tokens_of(texts[k])[-120:] if len(lb.tokens_of(texts[k])) < 120 else lb.tokens_of(texts[k])
+        ids, total = [v.known.get(w, None) if w in v.known else bucket(w) for w in words], 0.0
+        for i, (w, x) in enumerate(zip(words, ids, strict=True)):
+            before = [ids[i - 1 - j] if i - 1 - j >= 0 else len(v.unigram) for j in range(lb.CONTEXT)]
+            h = sum(model.r[b].astype(float) * model.c[j] for j, b in enumerate(before))
+            p = soft(model.q @ h + model.b)[model.top[x]]
+            if x >= model.head:
+                a, e = v.offsets[model.group[x - model.head] :][:2]
+                p *= soft(model.qm[a:e] @ h + model.bm[a:e])[x - model.head - a]
+            if w not in v.known:
+                p *= (counts[w] + 1) / (sums[x] + 1)
+            total += math.log10(p)
+        assert got[k].score == pytest.approx(total, rel=1e-4)
+
+
+def test_long_tokens_are_tokens(spark):
+    """Tokens of any length can be frequent, and each is a token of its own."""
+    long = ["x" * 70 + c for c in "ab"]
+    rows = [(k, f"one {long[k % 2]} two") for k in range(400)]
+    out = {r.doc_id: r for r in lb.lm_scores(spark.createDataFrame([*rows, (900, f"one {'x' * 70}c two")], "doc_id bigint, text string")).collect()}
+    assert out[0].n_known == 4 and out[900].n_known == 3 and out[900].score < out[0].score - 1
+
+
 def test_messy(messy, none, spark):
     rows = lb.lm_scores(messy).collect()
     assert len(rows) == messy.count()

@@ -13,12 +13,15 @@ of output w is h . Q[w] + b[w]. The most frequent tokens (at most SHORTLIST) are
 outputs of the upper level; all other words and the buckets are dealt to groups,
 about as many as a group has members. A group is one more output of the upper
 level, and its members are normalised among themselves, so that the cost of a token
-grows as the root of the vocabulary. Each task trains on all of its training texts,
-in mini-batches: the upper level against shared noise drawn from the unigram
-distribution, members against noise from their group. All tasks start from the same
-parameters; Spark averages them, the upper level weighted by the tasks' tokens, the
-rows of words and buckets by how often the task met them.
-
+grows as the root of the vocabulary. Training texts are dealt to shards by a hash of their
+ids, one for each SHARD of them; each shard trains on all of its texts in the order of
+their ids, in mini-batches: the upper level against shared noise drawn from the unigram
+distribution, members against noise from their group. All shards start from the same
+parameters; Spark averages them, the upper level weighted by the shards' tokens, the
+rows of words and buckets by how often the shard met them. So the model depends on the
+texts and ids alone, not on how the table is partitioned.
+
+A token of more than LONGEST bytes is told apart by a digest of its bytes.
 Tokens up to FREQUENT most frequent ones (a bounded table) reach the tasks by
 closure; the counts of all rarer tokens meet the texts' tokens in a join.
 
@@ -32,6 +35,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
+from itertools import groupby, islice
 from zlib import crc32
 
 import numpy as np
@@ -46,12 +51,15 @@ SHORTLIST, FREQUENT, LONGEST = 510, 60_000, 64
 CONTEXT, DIM, NOISE, BATCH = 3, 16, 48, 4096
 #: Noise for each member of a group; buckets for each root of the number of rare tokens; rows of parameters that travel together.
 GROUP_NOISE, BUCKETS, BLOCK = 8, 4, 512
+#: Texts of a shard, and of them that are cut into mini-batches together.
+SHARD, TEXTS = 8192, 512
 LEARNING_RATE = 0.25
 END = b""  # no word is empty
 
 
 def tokens_of(text: str | None) -> list[bytes]:
-    return [*(text or "").encode("utf-8", "replace").lower().split(), END]
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    return [*(w if len(w) <= LONGEST else b"\0" + blake2b(w, digest_size=20).digest() for w in words), END]
 
 
 def held_out(id_col: str):
@@ -81,8 +89,8 @@ def token_counts(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
 
 
 def frequent_tokens(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """Tokens of at most LONGEST bytes with at least the count that at most ``most`` tokens reach; by falling count."""
-    sizes = counts.where(F.length("token") <= LONGEST).groupBy("n").agg(F.count(F.lit(1)).alias("k"))
+    """Tokens with at least the count that at most ``most`` tokens reach; by falling count."""
+    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("k"))
     # Distinct counts above the cut number at most ``most``; the rest need not reach the driver.
     least, total = None, 0
     for n, k in sizes.orderBy(F.desc("n")).limit(most + 1).collect():
@@ -92,7 +100,7 @@ def frequent_tokens(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
         least = n
     if least is None:
         return []
-    found = counts.where((F.length("token") <= LONGEST) & (F.col("n") >= least)).collect()
+    found = counts.where(F.col("n") >= least).collect()
     return sorted(((bytes(r["token"]), r["n"]) for r in found), key=lambda x: (-x[1], x[0]))
 
 
@@ -300,33 +308,36 @@ def rare_buckets(counts: DataFrame, frequent: list[tuple[bytes, int]], n_types:
     """Counts and numbers of the tokens that are not frequent, by bucket."""
     k = max(1, int(np.ceil(BUCKETS * (n_types - len(frequent)) ** 0.5)))
     out = np.zeros((k, 2))
-    rare = counts.where((F.length("token") > LONGEST) | (F.col("n") < frequent[-1][1])) if frequent else counts
+    rare = counts.where(F.col("n") < frequent[-1][1]) if frequent else counts
     for r in rare.groupBy((F.crc32("token") % k).alias("k")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect():  # one row for each bucket
         out[r["k"]] = r["n"], r["types"]
     return out
 
 
-def trained(docs: DataFrame, vocabulary: Vocabulary, *, text_col: str = "text") -> LogBilinear:
-    """The model averaged over tasks, each trained on all of its rows."""
+def trained(docs: DataFrame, vocabulary: Vocabulary, *, id_col: str = "doc_id", text_col: str = "text") -> LogBilinear:
+    """The model averaged over shards, each trained on all of its rows."""
     start, width = len(vocabulary.unigram), 4 * (DIM + 2)
+    shards = max(1, -(-docs.count() // SHARD))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shard_rows(shard: int, texts: Iterator[str | None]) -> Iterator[pa.RecordBatch]:
         model, state, seen = LogBilinear(vocabulary.unigram, offsets=vocabulary.offsets), {}, 0
-        draw = np.random.default_rng(TaskContext.get().partitionId())
-        for batch in batches:
-            for row in range(0, batch.num_rows, 512):
-                ids = [vocabulary.ids(tokens_of(t.as_py())) for t in batch.column(0).slice(row, 512)]
-                contexts, targets = windows(ids, start)
-                order = draw.permutation(len(targets))
-                for at in range(0, len(order), BATCH):
-                    some = order[at : at + BATCH]
-                    model.train(contexts[some], targets[some], draw, state)
-                seen += len(targets)
-        if seen:
-            weights = model.row_weights(seen, state)[:, None]
-            rows = np.concatenate([model.rows() * weights, weights], axis=1).astype("<f4")
-            for at in range(0, len(rows), BLOCK):
-                yield pa.RecordBatch.from_arrays([pa.array([at // BLOCK], pa.int32()), pa.array([rows[at : at + BLOCK].tobytes()], pa.binary())], names=["block", "v"])
+        draw = np.random.default_rng(shard)
+        for some in iter(lambda: list(islice(texts, TEXTS)), []):
+            contexts, targets = windows([vocabulary.ids(tokens_of(t)) for t in some], start)
+            order = draw.permutation(len(targets))
+            for at in range(0, len(order), BATCH):
+                part = order[at : at + BATCH]
+                model.train(contexts[part], targets[part], draw, state)
+            seen += len(targets)
+        weights = model.row_weights(seen, state)[:, None]
+        rows = np.concatenate([model.rows() * weights, weights], axis=1).astype("<f4")
+        for at in range(0, len(rows), BLOCK):
+            yield pa.RecordBatch.from_arrays([pa.array([at // BLOCK], pa.int32()), pa.array([rows[at : at + BLOCK].tobytes()], pa.binary())], names=["block", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((k, t) for batch in batches for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+        for shard, some in groupby(rows, lambda r: r[0]):
+            yield from shard_rows(shard, (t.as_py() for _, t in some))
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -338,13 +349,16 @@ def trained(docs: DataFrame, vocabulary: Vocabulary, *, text_col: str = "text")
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([x.astype("<f4").tobytes()], pa.binary())], names=["block", "v"])
 
     schema = "block int, v binary"
-    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(run, schema)
+    by_shard = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(shards))
+    rows = docs.select(by_shard.alias("shard"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "id", "text").select("shard", "text")
+    parts = rows.mapInArrow(run, schema)
     found = parts.repartition("block").mapInArrow(added, schema).collect()  # one row for each block of parameters
     model = LogBilinear(vocabulary.unigram, offsets=vocabulary.offsets)
     if found:
         flat = np.frombuffer(b"".join(bytes(r["v"]) for r in sorted(found, key=lambda r: r["block"])), "<f4").reshape(-1, width // 4)
         weights = flat[:, -1:]
-        # Rows that no task met stay as they are.
+        # Rows that no shard met stay as they are.
         model.load_rows(np.where(weights > 0, flat[:, :-1] / np.maximum(weights, 1e-9), model.rows()))
     return model
 
@@ -357,7 +371,7 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     n_train, n_types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     frequent = frequent_tokens(counts, FREQUENT)
     vocabulary = Vocabulary(frequent, rare_buckets(counts, frequent, n_types))
-    model = trained(train, vocabulary)
+    model = trained(train, vocabulary, id_col=id_col)
 
     start = len(vocabulary.unigram)
     is_bucket = np.zeros(start, bool)
@@ -391,7 +405,7 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
     schema = f"key bigint, `{id_col}` {kind}, held_out boolean, n_tokens bigint, n_frequent bigint, base double, model double, shared double, rare array<binary>"
     scored = stored(rows.select(id_col, "text", "held_out").mapInArrow(run, schema), "scored")
-    # Rare tokens meet their counts; none of them is frequent, so no key is hot.
+    # Rare tokens meet their counts; each is rarer than FREQUENT others, so no key is hot.
     seen = scored.select("key", F.explode("rare").alias("token")).join(counts, "token").groupBy("key").agg(F.count(F.lit(1)).alias("n_rare"), F.sum(F.log10(F.col("n") + 1)).alias("rare_log"))
     out = scored.drop("rare").join(seen, "key", "left")
     log_all = float(np.log10(n_train + n_types + 1))
