@@ -110,3 +110,36 @@ def test_asof_and_unwrap(spark):
     assert [r.frame for r in tokens.asof(q, f, forward=False).orderBy("ts_ns").collect()] == [0, 5, 5, 10]
     t = spark.createDataFrame([("e", i, x) for i, x in enumerate([8, 9, 1, 2])], "episode string, seq bigint, t bigint")
     assert [r.t for r in tokens.unwrap(t, 10).orderBy("seq").collect()] == [8, 9, 11, 12]
+
+
+def test_resample_routes_by_topic(spark):
+    """At 20 Hz: raw moves are summed up, button rows pass, held keys repeat uniformly and keep their release, screens are thinned."""
+    ms = 10**6
+    move = lambda x, flags=0: f'{{"last_x":{x},"last_y":1,"button_flags":{flags}}}'
+    key = lambda kind: f'{{"event_type":"{kind}","vk":65}}'
+    rows = [
+        ("e", 1, 1000 * ms, "mouse/raw", move(1)), ("e", 2, 1010 * ms, "mouse/raw", move(2)), ("e", 3, 1020 * ms, "mouse/raw", move(7, 1)), ("e", 4, 1060 * ms, "mouse/raw", move(4)),
+        ("e", 5, 1100 * ms, "keyboard", key("press")), ("e", 6, 1130 * ms, "keyboard", key("press")), ("e", 7, 1210 * ms, "screen", "{}"), ("e", 8, 1220 * ms, "screen", "{}"), ("e", 9, 1230 * ms, "keyboard", key("release")),
+        ("e", 10, 1240 * ms, "window", "{}"),
+    ]
+    log = spark.createDataFrame(rows, "episode string, seq bigint, ts_ns bigint, topic string, payload string")
+    out = resample.resample(log, {"mouse/raw": 20.0, "keyboard": 20.0, "screen": 20.0}).withColumn("x", F.get_json_object("payload", "$.last_x").cast("int"))
+    got = sorted((r.topic, r.ts_ns // ms, r.x) for r in out.collect())
+    assert got == [
+        ("keyboard", 1100, None), ("keyboard", 1150, None), ("keyboard", 1200, None), ("keyboard", 1230, None),
+        ("mouse/raw", 1000, 1), ("mouse/raw", 1020, 7), ("mouse/raw", 1060, 6), ("screen", 1210, None), ("window", 1240, None),
+    ]
+    kinds = [F.get_json_object("payload", "$.event_type").alias("k")]
+    assert [r.k for r in out.where("topic = 'keyboard'").orderBy("ts_ns").select(*kinds).collect()] == ["press", "press", "press", "release"]
+
+
+def test_logs_are_numbered_alike_however_they_are_read(spark, tmp_path):
+    from tracelake.sources.logs import read_jsonl, read_log, write_log
+
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"episode":"{name}","ts_ns":{(i * 7) % 10},"topic":"t","message_type":"x/Y","payload":"{i}"}}\n' for i in range(10)))
+    both, one = read_jsonl(spark, str(tmp_path)), read_jsonl(spark, str(tmp_path / "a.jsonl"))
+    of = lambda df: {(r.episode, r.payload): r.seq for r in df.where("episode = 'a'").collect()}
+    assert of(both) == of(one) and sorted(of(one).values()) == list(range(10))
+    write_log(both, str(tmp_path / "log"))
+    assert sorted(map(tuple, read_log(spark, str(tmp_path / "log")).select(*both.columns).collect())) == sorted(map(tuple, both.collect()))

@@ -9,10 +9,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.operators import intervals, logs, resample
-from tracelake.plans.oracle import ORACLE
-from tracelake.plans.queries import QUERIES, log
+from tracelake.plans import more_queries
+from tracelake.plans import oracle, queries
+from tracelake.plans.queries import log
 from tracelake.streaming import live
 
+QUERIES, ORACLE = {**queries.QUERIES, **more_queries.QUERIES}, {**oracle.ORACLE, **more_queries.ORACLE}
+
 
 @pytest.fixture(scope="module")
 def duck(sf_dir):

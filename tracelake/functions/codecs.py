@@ -121,8 +121,15 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
+def _inside(token: Column, prefix: str, allowed: str) -> Column:
+    """What a token ``<prefix...>`` holds after its prefix; null if that is empty or has other characters."""
+    n = len(prefix) + 1
+    text = F.substring(token, F.lit(n + 1), F.length(token) - (n + 1))
+    return F.when(token.startswith(f"<{prefix}") & token.endswith(">") & (text != "") & (F.translate(text, allowed, "") == ""), text)
+
+
 def _number(token: Column, prefix: str = "") -> Column:
-    return F.regexp_extract(token, rf"^<{prefix}([0-9]+)>$", 1).try_cast("long")
+    return _inside(token, prefix, "0123456789").try_cast("long")
 
 
 def decode_event(text: Column, form: str = "compact") -> Column:
@@ -133,7 +140,7 @@ def decode_event(text: Column, form: str = "compact") -> Column:
 def _decoded(t: Column, form: str) -> Column:
     bases = COMPACT["time"] if form == "compact" else INTERLEAVED["time"]
     at = lambda i: F.get(t, F.lit(i))
-    kind = F.regexp_replace(at(1), "[<>]", "")
+    kind = F.translate(at(1), "<>", "")
     ts = from_digits([_number(at(2 + i)) for i in range(len(bases))], bases, signed=False) * TICK_NS
     n, body = F.size(t), 2 + len(bases)
     none = F.lit(None)
@@ -141,16 +148,16 @@ def _decoded(t: Column, form: str) -> Column:
         sign = lambda i: F.when(at(i) == "<SIGN_PLUS>", 1).when(at(i) == "<SIGN_MINUS>", -1)
         number = lambda i: from_digits([_number(at(i + j)) for j in range(4)], COMPACT["delta"], signed=False)
         dx, dy, flags_at, scroll_at = sign(body) * number(body + 1), sign(body + 5) * number(body + 6), body + 10, body + 13
-        hexes, vk = [F.regexp_extract(at(flags_at + i), "^<MB_([0-9a-f])>$", 1) for i in range(3)], _number(at(body), "VK_")
+        hexes, vk = [_inside(at(flags_at + i), "MB_", "0123456789abcdef") for i in range(3)], _number(at(body), "VK_")
         scroll, length = sign(scroll_at) * _number(at(scroll_at + 1)), 2
     else:
         dx, dy = (from_digits([_number(at(body + 2 * j + k)) for j in range(4)], INTERLEAVED["delta"]) for k in (0, 1))
         flags_at, scroll_at = body + 8, body + 11
-        hexes, vk = [F.regexp_extract(at(flags_at + i), "^<([0-9a-f])>$", 1) for i in range(3)], _number(at(body))
+        hexes, vk = [_inside(at(flags_at + i), "", "0123456789abcdef") for i in range(3)], _number(at(body))
         scroll, length = from_digits([_number(at(scroll_at + j)) for j in range(2)], INTERLEAVED["scroll"]), 2
     hex_text = F.concat(*hexes)
     flags = F.when(F.length(hex_text) == 3, F.conv(hex_text, 16, 10).cast("int"))
-    action = F.regexp_replace(at(body + 1), "[<>]", "")
+    action = F.translate(at(body + 1), "<>", "")
     out = lambda **f: F.struct(
         kind.alias("kind"), ts.alias("ts_ns"), *[(f[k] if k in f else none).cast(c).alias(k) for k, c in (("vk", "int"), ("event_type", "string"), ("dx", "int"), ("dy", "int"), ("button_flags", "int"), ("button_data", "int"))]
     )

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.operators.ordered import Grid, HoldRepeat, Thin, ordered_scan
+from tracelake.schema import PAYLOADS
 
 ORDER = ["ts_ns", "seq"]
 
@@ -65,11 +66,46 @@ def periods(rates_hz: dict[str, float]) -> dict[str, int]:
     return {t: int(1e9 / r) if r else 0 for t, r in rates_hz.items()}
 
 
+MOUSE, KEYBOARD = "mouse/raw", "keyboard"
+
+
+def raw_moves(events: DataFrame, every_ns: int, *, keys: tuple[str, ...] = ("episode",), init: int | None = 0) -> DataFrame:
+    """Raw mouse rows with their moves summed up (``sum_deltas``); rows with button flags pass."""
+    fields = F.from_json("payload", PAYLOADS["desktop/RawMouseEvent"])
+    part = lambda name: F.coalesce(fields[name], F.lit(0)).cast("bigint")
+    rows = events.withColumns({"_x": part("last_x"), "_y": part("last_y"), "_flags": part("button_flags")})
+    out = sum_deltas(rows, every_ns, ["_x", "_y"], F.col("_flags") == 0, keys=keys, init=init)
+    summed = F.to_json(fields.withField("last_x", F.col("_x")).withField("last_y", F.col("_y")))
+    return out.withColumn("payload", F.when(F.col("_flags") == 0, summed).otherwise(F.col("payload"))).drop("_x", "_y", "_flags")
+
+
+def held_keys(events: DataFrame, every_ns: int, *, keys: tuple[str, ...] = ("episode",)) -> DataFrame:
+    """Keyboard rows at a uniform rate (``key_repeat``); rows of all topics of ``events`` are the clock and go."""
+    fields = F.from_json("payload", "vk int, event_type string")
+    own = F.col("topic") == KEYBOARD
+    rows = events.withColumns({"_vk": F.when(own, fields["vk"]), "_pressed": F.when(own, fields["event_type"] == "press")})
+    out = key_repeat(rows, every_ns, key="_vk", pressed="_pressed", keys=keys).where(own | F.col("made"))
+    press = F.to_json(F.struct(F.lit("press").alias("event_type"), F.col("_vk").alias("vk"), F.col("ts_ns").alias("timestamp")))
+    made = {"topic": F.lit(KEYBOARD), "payload": press, "message_type": F.lit("desktop/KeyboardEvent")}
+    return out.withColumns({c: F.when(F.col("made"), v).otherwise(F.col(c)) for c, v in made.items() if c in events.columns}).select(*events.columns)
+
+
+def cursor_sample(events: DataFrame, every_ns: int, *, keys: tuple[str, ...] = ("episode",)) -> DataFrame:
+    """The first row, and then rows at least ``every_ns`` after the last kept one."""
+    return thin(events, every_ns, keys=keys, init=None)
+
+
 def resample(events: DataFrame, rates_hz: dict[str, float], *, keys: tuple[str, ...] = ("episode",), init: int | None = 0) -> DataFrame:
-    """Each topic thinned to its rate; topics without a rate pass. Topics with one rate share a scan."""
-    every = periods(rates_hz)
-    limited = {t: d for t, d in every.items() if d}
+    """Each topic at its rate: raw mouse moves are summed up, held keys repeat uniformly, other topics are thinned.
+
+    Topics without a rate pass; thinned topics with one rate share a scan.
+    """
+    limited = {t: d for t, d in periods(rates_hz).items() if d}
     parts = [events.where(F.col("topic").isNull() | ~F.col("topic").isin(list(limited)))] if limited else [events]
+    if MOUSE in limited:
+        parts.append(raw_moves(events.where(F.col("topic") == MOUSE), limited.pop(MOUSE), keys=keys, init=init))
+    if KEYBOARD in limited:
+        parts.append(held_keys(events, limited.pop(KEYBOARD), keys=keys))
     for d in sorted(set(limited.values())):
         parts.append(thin(events.where(F.col("topic").isin([t for t, x in limited.items() if x == d])), d, keys=(*keys, "topic"), init=init))
     return reduce(DataFrame.unionByName, parts)

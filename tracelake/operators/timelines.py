@@ -50,12 +50,15 @@ def active_labels(spans: DataFrame, label: str) -> DataFrame:
     steps = spans.select("episode", F.col(label), border.alias("b")).groupBy("episode", F.col("b.t").alias("t"), label).agg(F.sum("b.d").alias("d"))
     depth = Window.partitionBy("episode", label).orderBy("t")
     runs = steps.withColumns({"n": F.sum("d").over(depth), "_to": F.lead("t").over(depth)}).where("n > 0")
-    times = steps.select("episode", "t").distinct()
-    cells = times.withColumn("_next", F.lead("t").over(Window.partitionBy("episode").orderBy("t"))).where("_next is not null")
-    cells = cells.select("episode", F.col("t").alias("start_ns"), F.col("_next").alias("end_ns"))
+    by_time = Window.partitionBy("episode").orderBy("t")
+    cells = steps.select("episode", "t").distinct().withColumns({"cell": F.row_number().over(by_time), "_next": F.lead("t").over(by_time)})
+    # A run covers the cells from its own border to the one before its end, so that only what comes out is made.
+    at = lambda name: cells.select("episode", F.col("t").alias(name), F.col("cell").alias(f"{name}_cell"))
     runs = runs.select("episode", F.col("t").alias("_from"), "_to", F.col(label).alias("_label"))
-    found = cells.join(runs, "episode").where("_from <= start_ns and end_ns <= _to").groupBy("episode", "start_ns", "end_ns")
-    return found.agg(F.sort_array(F.collect_set("_label")).alias("labels"))
+    placed = runs.join(at("_from"), ["episode", "_from"]).join(at("_to"), ["episode", "_to"])
+    covered = placed.select("episode", "_label", F.explode(F.sequence(F.col("_from_cell"), F.col("_to_cell") - 1)).alias("cell"))
+    labels = covered.groupBy("episode", "cell").agg(F.sort_array(F.collect_set("_label")).alias("labels"))
+    return labels.join(cells, ["episode", "cell"]).select("episode", F.col("t").alias("start_ns"), F.col("_next").alias("end_ns"), "labels")
 
 
 def ass_lines(cells: DataFrame) -> DataFrame:

@@ -187,7 +187,7 @@ FROM w GROUP BY episode, seq_no""",
 k AS (SELECT ev.*, row_number() OVER (PARTITION BY ev.episode ORDER BY ev.ts_ns, seq) AS i FROM ev LEFT JOIN f ON ev.episode = f.episode WHERE topic <> 'click' OR f.t IS NULL OR ev.ts_ns >= f.t + {6 * HOUR}),
 s AS (SELECT episode, seq, i, ts_ns + CASE WHEN topic = 'click' THEN {HOUR} ELSE 0 END AS ts_ns FROM k)
 SELECT episode, seq, ts_ns, row_number() OVER (PARTITION BY episode ORDER BY ts_ns, i)::INTEGER AS place FROM s""",
-    "collate_labels": "SELECT doc_id, array_to_string(list_transform(range(10), lambda i: CASE WHEN (doc_id + i) % 5 IN (0, 3) THEN -100 ELSE (doc_id + i) % 5 END), ',') AS labels FROM documents",
+    "collate_labels": "SELECT doc_id, array_to_string(list_transform(range(10), lambda i: CASE WHEN (doc_id + i) % 5 IN (0, 3) THEN -100 ELSE (doc_id + i) % 5 END), ',') AS labels, 1::INTEGER AS max_images FROM documents",
     "embed_mean": "SELECT label, place::INTEGER AS place, round(avg(x), 5) AS value FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS place FROM embeddings) GROUP BY label, place",
     "asof_forward": f"""{W}, q AS (SELECT * FROM ev WHERE topic = 'click'), f AS (SELECT episode, ts_ns, min(seq) AS seq FROM ev WHERE topic = 'view' GROUP BY episode, ts_ns)
 SELECT q.seq, f.seq AS frame FROM q ASOF LEFT JOIN f ON q.episode = f.episode AND q.ts_ns <= f.ts_ns""",
@@ -244,7 +244,7 @@ FROM ev GROUP BY episode""",
 SELECT seq, CASE WHEN f & 1 <> 0 THEN 'left' WHEN f & 4 <> 0 THEN 'right' ELSE 'middle' END AS button, true AS pressed FROM f WHERE f & 21 <> 0
 UNION ALL SELECT seq, CASE WHEN f & 2 <> 0 THEN 'left' WHEN f & 8 <> 0 THEN 'right' ELSE 'middle' END, false FROM f WHERE f & 42 <> 0""",
     "key_labels": f"{W} SELECT seq, coalesce(n_name, '?' || seq % 30) AS label FROM ev LEFT JOIN nation ON n_nationkey = seq % 30",
-    "catalog_search": "SELECT DISTINCT p_partkey, p_type AS name FROM part WHERE regexp_matches(p_type, '(?i)e.*t')",
+    "catalog_search": "SELECT DISTINCT p_partkey, p_type AS name FROM part WHERE regexp_matches(p_type, '(?i)s.*m')",
     "media_paths": """SELECT p_partkey, '/data/' || CASE WHEN p_partkey % 2 = 0 THEN replace(lower(p_brand), '#', '_') || '/' ELSE replace(lower(p_brand), '#', '_') || '/' END || 'video.mkv' AS path, '/root/a/b.mcap' AS episode FROM part""",
     "text_formats": f"""WITH s AS (SELECT o_orderkey, floor(o_totalprice)::BIGINT * (o_orderkey % 1000) AS b FROM orders)
 SELECT o_orderkey, CASE WHEN b >= 1024 * 1024 * 1024 THEN printf('%.2f GiB', b / 1073741824.0) WHEN b >= 1024 * 1024 THEN printf('%.2f MiB', b / 1048576.0) WHEN b >= 1024 THEN printf('%.2f KiB', b / 1024.0) ELSE b || ' B' END AS size, {srt('b')} AS at FROM s""",

@@ -149,13 +149,6 @@ def dedupe_press(spark: SparkSession, sf: str) -> DataFrame:
     return resample.first_presses(ev, "key", topic("view")).select("episode", "key", "seq", "topic")
 
 
-@query
-def key_repeat(spark: SparkSession, sf: str) -> DataFrame:
-    pressed = F.when(topic("view"), True).when(topic("click"), False)
-    ev = log(spark, sf).withColumns({"vk": F.when(pressed.isNotNull(), F.pmod("seq", F.lit(3))), "pressed": pressed})
-    return resample.key_repeat(ev, 3 * HOUR, DAY).select("episode", "seq", "ts_ns", "vk", "pressed", "made")
-
-
 @query
 def resampled_stage(spark: SparkSession, sf: str) -> DataFrame:
     config = EventConfig({"view": 1e9 / (6 * HOUR), "click": 0.0}, ("view", "click", "error"), active(TOPICS, DAY))
@@ -258,8 +251,8 @@ def encode_json(spark: SparkSession, sf: str) -> DataFrame:
 def tokenize(spark: SparkSession, sf: str) -> DataFrame:
     vocab = tokens.extend_vocabulary({}, codecs.vocabulary("compact"))
     rows = _codes(spark, sf, "compact").select("seq", F.explode(F.array("keyboard", "mouse")).alias("text")).where("text is not null")
-    ids = tokens.token_ids(F.col("text"), vocab)
-    return rows.select("seq", "text", F.array_join(ids, ",").alias("ids"), F.size(ids).alias("n"), (tokens.detokenize(ids, vocab) == F.col("text")).alias("same"))
+    coded = codecs.let(tokens.token_ids(F.col("text"), vocab), lambda ids: F.struct(F.array_join(ids, ",").alias("ids"), F.size(ids).alias("n"), (tokens.detokenize(ids, vocab) == F.col("text")).alias("same")))
+    return rows.withColumn("c", coded).select("seq", "text", "c.ids", "c.n", "c.same")
 
 
 @query
@@ -293,7 +286,9 @@ def skip_and_shift(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def collate_labels(spark: SparkSession, sf: str) -> DataFrame:
     ids = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.pmod(F.col("doc_id") + i, F.lit(5)).cast("int"))
-    return read(spark, sf, "documents").select("doc_id", F.array_join(tokens.labels_of(ids, [0, 3]), ",").alias("labels"))
+    samples = read(spark, sf, "documents").select("doc_id", ids.alias("input_ids"), F.array("lang").alias("images"))
+    batches = tokens.collate(samples, 16, 10, [0, 3], order=("doc_id",))
+    return batches.select("doc_id", F.array_join("labels", ",").alias("labels"), "max_images")
 
 
 @query
@@ -459,7 +454,7 @@ def key_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def catalog_search(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.search(read(spark, sf, "part").select("p_partkey", F.col("p_type").alias("name")).distinct(), "e.*t").select("p_partkey", "name")
+    return catalog.search(read(spark, sf, "part").select("p_partkey", F.col("p_type").alias("name")).distinct(), "s.*m").select("p_partkey", "name")
 
 
 @query

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.formats import micros
@@ -12,22 +12,34 @@ from tracelake.schema import ENVELOPE, stage_of
 
 
 def read_jsonl(spark: SparkSession, path: str, *, recursive: bool = True) -> DataFrame:
-    """Envelopes from JSON lines, all ``*.jsonl`` files under the path; the episode defaults to the file, seq to the order in it."""
+    """Envelopes from JSON lines, all ``*.jsonl`` files under the path; the episode defaults to the file.
+
+    Where rows of an episode lack ``seq``, all of its rows are numbered by time, topic, type and payload, so that
+    neither the files beside it nor their splits matter.
+    """
     reader = spark.read.schema(ENVELOPE).option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.jsonl")
     rows = reader.json(path)
-    return rows.withColumns({"episode": F.coalesce("episode", F.input_file_name()), "seq": F.coalesce("seq", F.monotonically_increasing_id())})
+    rows = rows.withColumn("episode", F.coalesce("episode", F.input_file_name()))
+    whole = Window.partitionBy("episode")
+    number = F.row_number().over(whole.orderBy("ts_ns", "topic", "message_type", "payload")).cast("bigint") - 1
+    return rows.withColumn("seq", F.when(F.count("seq").over(whole) == F.count(F.lit(1)).over(whole), F.col("seq")).otherwise(number))
+
+
+#: Folders of a written log; an episode is in the one of its hash.
+BUCKETS = 256
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop("bucket")
 
 
 def write_log(events: DataFrame, path: str, *, mode: str = "errorifexists") -> None:
-    """Write envelopes by episode; a topic with two message types in an episode is an error."""
+    """Write envelopes sorted by episode and time, in folders by the episode's hash; a topic with two message types in an episode is an error."""
     mixed = events.groupBy("episode", "topic").agg(F.count_distinct("message_type").alias("n")).where("n > 1").limit(1).collect()
     if mixed:
         raise ValueError(f"topic {mixed[0]['topic']} of {mixed[0]['episode']} has {mixed[0]['n']} message types")
-    events.repartition("episode").sortWithinPartitions("episode", "ts_ns", "seq").write.mode(mode).partitionBy("episode").parquet(path)
+    rows = events.withColumn("bucket", F.pmod(F.xxhash64("episode"), F.lit(BUCKETS)))
+    rows.repartition("bucket").sortWithinPartitions("bucket", "episode", "ts_ns", "seq").write.mode(mode).partitionBy("bucket").parquet(path)
 
 
 def side_table(rows: DataFrame, path: str) -> None:
