@@ -21,31 +21,38 @@ def pairs(df):
 
 @pytest.mark.parametrize(
     "given_, expected",
-    [([(5, 7), (1, 3), (2, 4)], [(1, 4), (5, 7)]), ([(1, 3), (3, 5)], [(1, 5)]), ([(1, 3), (5, 7), (2, 6)], [(1, 7)]), ([], [])],
+    [
+        ([(40, 44), (11, 19), (17, 30)], [(11, 30), (40, 44)]),  # any order, overlap
+        ([(-6, 0), (0, 8)], [(-6, 8)]),  # neighbours
+        ([(10, 90), (20, 30), (25, 70)], [(10, 90)]),  # one inside another
+        ([(5, 6)] * 3, [(5, 6)]),
+        ([], []),
+    ],
 )
 def test_normalize(spark, given_, expected):
     assert pairs(iv.normalize(table(spark, given_))) == expected
 
 
 def test_algebra(spark):
-    a, b = table(spark, [(1, 3), (5, 7)]), table(spark, [(2, 4), (8, 9)])
-    assert pairs(iv.union(a, b)) == [(1, 4), (5, 7), (8, 9)]
-    assert pairs(iv.intersect(table(spark, [(1, 5), (7, 9)]), table(spark, [(2, 4), (8, 10)]))) == [(2, 4), (8, 9)]
-    assert pairs(iv.intersect(a, table(spark, [(4, 5), (8, 9)]))) == []
-    assert pairs(iv.subtract(table(spark, [(1, 10)]), table(spark, [(3, 5), (7, 8)]))) == [(1, 3), (5, 7), (8, 10)]
-    assert pairs(iv.subtract(table(spark, [(1, 5), (7, 9)]), table(spark, [(0, 10)]))) == []
-    assert pairs(iv.subtract(table(spark, [(1, 6)]), table(spark, [(3, 4)]))) == [(1, 3), (4, 6)]
-    assert iv.summary(table(spark, [(1, 3), (5, 9)])).first().total_ns == 6
+    day, nights, noon = table(spark, [(600, 2200)]), table(spark, [(0, 700), (2100, 2900)]), table(spark, [(1150, 1250)])
+    assert pairs(iv.union(nights, noon)) == [(0, 700), (1150, 1250), (2100, 2900)]
+    assert pairs(iv.union(day, nights)) == [(0, 2900)]
+    assert pairs(iv.intersect(day, nights)) == [(600, 700), (2100, 2200)]
+    assert pairs(iv.intersect(noon, nights)) == [] == pairs(iv.subtract(noon, day))
+    assert pairs(iv.subtract(day, noon)) == [(600, 1150), (1250, 2200)]
+    assert pairs(iv.subtract(day, nights)) == [(700, 2100)]
+    assert iv.summary(nights).first().total_ns == 1500
 
 
 def test_invalid_interval_fails(spark):
     with pytest.raises(Exception, match="must start before"):
-        iv.check(table(spark, [(1, 1)])).collect()
+        iv.check(table(spark, [(33, 33)])).collect()
 
 
 def test_inside_is_half_open(spark):
-    events = spark.createDataFrame([("e", t, t) for t in range(9)], "episode string, seq bigint, ts_ns bigint")
-    assert [r.ts_ns for r in iv.inside(events, table(spark, [(1, 3), (5, 7)])).orderBy("ts_ns").collect()] == [1, 2, 5, 6]
+    events = spark.createDataFrame([("e", t, t) for t in range(100, 120)], "episode string, seq bigint, ts_ns bigint")
+    found = iv.inside(events, table(spark, [(90, 102), (110, 113), (119, 400)])).orderBy("ts_ns").collect()
+    assert [r.ts_ns for r in found] == [100, 101, 110, 111, 112, 119]
 
 
 def log(spark, rows):
@@ -53,10 +60,11 @@ def log(spark, rows):
 
 
 def test_inactivity(spark):
-    rows = [("screen", 1), ("screen", 2), ("screen", 6), ("keyboard", 1.5), ("mouse", 2.5), ("keyboard", 5.5)]
-    assert pairs(iv.inactivity_filter(log(spark, rows), ["screen"], ["keyboard", "mouse"], 10, 50)) == [(15, 20)]
-    assert pairs(iv.activity(log(spark, [("s", 1.0), ("s", 1.5), ("s", 4.0), ("s", 4.5)]), ["s"], 10)) == [(10, 15), (40, 45)]
-    assert pairs(iv.activity(log(spark, [("s", 1.0)]), ["s"], 10)) == []
+    rows = [("screen", t / 2) for t in range(20)] + [("keyboard", 2.5), ("mouse", 4.0), ("keyboard", 30)]
+    assert pairs(iv.inactivity_filter(log(spark, rows), ["screen"], ["keyboard", "mouse"], 7, 40)) == [(25, 40)]
+    runs = log(spark, [("s", t) for t in (3.0, 3.4, 3.8, 7.7, 8.6, 20.0)])
+    assert pairs(iv.activity(runs, ["s"], 9)) == [(30, 38), (77, 86)]
+    assert pairs(iv.activity(log(spark, [("s", 4.2)]), ["s"], 9)) == []
 
 
 def test_toggles(spark):
