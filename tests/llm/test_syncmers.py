@@ -107,3 +107,15 @@ def test_messy(messy, none):
     assert len(rows) == messy.count()
     assert all(r.fingerprint == "" and r.n_chars == 0 for r in rows if r.doc_id in (1, 2))
     assert fingerprints(none).count() == 0 and anchor_rows(none).count() == 0
+
+
+def test_text_ids(spark):
+    """Ids that are no numbers: the next document is the one before it in the order of texts."""
+    rows = [(f"k{i:03d}", f"one two three four five six seven eight nine text {i} " * 3) for i in range(60)] + [(None, "no id")]
+    got = {r.doc_id: r for r in fingerprints(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert len(got) == 61
+    texts = dict(rows)
+    for i in range(1, 60):
+        text, after = texts[f"k{i:03d}"], texts[f"k{i - 1:03d}"]
+        third = len(text) // 3
+        assert got[f"k{i:03d}"].edited_sha256 == hashlib.sha256((text[: len(text) - third] + after[:third]).encode()).hexdigest()

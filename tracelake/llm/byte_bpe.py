@@ -33,9 +33,9 @@ _PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_W
 _STRETCHES = regex.compile(rf" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 #: White space but for blanks and line ends.
 _OTHER_WHITE = re.compile(f"[{_WHITE.replace(' ', '').replace(chr(10), '')}\0]")
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
 #: Rows of a batch that are worked on at once; from so many places on, a rank is merged by arrays.
-ROWS, MANY = 500, 24
+ROWS, MANY = 300, 24
 
 
 def byte_alphabet() -> dict[str, int]:

@@ -29,13 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
     """A folder that the driver and all executors share.
 
     It is the one in ``spark.checkpoint.dir``. Where that is unset, a local
-    master gets a temporary folder; any other gets the warehouse.
+    master gets a temporary folder; for any other it is an error, as no folder
+    of the driver's machine is seen by the executors.
     """
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        local = context.master.startswith("local") and "cluster" not in context.master
-        found = tempfile.mkdtemp(prefix="tracelake-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+        if not context.master.startswith("local") or "cluster" in context.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="tracelake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 

@@ -130,11 +130,14 @@ def mix_sources(
     n_tokens = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
     counts = stored(docs.select(F.col(source_col).alias("source"), h.alias("h"), n_tokens.alias("n_tokens")), "counts")
     plan = stored(mixing_plan(counts, entropy_share=entropy_share, max_repeats=max_repeats, budget=budget), "plan")
-    plan = plan.select(F.col("source").alias("_source"), F.col("weight").alias("_weight"), F.col("passes").alias("_passes"), F.col("cut").alias("_cut"))
+    plan = plan.select(F.col("source").alias("of"), "weight", "passes", "cut")
     added = ("n_tokens", "weight", "epoch", "block", "place")
-    rows = docs.drop(*added).join(plan, docs[source_col].eqNullSafe(plan["_source"]))
-    times = (F.col("_passes") + F.coalesce((h <= F.col("_cut")).cast("int"), F.lit(0))).cast("int")
+    # The row travels as one column, so that no name of its own meets one of the plan's.
+    row = F.struct(*[c for c in docs.columns if c not in added])
+    rows = docs.select(row.alias("row"), F.col(source_col).alias("source"), F.col(id_col).alias("id"), h.alias("h"), n_tokens.alias("n_tokens"))
+    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("of")))
+    times = (F.col("passes") + F.coalesce((F.col("h") <= F.col("cut")).cast("int"), F.lit(0))).cast("int")
     rows = rows.withColumn("epoch", F.explode(F.when(times > 0, F.sequence(F.lit(0), times - 1)).otherwise(F.array().cast("array<int>"))))
-    order = shuffle_hash(F.col(id_col), seed + 1, F.col("epoch"))
-    kept = [c for c in docs.columns if c not in added]
-    return rows.select(*kept, n_tokens.alias("n_tokens"), F.col("_weight").alias("weight"), "epoch", (_block(order) + BLOCKS // 2).cast("int").alias("block"), order.alias("place"))
+    order = shuffle_hash(F.col("id"), seed + 1, F.col("epoch"))
+    new = F.struct("n_tokens", "weight", "epoch", (_block(order) + BLOCKS // 2).cast("int").alias("block"), order.alias("place"))
+    return rows.select("row", new.alias("new")).select("row.*", "new.*")

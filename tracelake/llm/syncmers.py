@@ -19,8 +19,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from tracelake.llm.common import let, shuffle_parts
+from tracelake.llm.common import let, shuffle_parts, stored
 
 K, S, SIZE = 4, 2, 64
 UNIT = r"[^\x20\x09-\x0D]{1,16}"
@@ -89,16 +90,22 @@ def anchor_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 def with_next(docs: DataFrame, derived: dict[str, Column], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with its derived columns, and next_<column> of the text and of these: those of the next document by descending id, after the last of the first.
 
-    Ids are cut at quantiles into buckets that each fit a task; a window orders
-    each bucket on its own. The first document of every bucket, one row a
+    Ids are cut at quantiles into buckets that each fit a task (ids that are no
+    numbers by a range partitioning, whose rows are written); a window orders each
+    bucket on its own. The first document of every bucket, one row a
     bucket, also ends the bucket before it, so no window spans all rows. Only
     the cuts and the largest id of each bucket reach the driver.
     """
     n_buckets = max(2, 4 * shuffle_parts(docs.sparkSession))
-    shares = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = sorted(set(docs.agg(F.percentile_approx(id_col, shares, 20 * n_buckets)).first()[0] or []))
-    above = F.size(F.filter(F.lit(cuts), lambda c: c < F.col(id_col))) if cuts else F.lit(0)
-    rows = docs.withColumn("_bucket", F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(above).cast("int"))
+    numbers = isinstance(docs.schema[id_col].dataType, NumericType)
+    if numbers:
+        shares = [i / n_buckets for i in range(1, n_buckets)]
+        cuts = sorted(set(docs.agg(F.percentile_approx(id_col, shares, 20 * n_buckets)).first()[0] or []))
+        bucket, rows = F.size(F.filter(F.lit(cuts), lambda c: c < F.col(id_col))) if cuts else F.lit(0), docs
+    else:
+        bucket, rows = F.spark_partition_id(), docs.repartitionByRange(n_buckets, id_col)
+    rows = rows.withColumn("_bucket", F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(bucket).cast("int"))
+    rows = rows if numbers else stored(rows, "ranges")
     tops = sorted(rows.groupBy("_bucket").agg(F.max(id_col)).collect(), reverse=True)
     before = {b: tops[i - 1][0] for i, (b, _) in enumerate(tops)}  # the largest bucket comes after the smallest
     goes_to = F.create_map(*[F.lit(x) for kv in (before or {0: 0}).items() for x in kv])
