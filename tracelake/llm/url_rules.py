@@ -78,9 +78,10 @@ def mine_rules(pages: DataFrame, labels: DataFrame, *, min_count: int = 10, max_
     # Tokens of one URL family stand together in all of its URLs; one of such tokens speaks for all, or their subsets would be without number.
     alone = baskets.select(F.explode("tokens").alias("token"), "bad", F.xxhash64("tokens").alias("url")).groupBy("token").agg(F.sum("bad").alias("n_bad"), F.count(F.lit(1)).alias("n"), F.sum(F.col("url").cast("decimal(38,0)")).alias("urls")).where(F.col("n_bad") >= min_count)
     # Equal counts and equal sums of digests: the same URLs. Tokens in all URLs say nothing.
-    speakers = alone.where(F.col("n") < n).groupBy("n", "n_bad", "urls").agg(F.min("token").alias("token"))
+    # Written, as is the index below, so that their size decides whether they or none are broadcast.
+    speakers = stored(alone.where(F.col("n") < n).groupBy("n", "n_bad", "urls").agg(F.min("token").alias("token")).select("token"), "speakers")
     bad = baskets.where("bad = 1").withColumn("row", F.monotonically_increasing_id()).select("row", F.explode("tokens").alias("token"))
-    items = stored(bad.join(speakers.select("token"), "token").groupBy("row").agg(F.collect_set("token").alias("items")), "items")
+    items = stored(bad.join(speakers, "token").groupBy("row").agg(F.collect_set("token").alias("items")), "items")
     n_rows = items.count()
     if not n_rows:
         return spark.createDataFrame([], "rule_id bigint, tokens array<string>, confidence double, support bigint, lift double")
@@ -108,6 +109,7 @@ def _fitting(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
     tokens = rules.select("rule_id", F.explode("tokens").alias("token"))
     common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     index = tokens.join(common, "token").groupBy("rule_id").agg(F.min_by("token", F.struct("n", "token")).alias("token")).join(rules.select("rule_id", F.col("tokens").alias("need")), "rule_id")
+    index = stored(index, "index")
     hits = token_sets.select("key", "tokens", F.explode("tokens").alias("token")).join(index, "token")
     return hits.where(F.size(F.array_intersect("need", "tokens")) == F.size("need")).select("key", "rule_id")
 
