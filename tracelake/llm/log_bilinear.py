@@ -16,7 +16,8 @@ level, and its members are normalised among themselves, so that the cost of a to
 grows as the root of the vocabulary. Training texts are dealt to shards by a hash of their
 ids, one for each SHARD of them; each shard trains on all of its texts in the order of
 their ids, in mini-batches: the upper level against shared noise drawn from the unigram
-distribution, members against noise from their group. All shards start from the same
+distribution, members against noise from their group, which a mini-batch's tokens of
+the group share. All shards start from the same
 parameters; Spark averages them, the upper level weighted by the shards' tokens, the
 rows of words and buckets by how often the shard met them. So the model depends on the
 texts and ids alone, not on how the table is partitioned.
@@ -47,19 +48,24 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.common import stored
 
-SHORTLIST, FREQUENT, LONGEST = 510, 60_000, 64
+SHORTLIST, FREQUENT, LONGEST = 254, 60_000, 64
 CONTEXT, DIM, NOISE, BATCH = 3, 16, 48, 4096
 #: Noise for each member of a group; buckets for each root of the number of rare tokens; rows of parameters that travel together.
 GROUP_NOISE, BUCKETS, BLOCK = 8, 4, 512
 #: Texts of a shard, and of them that are cut into mini-batches together.
 SHARD, TEXTS = 8192, 512
+#: Tokens whose outputs are computed together; what they take fits into a core's cache.
+ROWS = 128
 LEARNING_RATE = 0.25
 END = b""  # no word is empty
 
 
 def tokens_of(text: str | None) -> list[bytes]:
     words = (text or "").encode("utf-8", "replace").lower().split()
-    return [*(w if len(w) <= LONGEST else b"\0" + blake2b(w, digest_size=20).digest() for w in words), END]
+    if max(map(len, words), default=0) > LONGEST:
+        words = [w if len(w) <= LONGEST else b"\0" + blake2b(w, digest_size=20).digest() for w in words]
+    words.append(END)
+    return words
 
 
 def held_out(id_col: str):
@@ -104,24 +110,29 @@ def frequent_tokens(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(((bytes(r["token"]), r["n"]) for r in found), key=lambda x: (-x[1], x[0]))
 
 
-def sums_by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct rows, sums of their values, their numbers)."""
-    order = np.argsort(rows)
-    found = rows[order]
-    firsts = np.flatnonzero(np.diff(found, prepend=-1))
-    return found[firsts], np.add.reduceat(values[order], firsts), np.diff(firsts, append=len(rows))
+def sums_by_row(rows: np.ndarray, values: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct rows, sums of their values, sums of ``times``, by default their numbers)."""
+    found, at = np.unique(rows, return_inverse=True)
+    sums = np.stack([np.bincount(at, column, len(found)) for column in np.ascontiguousarray(values.T)], axis=1)
+    return found, sums.astype(np.float32), np.bincount(at, times, len(found))
 
 
-def log_sums(h: np.ndarray, q: np.ndarray, b: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Log-probability of the chosen outputs among all of ``q`` and ``b``."""
-    logits = h @ q.T
-    logits += b
-    out = logits[np.arange(len(h)), chosen]
-    top = logits.max(1, keepdims=True) if np.sqrt((h * h).sum(1).max() * (q * q).sum(1).max()) + np.abs(b.max()) > 40 else np.float32(0)
-    if np.ndim(top):
-        logits -= top
-        out = out - top[:, 0]
-    return out - np.log(np.exp(logits, out=logits).sum(1))
+def with_ones(h: np.ndarray) -> np.ndarray:
+    """``h`` with a column of ones, which biases meet."""
+    return np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1)
+
+
+def log_sums(h: np.ndarray, q: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Log-probability of the chosen ones among all outputs ``q``, whose last column is the bias; for ``h`` with a column of ones."""
+    out, ones, turned = np.empty(len(h), np.float32), np.ones(len(q), np.float32), np.ascontiguousarray(q.T)
+    far = (h * h).sum(1).max(initial=0) * (q * q).sum(1).max() > 40**2
+    for at in range(0, len(h), ROWS):
+        logits = h[at : at + ROWS] @ turned
+        if far:
+            logits -= logits.max(1, keepdims=True)
+        own = logits[np.arange(len(logits)), chosen[at : at + ROWS]]
+        out[at : at + ROWS] = own - np.log(np.exp(logits, out=logits) @ ones)
+    return out
 
 
 class LogBilinear:
@@ -184,34 +195,50 @@ class LogBilinear:
         """How often training met each of ``rows``; the upper level counts as met by every token."""
         return np.concatenate([np.full(len(self.q) + CONTEXT, float(seen)), state["met_r"], state["met_qm"]])
 
-    def hidden(self, context: np.ndarray) -> np.ndarray:
-        h = self.r[context[:, 0]] * self.c[0]
-        for i in range(1, CONTEXT):
-            h += self.r[context[:, i]] * self.c[i]
+    def vectors(self, contexts: np.ndarray) -> np.ndarray:
+        """(CONTEXT, batch, DIM): the rows of contexts."""
+        return self.r.take(contexts.T.ravel(), 0).reshape(CONTEXT, -1, DIM)
+
+    def hidden(self, vectors: np.ndarray) -> np.ndarray:
+        h = vectors[0] * self.c[0]
+        for v, c in zip(vectors[1:], self.c[1:], strict=True):
+            h += v * c
         return h
 
-    def _step(self, state: dict, name: str, g: np.ndarray, rows=slice(None)) -> None:
-        """An AdaGrad step of some rows."""
+    def _step(self, state: dict, name: str, g: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """An AdaGrad step of all or some distinct rows."""
         x = getattr(self, name)
         if name not in state:
             state[name] = np.ones_like(x)
         s = state[name]
-        near = s[rows] + g * g
-        s[rows] = near
-        x[rows] -= LEARNING_RATE * g / np.sqrt(near)
+        near = g * g
+        near += s if rows is None else s.take(rows, 0)
+        moved = g / np.sqrt(near)
+        moved *= LEARNING_RATE
+        if rows is None:
+            s[:] = near
+            x -= moved
+        else:
+            s[rows] = near
+            x[rows] = x.take(rows, 0) - moved
 
     def _train_members(self, h: np.ndarray, members: np.ndarray, draw: np.random.Generator, state: dict) -> np.ndarray:
-        """Members against draws from their groups; the gradient of h."""
-        g = self.group[members]
-        drawn = np.searchsorted(self.upto, g[:, None] + draw.random((len(g), GROUP_NOISE)), side="right")
-        drawn = np.clip(drawn, self.offsets[g][:, None], self.offsets[g + 1][:, None] - 1)
-        rows = np.concatenate([members[:, None], drawn], axis=1)
-        q = self.qm[rows]
-        wrong = 1 / (1 + np.exp(-(np.matmul(q, h[:, :, None])[:, :, 0] + self.bm[rows] - self.log_km[rows])))
-        wrong[:, 0] -= 1
-        gh = np.matmul(wrong[:, None, :], q)[:, 0]
-        values = np.concatenate([wrong[:, :, None] * h[:, None, :], wrong[:, :, None]], axis=2).reshape(-1, DIM + 1)
-        at, sums, met = sums_by_row(rows.ravel(), values)
+        """Members against draws from their groups, which the batch's tokens of a group share; the gradient of h."""
+        order = np.argsort(self.group[members], kind="stable")
+        h, members = h[order], members[order]
+        groups, firsts, sizes = np.unique(self.group[members], return_index=True, return_counts=True)
+        drawn = np.searchsorted(self.upto, groups[:, None] + draw.random((len(groups), GROUP_NOISE)), side="right")
+        drawn = np.clip(drawn, self.offsets[groups][:, None], self.offsets[groups + 1][:, None] - 1)
+        of = np.repeat(np.arange(len(groups)), sizes)
+        qt, qn = self.qm.take(members, 0), self.qm[drawn].take(of, 0)
+        wrong_t = 1 / (1 + np.exp(-((h * qt).sum(1) + self.bm[members] - self.log_km[members]))) - 1
+        wrong_n = 1 / (1 + np.exp(-(np.einsum("mkd,md->mk", qn, h) + (self.bm[drawn] - self.log_km[drawn])[of])))
+        gh = np.empty_like(h)
+        gh[order] = wrong_t[:, None] * qt + np.einsum("mk,mkd->md", wrong_n, qn)
+        h1, turned = with_ones(h), np.ascontiguousarray(wrong_n.T)
+        noise = [turned[:, i:j] @ h1[i:j] for i, j in zip(firsts.tolist(), (firsts + sizes).tolist(), strict=True)]
+        rows, values = np.concatenate([members, drawn.ravel()]), np.concatenate([wrong_t[:, None] * h1, *noise])
+        at, sums, met = sums_by_row(rows, values, np.concatenate([np.ones(len(members)), np.repeat(sizes, GROUP_NOISE)]))
         sums /= np.sqrt(met, dtype=np.float32)[:, None]
         self._step(state, "qm", sums[:, :DIM], at)
         self._step(state, "bm", sums[:, DIM], at)
@@ -224,8 +251,9 @@ class LogBilinear:
             state |= {"met_r": np.zeros(self.n + 1), "met_qm": np.zeros(len(self.qm))}
         noise = draw.choice(len(self.unigram), NOISE, p=self.unigram)
         tops = self.top[targets]
-        h = self.hidden(contexts)
-        qt, qn = self.q[tops], self.q[noise]
+        vectors = self.vectors(contexts)
+        h = self.hidden(vectors)
+        qt, qn = self.q.take(tops, 0), self.q[noise]
         wrong_t = 1 / (1 + np.exp(-((h * qt).sum(1) + self.b[tops] - self.log_k[tops]))) - 1
         wrong_n = 1 / (1 + np.exp(-(h @ qn.T + self.b[noise] - self.log_k[noise])))
         gh = wrong_t[:, None] * qt + wrong_n @ qn
@@ -237,8 +265,8 @@ class LogBilinear:
         inside = np.flatnonzero(targets >= self.head)
         if len(inside):
             gh[inside] += self._train_members(h[inside], targets[inside] - self.head, draw, state)
-        gc = np.stack([(gh * self.r[contexts[:, i]]).sum(0) for i in range(CONTEXT)])
-        at, sums, met = sums_by_row(contexts.T.ravel(), np.concatenate([gh * self.c[i] for i in range(CONTEXT)]))
+        gc = np.einsum("md,cmd->cd", gh, vectors)
+        at, sums, met = sums_by_row(contexts.T.ravel(), (gh * self.c[:, None]).reshape(-1, DIM))
         state["met_r"][at] += met
         scale = np.float32(len(targets) ** 0.5)
         for name, g in (("q", grow), ("b", gb), ("c", gc)):
@@ -247,19 +275,16 @@ class LogBilinear:
 
     def log_probability(self, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Normalised natural log-probabilities of targets: the upper level's outputs, then the members of a target's group."""
-        h, tops = self.hidden(contexts), self.top[targets]
-        out = np.empty(len(targets), np.float32)
-        for at in range(0, len(targets), 512):
-            out[at : at + 512] = log_sums(h[at : at + 512], self.q, self.b, tops[at : at + 512])
+        h, tops = with_ones(self.hidden(self.vectors(contexts))), self.top[targets]
+        out = log_sums(h, np.concatenate([self.q, self.b[:, None]], axis=1), tops)
         order = np.argsort(tops)
         order = order[np.searchsorted(tops[order], self.head) :]
         ends = np.flatnonzero(np.diff(tops[order], append=-1)) + 1
+        members = np.concatenate([self.qm, self.bm[:, None]], axis=1)
         for start, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False):
             some = order[start:end]
             first, last = self.offsets[tops[some[0]] - self.head :][:2]
-            for at in range(0, len(some), 512):
-                part = some[at : at + 512]
-                out[part] += log_sums(h[part], self.qm[first:last], self.bm[first:last], targets[part] - self.head - first)
+            out[some] += log_sums(h[some], members[first:last], targets[some] - self.head - first)
         return out
 
 
@@ -301,7 +326,7 @@ class Vocabulary:
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         known, bucket, k = self.known, self.bucket, len(self.bucket)
-        return np.array([known[w] if w in known else bucket[crc32(w) % k] for w in words], np.int64)
+        return np.array([bucket[crc32(w) % k] if i is None else i for w, i in zip(words, map(known.get, words), strict=True)], np.int64)
 
 
 def rare_buckets(counts: DataFrame, frequent: list[tuple[bytes, int]], n_types: int) -> np.ndarray:
