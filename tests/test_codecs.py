@@ -83,3 +83,14 @@ def test_evolution(spark):
     with pytest.raises(ValueError):
         evolve.path(steps, "0.2", "0.9")
     assert one(spark, evolve.rename_field(F.lit('{"a":"1"}'), "a", "b"), evolve.curve_hex(F.lit("AP8="), "00"), evolve.curve_hex(F.lit("00ff"), "00"), evolve.curve_hex(F.lit("?"), "00")) == ('{"b":"1"}', "00ff", "00ff", "00")
+
+
+def test_forms_by_name(spark):
+    rows = [("keyboard", 10**9, '{"vk": 65, "event_type": "press"}'), ("other", 0, "{}"), (None, None, None)]
+    events = spark.createDataFrame(rows, "topic string, ts_ns bigint, payload string")
+    for name in ("Compact", "INTERLEAVED"):
+        first, other, none = c.encode_rows(events, name).select("text").collect()
+        assert first.text.startswith("<EVENT_START><KEYBOARD>") and other.text is None and none.text is None
+    assert all(r.text.startswith("<EVENT_START>{") for r in c.encode_rows(events, "json").collect())
+    with pytest.raises(ValueError):
+        c.encode_rows(events, "wide")

@@ -8,7 +8,7 @@ into errors; deltas are clamped.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.formats import div, let
@@ -106,6 +106,25 @@ def encode_event(topic: Column, ts_ns: Column, payload: Column, form: str = "com
     )
 
 
+FORMS = ("compact", "interleaved", "json")
+
+
+def form_named(name: str) -> str:
+    """The format of a name in any case; ValueError for others."""
+    form = name.strip().lower()
+    if form not in FORMS:
+        raise ValueError(f"no event format {name!r}; there are {', '.join(FORMS)}")
+    return form
+
+
+def encode_rows(events: DataFrame, name: str = "compact", *, text: str = "text") -> DataFrame:
+    """``events`` with their token text by a format's name; null where the format can't express the event."""
+    form = form_named(name)
+    envelope = F.struct("topic", "ts_ns", "payload")
+    coded = encode_json(envelope, F.col("topic")) if form == "json" else encode_event(F.col("topic"), F.col("ts_ns"), F.col("payload"), form)
+    return events.withColumn(text, coded)
+
+
 def encode_json(envelope: Column, topic: Column) -> Column:
     """The envelope as JSON between the marks; a screen payload becomes the image placeholder."""
     body = F.when(topic == "screen", envelope.withField("payload", F.lit(IMAGE))).otherwise(envelope)
