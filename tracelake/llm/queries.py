@@ -17,6 +17,7 @@ from tracelake.llm.near_dedup import near_groups
 from tracelake.llm.quality_rules import quality_features
 from tracelake.llm.source_mixing import mix_sources
 from tracelake.llm.syncmers import fingerprints
+from tracelake.llm.token_alignment import align_tokens
 from tracelake.llm.unit_dedup import repeated_units
 from tracelake.llm.url_rules import Rule, judge_urls
 
@@ -84,6 +85,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) ->
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
+    a_path, b_path = a_path or public_tokenizers.path("byte_bpe_50k.json"), b_path or public_tokenizers.path("piece_bpe_32k.model")
+    return align_tokens(table(spark, sf_dir, "documents"), a_path, b_path).withColumnRenamed("doc", "doc_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_syncmers": op2_syncmers,
@@ -95,4 +101,5 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_near_dedup": op9_near_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op13_token_alignment": op13_token_alignment,
 }
