@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tracelake.llm.byte_bpe import decode_frame, encode_frame
 from tracelake.llm.common import new_path, table
 from tracelake.llm.id_files import read_ids, write_ids
+from tracelake.llm.kd_shards import kd_shards
 from tracelake.llm.line_dedup import line_dedup
 from tracelake.llm.log_bilinear import lm_scores
 from tracelake.llm.near_dedup import near_groups
@@ -20,6 +21,7 @@ from tracelake.llm.syncmers import fingerprints
 from tracelake.llm.token_alignment import align_tokens
 from tracelake.llm.unit_dedup import repeated_units
 from tracelake.llm.url_rules import Rule, judge_urls
+from tracelake.llm.whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,6 +87,16 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) ->
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op11_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = kd_shards(docs, ["source", "lang", F.log2(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)], shards=40)
+    return out.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
     a_path, b_path = a_path or public_tokenizers.path("byte_bpe_50k.json"), b_path or public_tokenizers.path("piece_bpe_32k.model")
     return align_tokens(table(spark, sf_dir, "documents"), a_path, b_path).withColumnRenamed("doc", "doc_id")
@@ -101,5 +113,7 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_near_dedup": op9_near_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_kd_shards": op11_kd_shards,
+    "op12_whitening": op12_whitening,
     "op13_token_alignment": op13_token_alignment,
 }
