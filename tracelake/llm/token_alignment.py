@@ -52,8 +52,8 @@ BLOCK_ROWS, BLOCK_BYTES = 1000, 4_000_000
 CACHE_CHARS, CACHE_ENTRIES = 8_000_000, 400_000
 #: Words that are encoded as one text.
 JOINED = 2000
-#: Buckets of first ids, at most, so that a block's share of a bucket stays worth a row.
-BUCKETS = 256
+#: Buckets of first ids, about as many at every size: a document gets a row from each at most, and more tasks share a bucket's blocks.
+BUCKETS = 32
 #: Where a text can be cut: before a single blank, and around a single line end, between other characters.
 _CUTS = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 
@@ -333,7 +333,7 @@ def buckets_of(ids: list[int], postings: list[int], pairs: list[int], cells: int
     """
     total, all_pairs = max(1, sum(postings)), max(1, sum(pairs))
     cost = [p / total + q / all_pairs for p, q in zip(postings, pairs, strict=True)]
-    most = 2 / min(BUCKETS, max(1, cells))
+    most = 2 / BUCKETS
     firsts, sums = [0], [0.0]
     for i, c in zip(ids, cost, strict=True):
         if sums[-1] and sums[-1] + c > most:
@@ -345,12 +345,12 @@ def buckets_of(ids: list[int], postings: list[int], pairs: list[int], cells: int
 
 
 def contributions(blocks: DataFrame, counts: DataFrame, n_second: int) -> DataFrame:
-    """(number, count_sum, n_best): what a document's pairs give it, a row for each document and cell."""
+    """(number, count_sum, n_best): what a document's pairs give it, a row for each document and bucket."""
     spark = blocks.sparkSession
     parts = shuffle_parts(spark)
     # One row for each id of the first vocabulary at most.
     weights = counts.groupBy(F.expr(f"pair div {n_second}").alias("a")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("pairs")).orderBy("a").collect()
-    firsts, first_cell, n_cells = buckets_of([r.a for r in weights], [r.n for r in weights], [r.pairs for r in weights], 2 * parts)
+    firsts, first_cell, n_cells = buckets_of([r.a for r in weights], [r.n for r in weights], [r.pairs for r in weights], max(2 * parts, BUCKETS))
     edges = np.array([*firsts[1:], np.iinfo(np.int64).max // n_second]) * n_second
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
