@@ -111,3 +111,26 @@ def test_messy(spark, messy, none):
     path = new_path(spark, "test-ids")
     id_files.write_ids(none, PATH, path)
     assert id_files.read_ids(spark, path).count() == 0
+
+
+def test_added_tokens_in_any_case():
+    """Upper- and mixed-case forms of every added token, alone, inside words and among others, as the library has them."""
+    t, cache = Tokenizer.from_file(PATH), id_files.WordCache(PATH)
+    forms = [f(c.content) for c in t.get_added_tokens_decoder().values() for f in (str, str.upper, str.title, str.swapcase, lambda c: c[:5] + c[5:].upper())]
+    texts = [x for f in forms for x in (f, f"a{f}b", f"The {f} End", f"{f}{f.lower()}", f"x\n{f}.", f[:-1], f.replace("|", " |"))]
+    assert [np.frombuffer(x, "<u4").tolist() for x in cache.encode([x.encode() for x in texts])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert np.frombuffer(cache.encode([b"<|ENDOFTEXT|>"])[0], "<u4").tolist() != [49407]
+
+
+def test_unknown_forms_take_the_library(tmp_path):
+    """A file whose normalizer does something else is never encoded by stretches."""
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["normalizer"]["normalizers"].append({"type": "Replace", "pattern": {"String": "qq"}, "content": "a b"})
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec))
+    cache, t = id_files.WordCache(str(other)), Tokenizer.from_file(str(other))
+    assert not cache.habits.space
+    assert np.frombuffer(cache.encode([b"xqqy Word"])[0], "<u4").tolist() == t.encode("xqqy Word", add_special_tokens=False).ids

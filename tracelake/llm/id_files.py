@@ -1,9 +1,10 @@
 """Token-ID output: documents encoded, written as coded segments in id order, read back.
 
 ``write_ids`` range-partitions documents by id, encodes them with a tokenizers
-file (stretch by stretch from a cache where the tokenizer cuts at white space, which
-is tried out first; else text by text), appends the end id and writes a table of segments: the ids of a run of
-documents, coded by ``id_coder``, with the documents' ids and lengths. The table
+file (stretch by stretch from a cache where the file's normalizer and cutter are known
+to cut at white space, which is tried out too; else, and where a text has an added
+token's string in any case, by the library as it is), appends the end id and writes a
+table of segments: the ids of a run of documents, coded by ``id_coder``, with the documents' ids and lengths. The table
 lies in a folder that all executors share, written by Spark's own commit
 protocol, so a lost executor costs its unfinished partitions only. ``read_ids``
 decodes segments and gives each document its place among all ids: segments are
@@ -17,6 +18,7 @@ an empty file. Extra columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Callable, Iterator
@@ -59,24 +61,42 @@ def ids_of(tokenizer, texts: list[str]) -> list[list[int]]:
 TAIL = b'.,!?;:#$%&*)-"'
 
 
+def parts_of(spec: dict | None, name: str) -> list[dict]:
+    """The steps of a normalizer or pre-tokenizer of a tokenizers file."""
+    if not spec:
+        return []
+    return [x for part in spec[name] for x in parts_of(part, name)] if spec["type"] == "Sequence" else [spec]
+
+
+def known_forms(spec: dict) -> tuple[bool, bool]:
+    """Whether a file's steps are such that stretches between white space can be encoded alone, and that they are lower-cased."""
+    steps = parts_of(spec.get("normalizer"), "normalizers")
+    cuts = parts_of(spec.get("pre_tokenizer"), "pretokenizers")
+    plain = all(x["type"] in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase") or (x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} and x["content"] == " ") for x in steps)
+    # What the cutter's pattern does not find is removed: white space and nothing else.
+    white = bool(cuts) and cuts[0]["type"] == "Split" and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"] and all(x["type"] == "ByteLevel" and not x["add_prefix_space"] for x in cuts[1:])
+    return plain and white, any(x["type"] == "Lowercase" for x in steps)
+
+
 class Habits:
-    """What a tokenizer does, tried out on short texts that have all of a kind.
+    """What a tokenizer of known form does, tried out on short texts that have all of a kind.
 
     ``space``: a text's ids are those of its stretches without ASCII white space, one
     after the other. ``case``: A-Z and a-z have the same ids. ``tail``: marks that end
     a stretch after an ASCII letter or digit have their own ids.
     """
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, spec: dict):
+        known, lower = known_forms(spec)
         parts = ["ab", "Cd,", "7", "é'", "!", "a1.b", MARK, "'s", "ﬁ", "\u0301x"]
         alone = ids_of(tokenizer, parts)
-        self.space = True
+        self.space = known
         for space in SPACE:
             joined = ids_of(tokenizer, [f"{a}{space}{b}" for a in parts for b in parts] + [f"{space}{a}{space}{space}" for a in parts])
             self.space &= joined == [a + b for a in alone for b in alone] + alone
         letters = [chr(x) for x in range(97, 123)]
         small = [*letters, *(a + b for a in letters for b in letters), "it's", "abcdefghijklmnopqrstuvwxyz"]
-        self.case = self.space and ids_of(tokenizer, small) == ids_of(tokenizer, [x.upper() for x in small])
+        self.case = self.space and lower and ids_of(tokenizer, small) == ids_of(tokenizer, [x.upper() for x in small])
         ends, marks = [*letters, "The", *"0123456789"], [chr(x) for x in TAIL]
         tails = [*marks, *(a + b for a in marks for b in marks), "..."]
         both = ids_of(tokenizer, [e + t for e in ends for t in tails])
@@ -90,7 +110,11 @@ class WordCache(dict):
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = load(path)
-        self.habits = Habits(self.tokenizer)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.habits = Habits(self.tokenizer, spec)
+        #: Strings that the library looks for before anything else, in lower case: texts that have one in any case are its own work.
+        self.added = [t["content"].encode().lower() for t in spec.get("added_tokens", [])]
         mark = ids_of(self.tokenizer, [MARK])[0]
         self.mark = mark[0] if len(mark) == 1 else None
         #: By id: whether it ends a word; none if words have no ends of their own.
@@ -152,8 +176,13 @@ class WordCache(dict):
         """Ids of each text (UTF-8) as little-endian unsigned 32-bit integers."""
         if not self.habits.space:
             return [np.array(ids, "<u4").tobytes() for ids in ids_of(self.tokenizer, [t.decode() for t in texts])]
-        # Of bytes: A-Z and ASCII white space only.
-        split = [t.lower().split() for t in texts] if self.habits.case else [t.split() for t in texts]
+        lower = [t.lower() for t in texts]  # of bytes: A-Z only, and below ASCII white space only
+        own = [any(a in t for a in self.added) for t in lower]
+        if any(own):
+            whole = iter(ids_of(self.tokenizer, [t.decode() for t, o in zip(texts, own, strict=True) if o]))
+            rest = iter(self.encode([t for t, o in zip(texts, own, strict=True) if not o]))
+            return [np.array(next(whole), "<u4").tobytes() if o else next(rest) for o in own]
+        split = [t.split() for t in lower] if self.habits.case else [t.split() for t in texts]
         found = [list(map(self.get, words)) for words in split]
         new = {w for words, ids in zip(split, found, strict=True) for w, x in zip(words, ids, strict=True) if x is None}
         if len(self) + len(new) > CACHE_ENTRIES:
