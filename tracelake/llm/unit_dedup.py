@@ -4,11 +4,12 @@ A unit is a line; lines of fewer than ``min_words`` words that follow each other
 one paragraph. A unit of more than LONG words is cut into pieces after each word
 whose digest is the least among the REACH words to either side, so that a passage is
 cut alike wherever it stands. Units are normalised (A-Z lower-cased, white space
-single) and hashed to 128 bits; those of fewer than ``min_words`` words are left
-alone. Digests are counted with map-side combine; the earliest occurrence by (id,
-position) stays. The others go where they stand in a run of repeated units of at
-least ``min_run`` words, as a short sentence that many texts share is no passage;
-they are listed with their offsets in the original text (code points) and the
+single) and hashed to 128 bits. Digests are counted with map-side combine; the
+earliest occurrence by (id, position) stays. The others go where all units of their
+text are repeated, as an exact copy's are, or where they stand in a run of repeated
+units of at least ``min_run`` words: a short sentence that many texts share is no
+passage, and units of fewer than ``min_words`` words go with a run, but do not make
+one. They are listed with their offsets in the original text (code points) and the
 occurrence that stays.
 
 Texts are parsed once: units are written, and so are the first occurrences, so that
@@ -47,8 +48,8 @@ def cut_after(digests: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first & (around.min(axis=1) == here)) + REACH
 
 
-def units(text: str, min_words: int) -> list[tuple[bytes, int, int, int, int]]:
-    """(digest, start, end, place, n_words) of each unit: offsets in code points, place among all units of the text."""
+def units(text: str, min_words: int) -> list[tuple[bytes, int, int, int, int, int]]:
+    """(digest, start, end, place, n_words, n_units) of each unit: offsets in code points, place among the n_units of the text."""
     raw = text.encode("utf-8", "replace")
     data = np.frombuffer(raw, np.uint8)
     if not len(data):
@@ -56,7 +57,7 @@ def units(text: str, min_words: int) -> list[tuple[bytes, int, int, int, int]]:
     white = _WHITE[data]
     edge = np.flatnonzero(np.diff(white.astype(np.int8), prepend=1, append=1))
     begins, ends = edge[0::2], edge[1::2]  # of words, in bytes
-    if len(begins) < min_words:
+    if not len(begins):
         return []
     lead = (data & 0xC0) != 0x80
     point = np.concatenate([[0], np.cumsum(lead)])  # bytes -> code points
@@ -65,22 +66,20 @@ def units(text: str, min_words: int) -> list[tuple[bytes, int, int, int, int]]:
     starts = np.flatnonzero(np.diff(line, prepend=-1))
     short = np.diff(starts, append=len(words)) < min_words
     starts = starts[~(short & np.append(False, short[:-1]))]  # a short line joins one before it
-    out, place = [], -1
+    out = []
     for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(words)], strict=True):
         marks = [a, b]
         if b - a > LONG:
             h = np.fromiter(map(xxhash.xxh3_64_intdigest, words[a:b]), np.uint64, b - a)
             marks = [a, *(cut_after(h) + a + 1).tolist(), b]
         for i, j in zip(marks, marks[1:], strict=False):
-            place += 1
-            if j - i >= min_words:
-                out.append((xxhash.xxh3_128_digest(b" ".join(words[i:j])), int(point[begins[i]]), int(point[ends[j - 1]]), place, j - i))
-    return out
+            out.append((xxhash.xxh3_128_digest(b" ".join(words[i:j])), int(point[begins[i]]), int(point[ends[j - 1]]), len(out), j - i))
+    return [(*x, len(out)) for x in out]
 
 
 def unit_rows(docs: DataFrame, *, min_words: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(digest, doc, start, end, place, n_words) of every unit."""
-    names = ["digest", "start", "end", "place", "n_words"]
+    """(digest, doc, start, end, place, n_words, n_units) of every unit."""
+    names = ["digest", "start", "end", "place", "n_words", "n_units"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,18 +92,20 @@ def unit_rows(docs: DataFrame, *, min_words: int = 6, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([doc, *columns], names=["doc", *names])
 
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
-    return rows.mapInArrow(run, f"doc {dict(rows.dtypes)['doc']}, digest binary, start int, end int, place int, n_words int")
+    return rows.mapInArrow(run, f"doc {dict(rows.dtypes)['doc']}, digest binary, start int, end int, place int, n_words int, n_units int")
 
 
 def repeated_units(docs: DataFrame, *, min_words: int = 6, min_run: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, start, end, first_doc, first_start) of every unit that occurs earlier, in a run of such units that is long enough; to be removed."""
+    """(doc, start, end, first_doc, first_start) of every unit that occurs earlier, in a run of such units that is long enough or in a text of nothing else; to be removed."""
     rows = stored(unit_rows(docs, min_words=min_words, id_col=id_col, text_col=text_col), "units")
     first = rows.groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     found = rows.join(stored(first, "firsts"), "digest").where("struct(doc, start) > first")
     # Places that follow each other differ from their rank by the same number; equal places come from rows with equal ids.
     rank = F.dense_rank().over(Window.partitionBy("doc").orderBy("place"))
-    runs = found.withColumn("run", F.col("place") - rank)
-    runs = runs.withColumn("words", F.sum("n_words").over(Window.partitionBy("doc", "run"))).where(F.col("words") >= min_run)
+    runs = found.withColumn("rank", rank).withColumn("run", F.col("place") - F.col("rank"))
+    long = F.when(F.col("n_words") >= min_words, F.col("n_words")).otherwise(0)
+    runs = runs.withColumn("words", F.sum(long).over(Window.partitionBy("doc", "run"))).withColumn("ranks", F.max("rank").over(Window.partitionBy("doc")))
+    runs = runs.where((F.col("words") >= min_run) | (F.col("ranks") == F.col("n_units")))
     return runs.select("doc", "start", "end", F.col("first.doc").alias("first_doc"), F.col("first.start").alias("first_start"))
 
 
