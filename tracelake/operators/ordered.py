@@ -73,6 +73,23 @@ class HoldRepeat:
         return {"keep": keep, "made": made}
 
 
+class FramePts:
+    """Media time of a frame, or one step after the last kept one; a frame within ``tolerance`` of it is skipped. Label: (keep, pts)."""
+
+    def __init__(self, tolerance: int, step: int | None):
+        self.tolerance, self.step_, self.last = tolerance, step, None
+
+    def step(self, pts: int | None) -> dict:
+        if pts is None:
+            if self.step_ is None:
+                raise ValueError("fps is needed where a frame has no pts")
+            pts = 0 if self.last is None else self.last + self.step_
+        if self.last is not None and pts - self.last < self.tolerance:
+            return {"keep": False, "pts": None}
+        self.last = pts
+        return {"keep": True, "pts": pts}
+
+
 class NextFit:
     """Number of the sequence that a length goes to, in order; None if it exceeds the capacity."""
 

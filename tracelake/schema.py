@@ -5,7 +5,7 @@ All times are BIGINT nanoseconds; Spark timestamps hold microseconds only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -21,6 +21,8 @@ PAYLOADS = {
     "desktop/WindowInfo": "title string, rect array<int>, hWnd bigint",
     "desktop/ScreenCaptured": "utc_ns bigint, source_shape array<int>, shape array<int>, media_ref struct<uri:string,pts_ns:bigint>",
 }
+#: Message types that were registered while the program runs.
+_REGISTERED: dict[str, str] = {}
 STAGES = {
     "event": "episode_path string, topic string, timestamp_ns bigint, message_type string, mcap_message binary",
     "binned": "episode_path string, bin_idx int, timestamp_ns bigint, state array<binary>, actions array<binary>",
@@ -43,6 +45,42 @@ def valid_type_name(message_type: Column) -> Column:
     return F.coalesce(message_type.rlike("^[^/]+/.+"), F.lit(False))
 
 
+def message_types() -> dict[str, str]:
+    """Payload fields of all message types, those of the format and those registered."""
+    return {**PAYLOADS, **_REGISTERED}
+
+
+def register_message_type(name: str, fields: str | StructType) -> None:
+    """Make ``domain/Name`` known with its payload's fields; a name that is taken with other fields is an error."""
+    domain, slash, rest = name.partition("/")
+    if not (domain and slash and rest):
+        raise ValueError(f"a message type is named domain/Name, not {name!r}")
+    text = fields if isinstance(fields, str) else fields.toDDL()
+    if message_types().get(name, text) != text:
+        raise ValueError(f"{name} is registered with other fields")
+    if name not in PAYLOADS:
+        _REGISTERED[name] = text
+
+
 def decoded(payload: Column, message_type: str, strict: bool = False) -> Column:
     """Payload JSON as a struct; what does not parse is null, or an error where ``strict``."""
-    return F.from_json(payload, PAYLOADS[message_type], {"mode": "FAILFAST" if strict else "PERMISSIVE"})
+    if message_type not in message_types():
+        raise KeyError(f"{message_type} is no registered message type")
+    return F.from_json(payload, message_types()[message_type], {"mode": "FAILFAST" if strict else "PERMISSIVE"})
+
+
+def parses(payload: Column, message_type: str) -> Column:
+    """Whether a payload is JSON with the fields' types; absent fields are null ones."""
+    fields = f"{message_types()[message_type]}, _broken string"
+    return payload.isNotNull() & F.from_json(payload, fields, {"columnNameOfCorruptRecord": "_broken"})["_broken"].isNull()
+
+
+def typed(events: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """``events`` with ``typed``: a struct with a field for each message type (domain__Name), of which a row's own is set.
+
+    Where ``names`` is not given, all registered types have a field. Payloads of
+    other types, and those that do not parse, have none set.
+    """
+    wanted = list(message_types()) if names is None else names
+    fields = [F.when(F.col("message_type") == n, decoded(F.col("payload"), n)).alias(n.replace("/", "__")) for n in wanted]
+    return events.withColumn("typed", F.struct(*fields))
