@@ -68,10 +68,11 @@ def parts_of(spec: dict | None, name: str) -> list[dict]:
     return [x for part in spec[name] for x in parts_of(part, name)] if spec["type"] == "Sequence" else [spec]
 
 
-def known_forms(spec: dict) -> tuple[bool, bool]:
-    """Whether a file's steps are such that stretches between white space can be encoded alone, and that they are lower-cased."""
-    steps = parts_of(spec.get("normalizer"), "normalizers")
-    cuts = parts_of(spec.get("pre_tokenizer"), "pretokenizers")
+def known_forms(tokenizer) -> tuple[bool, bool]:
+    """Whether a tokenizer's steps are such that stretches between white space can be encoded alone, and that they are lower-cased."""
+    told = lambda part: None if part is None else json.loads(part.__getstate__())
+    steps = parts_of(told(tokenizer.normalizer), "normalizers")
+    cuts = parts_of(told(tokenizer.pre_tokenizer), "pretokenizers")
     plain = all(x["type"] in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase") or (x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} and x["content"] == " ") for x in steps)
     # What the cutter's pattern does not find is removed: white space and nothing else.
     white = bool(cuts) and cuts[0]["type"] == "Split" and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"] and all(x["type"] == "ByteLevel" and not x["add_prefix_space"] for x in cuts[1:])
@@ -86,8 +87,8 @@ class Habits:
     a stretch after an ASCII letter or digit have their own ids.
     """
 
-    def __init__(self, tokenizer, spec: dict):
-        known, lower = known_forms(spec)
+    def __init__(self, tokenizer):
+        known, lower = known_forms(tokenizer)
         parts = ["ab", "Cd,", "7", "é'", "!", "a1.b", MARK, "'s", "ﬁ", "\u0301x"]
         alone = ids_of(tokenizer, parts)
         self.space = known
@@ -110,11 +111,9 @@ class WordCache(dict):
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = load(path)
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.habits = Habits(self.tokenizer, spec)
+        self.habits = Habits(self.tokenizer)
         #: Strings that the library looks for before anything else, in lower case: texts that have one in any case are its own work.
-        self.added = [t["content"].encode().lower() for t in spec.get("added_tokens", [])]
+        self.added = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         mark = ids_of(self.tokenizer, [MARK])[0]
         self.mark = mark[0] if len(mark) == 1 else None
         #: By id: whether it ends a word; none if words have no ends of their own.
