@@ -153,28 +153,39 @@ def _number(token: Column, prefix: str = "") -> Column:
 
 def decode_event(text: Column, form: str = "compact") -> Column:
     """struct<kind, ts_ns, vk, event_type, dx, dy, button_flags, button_data>; null where the text is no event of the form."""
-    return let(tokens(text), lambda t: _decoded(t, form))
+    # Tokens are read as numbers once each; what follows picks from both arrays.
+    return let(tokens(text), lambda t: let(F.transform(t, lambda x: _number(x)), lambda d: let(_read(t, d, form), lambda v: _decoded(t, v, form))))
 
 
-def _decoded(t: Column, form: str) -> Column:
+def _read(t: Column, d: Column, form: str) -> Column:
+    """struct<ts, vk, dx, dy, flags, scroll> of an event's tokens and their numbers, whatever its kind."""
     bases = COMPACT["time"] if form == "compact" else INTERLEAVED["time"]
-    at = lambda i: F.get(t, F.lit(i))
-    kind = F.translate(at(1), "<>", "")
-    ts = from_digits([_number(at(2 + i)) for i in range(len(bases))], bases, signed=False) * TICK_NS
-    n, body = F.size(t), 2 + len(bases)
-    none = F.lit(None)
+    at, digit = (lambda i: F.get(t, F.lit(i))), (lambda i: F.get(d, F.lit(i)))
+    ts = from_digits([digit(2 + i) for i in range(len(bases))], bases, signed=False) * TICK_NS
+    body = 2 + len(bases)
     if form == "compact":
         sign = lambda i: F.when(at(i) == "<SIGN_PLUS>", 1).when(at(i) == "<SIGN_MINUS>", -1)
-        number = lambda i: from_digits([_number(at(i + j)) for j in range(4)], COMPACT["delta"], signed=False)
+        number = lambda i: from_digits([digit(i + j) for j in range(4)], COMPACT["delta"], signed=False)
         dx, dy, flags_at, scroll_at = sign(body) * number(body + 1), sign(body + 5) * number(body + 6), body + 10, body + 13
         hexes, vk = [_inside(at(flags_at + i), "MB_", "0123456789abcdef") for i in range(3)], _number(at(body), "VK_")
-        scroll, length = sign(scroll_at) * _number(at(scroll_at + 1)), 2
+        scroll = sign(scroll_at) * digit(scroll_at + 1)
     else:
-        dx, dy = (from_digits([_number(at(body + 2 * j + k)) for j in range(4)], INTERLEAVED["delta"]) for k in (0, 1))
+        dx, dy = (from_digits([digit(body + 2 * j + k) for j in range(4)], INTERLEAVED["delta"]) for k in (0, 1))
         flags_at, scroll_at = body + 8, body + 11
-        hexes, vk = [_inside(at(flags_at + i), "", "0123456789abcdef") for i in range(3)], _number(at(body))
-        scroll, length = from_digits([_number(at(scroll_at + j)) for j in range(2)], INTERLEAVED["scroll"]), 2
-    hex_text = F.concat(*hexes)
+        hexes, vk = [_inside(at(flags_at + i), "", "0123456789abcdef") for i in range(3)], digit(body)
+        scroll = from_digits([digit(scroll_at + j) for j in range(2)], INTERLEAVED["scroll"])
+    fields = {"ts": ts, "vk": vk, "dx": dx, "dy": dy, "flags": F.concat(*hexes), "scroll": scroll}
+    return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+
+def _decoded(t: Column, v: Column, form: str) -> Column:
+    bases = COMPACT["time"] if form == "compact" else INTERLEAVED["time"]
+    at = lambda i: F.get(t, F.lit(i))
+    kind = F.translate(at(1), "<>", "")
+    n, body = F.size(t), 2 + len(bases)
+    none = F.lit(None)
+    ts, vk, dx, dy, hex_text, scroll = (v[k] for k in ("ts", "vk", "dx", "dy", "flags", "scroll"))
+    scroll_at, length = (body + 13, 2) if form == "compact" else (body + 11, 2)
     flags = F.when(F.length(hex_text) == 3, F.conv(hex_text, 16, 10).cast("int"))
     action = F.translate(at(body + 1), "<>", "")
     out = lambda **f: F.struct(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -28,15 +30,33 @@ def require_tokens(vocab: dict[str, int], form: str) -> None:
         raise ValueError(f"{len(missing)} event tokens are not in the vocabulary, such as {missing[0]}")
 
 
-def vocab_column(vocab: dict[str, int]) -> Column:
-    """A literal map; event vocabularies have a few hundred tokens."""
-    return F.create_map(*[F.lit(x) for kv in vocab.items() for x in kv])
+def vocab_lookup(vocab: dict[str, int]) -> Callable[[Column], Column]:
+    """token -> id: literal maps by the token's crc32, of two entries or so each, as Spark scans a map's keys one by one."""
+    n = max(1, len(vocab) // 2)
+    parts: list[dict[str, int]] = [{} for _ in range(n)]
+    for token, i in vocab.items():
+        parts[zlib.crc32(token.encode()) % n][token] = i
+    none = F.create_map().cast("map<string,int>")
+    table = F.array(*[F.create_map(*[F.lit(x) for kv in p.items() for x in kv]) if p else none for p in parts])
+    return lambda token: F.get(table, (F.crc32(token) % n).cast("int"))[token]
+
+
+def id_lookup(vocab: dict[str, int]) -> Callable[[Column], Column]:
+    """id -> token: the places of a literal array from the smallest id on; ids of a vocabulary have few gaps."""
+    low, high = min(vocab.values(), default=0), max(vocab.values(), default=-1)
+    if high - low > 4 * len(vocab) + 1000:
+        table = F.create_map(*[F.lit(x) for t, i in vocab.items() for x in (i, t)])
+        return lambda i: table[i]
+    places: list[str | None] = [None] * (high - low + 1)
+    for token, i in vocab.items():
+        places[i - low] = token
+    table = F.array(*[F.lit(t) for t in places]).cast("array<string>")
+    return lambda i: F.when(i >= low, F.get(table, i - low))
 
 
 def token_ids(text: Column, vocab: dict[str, int]) -> Column:
     """Ids of a text's tokens; null for a token out of the vocabulary."""
-    table = vocab_column(vocab)
-    return F.transform(tokens(text), lambda t: table[t])
+    return F.transform(tokens(text), vocab_lookup(vocab))
 
 
 def tokenize(events: DataFrame, vocab: dict[str, int], *, form: str = "compact", image: Column | None = None) -> DataFrame:
@@ -50,8 +70,7 @@ def tokenize(events: DataFrame, vocab: dict[str, int], *, form: str = "compact",
 
 def detokenize(ids: Column, vocab: dict[str, int], image: str | None = None) -> Column:
     """Text of ids; the image pattern becomes the placeholder again."""
-    table = vocab_column({i: t for t, i in vocab.items()})  # type: ignore[misc]
-    text = F.array_join(F.transform(ids, lambda i: table[i]), "")
+    text = F.array_join(F.transform(ids, id_lookup(vocab)), "")
     return text if image is None else F.replace(text, F.lit(image), F.lit(IMAGE))
 
 
