@@ -9,12 +9,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.operators import intervals, logs, resample
-from tracelake.plans import media_queries, more_queries, oracle, queries
+from tracelake.plans import media_queries, more_queries, oracle, queries, stage_queries
 from tracelake.plans.queries import log
 from tracelake.streaming import live
 
-QUERIES = {**queries.QUERIES, **more_queries.QUERIES, **media_queries.QUERIES}
-ORACLE = {**oracle.ORACLE, **more_queries.ORACLE, **media_queries.ORACLE}
+QUERIES = {**queries.QUERIES, **more_queries.QUERIES, **media_queries.QUERIES, **stage_queries.QUERIES}
+ORACLE = {**oracle.ORACLE, **more_queries.ORACLE, **media_queries.ORACLE, **stage_queries.ORACLE}
 
 
 @pytest.fixture(scope="module")

@@ -55,21 +55,25 @@ def title_matches(title: Column, wanted: str, exact: bool) -> Column:
     return title == wanted if exact else F.lower(title).contains(wanted.lower())
 
 
+def _marked(events: DataFrame, is_state: Column, matches: Column) -> DataFrame:
+    """``events`` with ``_m``: whether the latest state row of their episode matches."""
+    order = Window.partitionBy("episode").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last(F.when(is_state, F.coalesce(matches, F.lit(False))), ignorenulls=True).over(order)
+    return events.withColumn("_m", F.coalesce(last, F.lit(False)))
+
+
 def keep_while(events: DataFrame, is_state: Column, matches: Column) -> DataFrame:
     """Rows while the latest state row of their episode matches; state rows themselves if they match; nothing before the first."""
-    order = Window.partitionBy("episode").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = events.withColumn("_m", F.last(F.when(is_state, F.coalesce(matches, F.lit(False))), ignorenulls=True).over(order))
-    return marked.where(F.coalesce("_m", F.lit(False))).drop("_m")
+    return _marked(events, is_state, matches).where("_m").drop("_m")
 
 
 def checked_sanitize(events: DataFrame, is_state: Column, matches: Column, max_removed: float = 1.0) -> DataFrame:
     """``keep_while``; ValueError where a larger share than ``max_removed`` of all rows would go."""
-    kept = keep_while(events, is_state, matches)
-    total, left = events.count(), kept.count()
-    ratio = (total - left) / total if total else 0.0
+    marked = _marked(events, is_state, matches)
+    ratio = marked.agg(F.coalesce(F.avg((~F.col("_m")).cast("double")), F.lit(0.0))).first()[0]
     if ratio > max_removed:
         raise ValueError(f"{ratio:.1%} of the rows would be removed; the limit is {max_removed:.1%}")
-    return kept
+    return marked.where("_m").drop("_m")
 
 
 def mode_title(states: DataFrame, title: str = "title") -> DataFrame:

@@ -22,18 +22,62 @@ def ratio_verdict(good: Column, warn: float, fail: float) -> Column:
     return F.when(share >= warn, "PASS").when(share >= fail, "WARN").otherwise("FAIL")
 
 
+#: Ranges into which ``quantiles`` cuts the distinct values of a group.
+RANGES = 64
+
+
+def quantiles(df: DataFrame, value: str, shares: dict[str, float], *by: str) -> DataFrame:
+    """(by, one column for each share): exact quantiles, interpolated between neighbours; a group's values never meet in one task.
+
+    Values are counted; the distinct ones fall into ranges by approximate cuts, whose
+    exact counts tell in which range a rank lies, and only those ranges are sorted.
+    A group without values has no row.
+    """
+    keys = list(by) or ["_all"]
+    rows = df.where(F.col(value).isNotNull()).withColumn("_all", F.lit(0)).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx("_v", [k / RANGES for k in range(1, RANGES)], 10_000).alias("_cuts"))
+    same = lambda a, b: [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    ranged = rows.alias("a").join(cuts.alias("b"), same("a", "b")).select("a.*", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_r"))
+    sums = ranged.groupBy(*keys, "_r").agg(F.sum("_n").alias("_in"))
+    order = Window.partitionBy(*keys).orderBy("_r")
+    sums = sums.withColumns({"_before": F.sum("_in").over(order) - F.col("_in"), "_total": F.sum("_in").over(Window.partitionBy(*keys))})
+    rank = lambda p: (F.col("_total") - 1) * p
+    asked = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(rank(p)), F.ceil(rank(p))) for p in shares.values()])))
+    sums = sums.withColumn("_asked", F.filter(asked, lambda x: (x >= F.col("_before")) & (x < F.col("_before") + F.col("_in")))).where(F.size("_asked") > 0)
+    near = ranged.alias("a").join(sums.alias("b"), [*same("a", "b"), F.col("a._r") == F.col("b._r")]).select("a.*", "_before", "_total", "_asked")
+    upto = F.sum("_n").over(Window.partitionBy(*keys, "_r").orderBy("_v")) + F.col("_before")
+    near = near.withColumn("_upto", upto).withColumn("_hit", F.filter("_asked", lambda x: (x >= F.col("_upto") - F.col("_n")) & (x < F.col("_upto")))).where(F.size("_hit") > 0)
+    at = F.map_from_entries(F.collect_list(F.struct(F.col("_x").cast("bigint").alias("k"), F.col("_v").alias("v"))))  # two for each share at most
+    found = near.select(*keys, "_total", "_v", F.explode("_hit").alias("_x")).groupBy(*keys, "_total").agg(at.alias("_at"))
+
+    def between(p: float) -> Column:
+        low, high = (F.col("_at")[f(rank(p)).cast("bigint")] for f in (F.floor, F.ceil))
+        return low + (high - low) * (rank(p) - F.floor(rank(p)))
+
+    return found.select(*by, *[between(p).alias(name) for name, p in shares.items()])
+
+
+def _with(found: DataFrame, more: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """``found`` with the columns of ``more`` for its groups; null groups are groups."""
+    if not by:
+        return found.crossJoin(more)  # a row each
+    there = more.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], *[c for c in more.columns if c not in by])
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(by)]
+    return found.join(there, on, "left").drop(*[f"_k{i}" for i in range(len(by))])
+
+
 def key_gaps(frames: DataFrame, is_key: Column, fps: float) -> DataFrame:
     """Per episode, gaps between key frames: number, min, max, mean, median, consistent."""
     order = Window.partitionBy("episode").orderBy(*ORDER)
     gaps = frames.where(is_key).withColumn("gap", F.col("ts_ns") - F.lag("ts_ns").over(order)).where("gap is not null")
-    return gaps.groupBy("episode").agg(
+    found = gaps.groupBy("episode").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("gap").alias("min_gap"),
         F.max("gap").alias("max_gap"),
         F.avg("gap").alias("mean_gap"),
-        F.percentile("gap", 0.5).alias("median_gap"),
         (F.max("gap") - F.min("gap") < F.lit(0.1 * fps * SECOND)).alias("consistent"),
     )
+    return _with(found, quantiles(gaps, "gap", {"median_gap": 0.5}, "episode"), ("episode",))
 
 
 def frame_groups(frames: DataFrame, is_key: Column, kind: str, first: int | None = None, *, keep_last: bool = False) -> DataFrame:
@@ -62,16 +106,15 @@ def variable_rate(avg: Column, nominal: Column, tolerance: float = 0.01) -> Colu
 def spread(df: DataFrame, value: Column, *by: str) -> DataFrame:
     """mean, median, q1, q3, max, min; quantiles interpolate."""
     rows = df.select(*by, value.alias("v"))
-    q = F.percentile("v", [0.25, 0.5, 0.75])
-    found = rows.groupBy(*by).agg(F.avg("v").alias("mean"), q.alias("_q"), F.max("v").alias("max"), F.min("v").alias("min"))
-    return found.select(*by, "mean", F.get("_q", F.lit(1)).alias("median"), F.get("_q", F.lit(0)).alias("q1"), F.get("_q", F.lit(2)).alias("q3"), "max", "min")
+    found = rows.groupBy(*by).agg(F.avg("v").alias("mean"), F.max("v").alias("max"), F.min("v").alias("min"))
+    out = _with(found, quantiles(rows, "v", {"q1": 0.25, "median": 0.5, "q3": 0.75}, *by), by)
+    return out.select(*by, "mean", "median", "q1", "q3", "max", "min")
 
 
 def latency_summary(df: DataFrame, latency: str, duration_s: Column) -> DataFrame:
     """mean, population deviation, p95, p99 and throughput."""
-    q = F.percentile(latency, [0.95, 0.99])
-    found = df.agg(F.avg(latency).alias("mean"), F.stddev_pop(latency).alias("std"), q.alias("_q"), (F.count(F.lit(1)) / F.max(duration_s)).alias("throughput"))
-    return found.select("mean", "std", F.get("_q", F.lit(0)).alias("p95"), F.get("_q", F.lit(1)).alias("p99"), "throughput")
+    found = df.agg(F.avg(latency).alias("mean"), F.stddev_pop(latency).alias("std"), (F.count(F.lit(1)) / F.max(duration_s)).alias("throughput"))
+    return _with(found, quantiles(df, latency, {"p95": 0.95, "p99": 0.99}), ()).select("mean", "std", "p95", "p99", "throughput")
 
 
 def rolling(df: DataFrame, value: str, rows: int = 100) -> DataFrame:
@@ -95,6 +138,18 @@ def ema(values: Column, keep: float = 0.9) -> Column:
     return F.when(F.size(values) > 0, F.aggregate(rest, F.get(values, F.lit(0)).cast("double"), lambda acc, x: acc * keep + x * (1 - keep)))
 
 
+def ema_by(df: DataFrame, value: str, keep: float = 0.9, *, by: tuple[str, ...] = ("episode",), order: tuple[str, ...] = tuple(ORDER)) -> DataFrame:
+    """(by, ema): the exponential mean of each group's last row, as a sum of weights by place; nulls are left out.
+
+    A row k places before the last one weighs keep ** k, and all but the first also
+    1 - keep; so the sum needs no array of a group, and partial sums add up.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*by, *order, F.col(value).cast("double").alias("_v"))
+    back = Window.partitionBy(*by).orderBy(*[F.col(c).desc() for c in order])
+    rows = rows.withColumns({"_k": F.row_number().over(back) - 1, "_first": F.lead(F.lit(False), 1, True).over(back)})
+    return rows.groupBy(*by).agg(F.sum(F.col("_v") * F.pow(F.lit(keep), F.col("_k")) * F.when(F.col("_first"), 1.0).otherwise(1 - keep)).alias("ema"))
+
+
 def motion(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """``df`` with dx, dy, dt_s, distance and speed from the row before; no time gives an infinite speed."""
     order = Window.partitionBy("episode").orderBy(*ORDER)

@@ -6,7 +6,7 @@ import zlib
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.codecs import IMAGE, decode_event, encode_event, tokens, vocabulary
@@ -89,14 +89,29 @@ def decode_episode(texts: DataFrame, *, form: str = "compact", span_ns: int = 10
     return unwrap(rows.select("episode", "seq", F.col("d.ts_ns").alias("t"), "d"), span_ns)
 
 
-def pack(rows: DataFrame, capacity: int, *, length: str = "total_token_count", keys: tuple[str, ...] = ("episode",), order: tuple[str, ...] = ("ts_ns", "seq")) -> DataFrame:
-    """``rows`` with seq_no: sequences filled in order, never across episodes; rows longer than the capacity go."""
-    return ordered_scan(rows, list(keys), list(order), [length], partial(NextFit, capacity), "seq_no", "int").where("seq_no is not null")
+def pack(rows: DataFrame, capacity: int, *, length: str = "total_token_count", keys: tuple[str, ...] = ("episode",), order: tuple[str, ...] = ("ts_ns", "seq"), counters: Observation | None = None) -> DataFrame:
+    """``rows`` with seq_no: sequences filled in order, never across episodes; rows longer than the capacity go.
+
+    ``counters`` observe rows, skipped (too long) and tokens of what is packed, in the same pass.
+    """
+    placed = ordered_scan(rows, list(keys), list(order), [length], partial(NextFit, capacity), "seq_no", "int")
+    if counters is not None:
+        kept = F.col("seq_no").isNotNull()
+        placed = placed.observe(counters, F.count(F.lit(1)).alias("rows"), F.count(F.when(~kept, 1)).alias("skipped"), F.coalesce(F.sum(F.when(kept, F.col(length).cast("bigint"))), F.lit(0).cast("bigint")).alias("tokens"))
+    return placed.where("seq_no is not null")
+
+
+def pad_id_of(vocab: dict[str, int], names: tuple[str, ...] = ("<pad>", "<eos>")) -> int:
+    """The id that pads sequences: that of the first name that the vocabulary has; ValueError if it has none."""
+    for name in names:
+        if name in vocab:
+            return vocab[name]
+    raise ValueError(f"the vocabulary has none of {', '.join(names)}")
 
 
-def pack_sequences(rows: DataFrame, capacity: int, pad_id: int, *, keys: tuple[str, ...] = ("episode",), order: tuple[str, ...] = ("ts_ns", "seq")) -> DataFrame:
+def pack_sequences(rows: DataFrame, capacity: int, pad_id: int, *, keys: tuple[str, ...] = ("episode",), order: tuple[str, ...] = ("ts_ns", "seq"), counters: Observation | None = None) -> DataFrame:
     """(episode, seq_no, input_ids, attention_mask, texts, n_events): ids joined and padded to ``capacity``."""
-    packed = pack(rows, capacity, keys=keys, order=order)
+    packed = pack(rows, capacity, keys=keys, order=order, counters=counters)
     parts = F.sort_array(F.collect_list(F.struct(*order, "token_ids", "text")))
     out = packed.groupBy(*keys, "seq_no").agg(parts.alias("p")).withColumn("ids", F.flatten(F.transform("p", lambda x: x["token_ids"])))
     pad = lambda n: F.array_repeat(F.lit(n), F.lit(capacity) - F.size("ids"))

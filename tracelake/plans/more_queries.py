@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import codecs
 from tracelake.operators import bins, intervals, logs, resample, stats, timelines, tokens
-from tracelake.plans import catalog, evolve, stages
+from tracelake.plans import catalog, evolve, queries, stages
 from tracelake.plans.oracle import CODES, DAY, EV, HOUR, MOUSE, THIN, W, activity, thinned
 from tracelake.plans.queries import TOPICS, Query, log, read, topic
 from tracelake.sources.importers import eligible, ticks_to_events
@@ -195,12 +195,17 @@ def tokenize_events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT (row_number() OVER (ORDER BY token) - 1)::INTEGER AS id, token FROM (
+    f"""{W}, {MOUSE}, {CODES}, vo AS (SELECT (row_number() OVER (ORDER BY token) - 1)::INTEGER AS id, token FROM (
   SELECT unnest(['<EVENT_START>', '<EVENT_END>', '<KEYBOARD>', '<MOUSE>', '<SCREEN>', '<press>', '<release>', '<SIGN_PLUS>', '<SIGN_MINUS>']) AS token
-  UNION ALL SELECT '<VK_' || range || '>' FROM range(256) UNION ALL SELECT '<MB_' || printf('%x', range) || '>' FROM range(16) UNION ALL SELECT '<' || range || '>' FROM range(10))"""
+  UNION ALL SELECT '<VK_' || range || '>' FROM range(256) UNION ALL SELECT '<MB_' || printf('%x', range) || '>' FROM range(16) UNION ALL SELECT '<' || range || '>' FROM range(10))),
+tk AS (SELECT unnest(regexp_extract_all(text, '<[^>]*>')) AS token FROM (SELECT kc AS text FROM cd UNION ALL SELECT mc FROM cd))
+SELECT id, token, count(tk.token) AS n FROM vo LEFT JOIN tk USING (token) GROUP BY ALL"""
 )
 def vocabulary_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return tokens.vocabulary_frame(spark, "compact")
+    """How often each token of the vocabulary occurs in the encoded keyboard and mouse events."""
+    rows = queries._codes(spark, sf, "compact").select(F.explode(F.array("keyboard", "mouse")).alias("text"))
+    found = rows.select(F.explode(codecs.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return tokens.vocabulary_frame(spark, "compact").join(found, "token", "left").select("id", "token", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
 
 
 @query("SELECT count(*) FILTER (WHERE length(coalesce(text, '')) > 300) AS skipped, sum(length(coalesce(text, ''))) FILTER (WHERE length(coalesce(text, '')) <= 300)::BIGINT AS tokens FROM conversations")

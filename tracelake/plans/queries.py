@@ -371,8 +371,7 @@ def velocity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def ema_metric(spark: SparkSession, sf: str) -> DataFrame:
-    rows = log(spark, sf).groupBy("episode").agg(F.sort_array(F.collect_list(F.struct("ts_ns", "seq", "cents"))).alias("v"))
-    return rows.select("episode", F.round(stats.ema(F.transform("v", lambda x: x["cents"])), 4).alias("ema"))
+    return stats.ema_by(log(spark, sf), "cents").select("episode", F.round("ema", 4).alias("ema"))
 
 
 @query

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tracelake.functions.codecs import encode_event
 from tracelake.operators import bins, intervals, resample, tokens
 from tracelake.plans.extractors import Extractor, everything
 from tracelake.schema import stage_of
+from tracelake.sources.logs import save_settings
 
 
 @dataclass(frozen=True)
@@ -48,6 +49,25 @@ def packed_stage(tokenized: DataFrame, capacity: int, pad_id: int, *, with_image
     return tokens.pack_sequences(rows, capacity, pad_id)
 
 
+def write_packed(tokenized: DataFrame, path: str, capacity: int, pad_id: int, *, split: str | None = None, settings: dict[str, object] | None = None) -> dict[str, int]:
+    """Write packed sequences and what was counted while they were written, beside their settings; returns the counters.
+
+    rows, skipped (longer than ``capacity``) and tokens come from the packing plan,
+    sequences, events and padding from what is written: no second scan. With ``split``, a
+    column that is one for all rows of an episode, each of its values gets a folder.
+    """
+    plan, out = Observation("packing"), Observation("sequences")
+    rows = tokenized.where("valid")
+    keys = ("episode",) if split is None else (split, "episode")
+    packed = tokens.pack_sequences(rows, capacity, pad_id, keys=keys, counters=plan)
+    padding = F.sum(F.size("attention_mask") - F.aggregate("attention_mask", F.lit(0), lambda n, m: n + m))
+    packed = packed.observe(out, F.count(F.lit(1)).alias("sequences"), F.coalesce(F.sum("n_events"), F.lit(0)).alias("events"), F.coalesce(padding, F.lit(0)).cast("bigint").alias("padding"))
+    (packed.write.partitionBy(split) if split else packed.write).parquet(f"{path}/data")
+    counters = {k: int(v) for o in (plan, out) for k, v in o.get.items()}
+    save_settings(tokenized.sparkSession, path, {"stage": "fsl", "capacity": capacity, "pad_id": pad_id} | (settings or {}) | counters)
+    return counters
+
+
 def transform(df: DataFrame, instruction: str = "", form: str = "compact") -> DataFrame:
     """The training view of a stage's table; ValueError for a table of no stage."""
     stage = stage_of(df.schema)

@@ -39,7 +39,9 @@ def write_log(events: DataFrame, path: str, *, mode: str = "errorifexists") -> N
     if mixed:
         raise ValueError(f"topic {mixed[0]['topic']} of {mixed[0]['episode']} has {mixed[0]['n']} message types")
     rows = events.withColumn("bucket", F.pmod(F.xxhash64("episode"), F.lit(BUCKETS)))
-    rows.repartition("bucket").sortWithinPartitions("bucket", "episode", "ts_ns", "seq").write.mode(mode).partitionBy("bucket").parquet(path)
+    order = ["bucket", "episode", "ts_ns", "seq"]
+    # Ranges of near equal size, so that neither a folder nor an episode is one task's work.
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).partitionBy("bucket").parquet(path)
 
 
 def side_table(rows: DataFrame, path: str) -> None:
@@ -58,8 +60,12 @@ def save_stage(df: DataFrame, path: str, settings: dict[str, object], *, split:
     if split:
         writer = writer.partitionBy(split)
     writer.parquet(f"{path}/data")
-    spark = df.sparkSession
-    spark.createDataFrame([(json.dumps({"stage": stage_of(df.schema)} | settings, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/settings")
+    save_settings(df.sparkSession, path, {"stage": stage_of(df.schema)} | settings)
+
+
+def save_settings(spark: SparkSession, path: str, settings: dict[str, object]) -> None:
+    """Settings as one JSON line beside a stage's data."""
+    spark.createDataFrame([(json.dumps(settings, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/settings")
 
 
 def load_stage(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, object]]:
