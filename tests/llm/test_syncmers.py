@@ -43,15 +43,17 @@ def anchors(text):
     return out or whole
 
 
-def sketch(text):
-    return sorted({d for _, d in anchors(text)})[:SIZE]
+def distinct(text):
+    """All distinct digests of a text, and where each stands first."""
+    first = {}
+    for pos, d in anchors(text):
+        first.setdefault(d, pos)
+    return dict(sorted(first.items()))
 
 
 def likeness(a, b):
-    if not a or not b:
-        return float(not a and not b)
-    u = sorted(set(a) | set(b))[:SIZE]
-    return len(set(a) & set(b) & set(u)) / len(u)
+    """The share of common anchors, of all of them."""
+    return len(a.keys() & b.keys()) / len(a.keys() | b.keys()) if a or b else 1.0
 
 
 def expected(rows):
@@ -61,9 +63,9 @@ def expected(rows):
     for (k, text), (_, follow) in zip(rows, rows[1:] + rows[:1], strict=True):
         m = len(text) // 3
         edited = text[: len(text) - m] + follow[:m]
-        s, e = sketch(text), sketch(edited)
-        hexes = lambda x: "".join(f"{d:08x}" for d in x)
-        out[k] = (len(text), hashlib.sha256(edited.encode()).hexdigest(), hexes(s), hexes(e), likeness(s, e), likeness(s, sketch(follow)))
+        s, e = distinct(text), distinct(edited)
+        hexes = lambda x: "".join(f"{d:08x}" for d in list(x)[:SIZE])
+        out[k] = (len(text), hashlib.sha256(edited.encode()).hexdigest(), hexes(s), hexes(e), likeness(s, e), likeness(s, distinct(follow)))
     return out
 
 
@@ -109,6 +111,13 @@ def test_messy(messy, none):
     assert fingerprints(none).count() == 0 and anchor_rows(none).count() == 0
 
 
+def test_positions_of_the_fingerprint(spark, texts):
+    rows = [(k, t) for k, t in texts.items() if t][:40]
+    for r in fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        found = distinct(dict(rows)[r.doc_id])
+        assert r.positions == list(found.values())[:SIZE] and r.fingerprint == "".join(f"{d:08x}" for d in list(found)[:SIZE])
+
+
 def test_text_ids(spark):
     """Ids that are no numbers: the next document is the one before it in the order of texts."""
     rows = [(f"k{i:03d}", f"one two three four five six seven eight nine text {i} " * 3) for i in range(60)] + [(None, "no id")]

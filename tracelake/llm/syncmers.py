@@ -4,9 +4,10 @@ A text's units are its words, those longer than 16 code points cut into pieces.
 A k-mer of K units is an anchor (a closed syncmer) if the smallest digest of its
 S-unit substrings stands first or last in it. The choice depends on the k-mer
 alone, so equal passages have equal anchors wherever they stand, which serves
-positional matching (``anchor_rows``). The fingerprint is the SIZE smallest
-distinct anchor digests of the whole text: a bottom-k sketch that estimates the
-likeness of the anchor sets, exact for texts with fewer anchors.
+positional matching (``anchor_rows``). Likeness is the share of common anchors
+among all distinct anchors of both texts, however many there are. The fingerprint is a
+short form, the SIZE smallest distinct anchor digests of the whole text, and
+``positions`` tells at which unit each of them stands first.
 
 Everything runs as DataFrame operations. Defined cases: a null text is empty; a
 text without words has an empty fingerprint; one with fewer than K units, or
@@ -64,22 +65,29 @@ def anchors(text: Column) -> Column:
     return let(_units(text), chosen)
 
 
-def sketch(text: Column) -> Column:
-    """The SIZE smallest distinct anchor digests, ascending."""
-    return F.slice(F.array_sort(F.array_distinct(F.transform(anchors(text), lambda a: a["digest"]))), 1, SIZE)
+def anchor_set(text: Column) -> Column:
+    """array<struct<digest, pos>>: the distinct anchors of a text by digest, with the first position of each."""
+
+    def firsts(found: Column) -> Column:  # by digest, then position
+        return F.filter(found, lambda x, i: (i == 0) | (x["digest"] != F.get(found, i - 1)["digest"]))
+
+    return let(F.array_sort(F.transform(anchors(text), lambda a: F.struct(a["digest"].alias("digest"), a["pos"].alias("pos")))), firsts)
+
+
+def digests(found: Column) -> Column:
+    """The digests of an anchor set as array<int>, half as wide as they are read."""
+    return F.transform(found, lambda x: F.when(x["digest"] < 1 << 31, x["digest"]).otherwise(x["digest"] - (1 << 32)).cast("int"))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated share of common anchors, from two sketches: among the SIZE smallest of both, those in both."""
-    both = let(
-        F.slice(F.array_sort(F.array_union(a, b)), 1, SIZE),
-        lambda u: F.size(F.array_intersect(F.array_intersect(a, b), u)) / F.size(u).cast("double"),
-    )
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both)
+    """Share of common anchors among all anchors of two texts, from their distinct digests."""
+    shared = let(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n).cast("double"))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(shared)
 
 
-def as_text(s: Column) -> Column:
-    return F.array_join(F.transform(s, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+def as_text(found: Column) -> Column:
+    """The SIZE smallest digests of an anchor set, or of its digests, as hex."""
+    return F.array_join(F.transform(F.slice(found, 1, SIZE), lambda x: F.lpad(F.lower(F.hex(_small(x.cast("bigint")))), 8, "0")), "")
 
 
 def anchor_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,18 +128,21 @@ def with_next(docs: DataFrame, derived: dict[str, Column], *, id_col: str = "doc
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, whose last third comes from the next document."""
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
-    rows = with_next(rows, {"_sketch": sketch(F.col(text_col))}, id_col=id_col, text_col=text_col)
+    # A text's digests and positions travel with it, so that each text is parsed once.
+    parsed = let(anchor_set(F.col(text_col)), lambda a: F.struct(digests(a).alias("own"), F.transform(F.slice(a, 1, SIZE), lambda x: x["pos"]).alias("at")))
+    rows = with_next(rows, {"_set": parsed}, id_col=id_col, text_col=text_col)
     n = F.length(text_col)
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col(text_col), F.lit(1), n - third), F.substring(F.col(f"next_{text_col}"), F.lit(1), third))
-    rows = rows.select(id_col, n.cast("long").alias("n_chars"), "_sketch", "next__sketch", edited.alias("_edited"))
-    rows = rows.withColumn("_edited_sketch", sketch(F.col("_edited")))
+    rows = rows.select(id_col, n.cast("long").alias("n_chars"), F.col("_set.own").alias("_own"), F.col("_set.at").alias("_at"), F.col("next__set.own").alias("_follow"), edited.alias("_edited"))
+    rows = rows.withColumn("_new", digests(anchor_set(F.col("_edited"))))
     return rows.select(
         id_col,
         "n_chars",
         F.sha2("_edited", 256).alias("edited_sha256"),
-        as_text(F.col("_sketch")).alias("fingerprint"),
-        as_text(F.col("_edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("_sketch"), F.col("_edited_sketch")).alias("near_edited"),
-        likeness(F.col("_sketch"), F.col("next__sketch")).alias("near_next"),
+        as_text(F.col("_own")).alias("fingerprint"),
+        as_text(F.col("_new")).alias("edited_fingerprint"),
+        likeness(F.col("_own"), F.col("_new")).alias("near_edited"),
+        likeness(F.col("_own"), F.col("_follow")).alias("near_next"),
+        F.col("_at").alias("positions"),
     )
