@@ -78,3 +78,15 @@ def test_sessions_close(spark, sf_dir, tmp_path):
     batch = live.sessions(ev.withColumn("event_time", F.timestamp_micros(F.floor(F.col("ts_ns") / 1000).cast("long"))), "24 hours")
     runs = intervals.activity(ev, ["click", "error", "purchase", "signup", "view"], 24 * 3_600_000_000_000)
     assert sorted((r.start_ns, r.end_ns) for r in batch.where("start_ns < end_ns").collect()) == sorted((r.start_ns, r.end_ns) for r in runs.collect())
+
+
+def test_totals_beyond_a_bigint(spark, tmp_path):
+    """Four users active for a century each: more nanoseconds than a bigint holds."""
+    n, step = 25_000, 35 * 3600 * 10**6
+    rows = spark.range(4 * n).select(
+        F.col("id").alias("event_id"), F.timestamp_micros(F.floor(F.col("id") / 4) * step).cast("timestamp_ntz").alias("ts"), (F.col("id") % 4).alias("user_id"),
+        F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props"),
+    )
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    found = {r.kind: (r.n, r.ns) for r in QUERIES["configured_extractors"](spark, str(tmp_path)).collect()}
+    assert found == {"view": (4, 4 * (n - 1) * step * 1000), "click": (0, 0), "none": (0, 0)}

@@ -81,7 +81,9 @@ def configured_extractors(spark: SparkSession, sf: str) -> DataFrame:
     click = from_config("active", topics=["click"], gap_ns=48 * HOUR) - empty
     out = None
     for kind, plan in (("view", view), ("click", click), ("none", view & empty)):
-        one = plan(rows).agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("end_ns") - F.col("start_ns")), F.lit(0).cast("bigint")).alias("ns"))
+        # Thousands of users' months together are more nanoseconds than a bigint holds.
+        total = F.sum((F.col("end_ns") - F.col("start_ns")).cast("decimal(20,0)")).cast("decimal(38,0)")
+        one = plan(rows).agg(F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"), F.coalesce(total, F.lit(0).cast("decimal(38,0)")).alias("ns"))
         out = one if out is None else out.unionByName(one)
     return out
 
