@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.functions import codecs as c
+from tracelake.functions.formats import bytes_text
 from tracelake.operators import logs, tokens
 from tracelake.plans import evolve
 
@@ -94,3 +95,17 @@ def test_forms_by_name(spark):
     assert all(r.text.startswith("<EVENT_START>{") for r in c.encode_rows(events, "json").collect())
     with pytest.raises(ValueError):
         c.encode_rows(events, "wide")
+
+
+def test_sizes_round_halves_to_even(spark):
+    numbers = [0, 1023, 1024, 636_544, 638_592, 1_048_575, 45_219_840, 2**30 + 2**27, 3 * 2**37, 2**50 + 2**47, 2**50 * 8191 + 3 * 2**47]
+    numbers += [(100 * i + j) * 1024 + k for i in (1, 7) for j in range(3) for k in range(0, 1024, 61)]
+    units = ["B", "KiB", "MiB", "GiB", "TiB", "PiB"]
+
+    def plain(n):
+        power = max(p for p in range(6) if p == 0 or n >= 1024**p)
+        return f"{n / 1024**power:.2f} {units[power]}" if power else f"{n} B"
+
+    rows = spark.createDataFrame([(n,) for n in numbers], "n bigint").select("n", bytes_text(F.col("n")).alias("text")).collect()
+    assert {r.n: r.text for r in rows} == {n: plain(n) for n in numbers}
+    assert plain(636_544) == "621.62 KiB" and plain(45_219_840) == "43.12 MiB"

@@ -58,8 +58,15 @@ def duration_text(seconds: Column) -> Column:
 
 
 def bytes_text(n: Column) -> Column:
-    """Bytes in binary units."""
-    out = F.format_string("%d B", n.cast("long"))
+    """Whole bytes in binary units; hundredths round to nearest, exact halves to even (``format_string`` would round them up)."""
+    n = n.cast("long")
+    out = F.concat(n.cast("string"), F.lit(" B"))
     for power, unit in enumerate(("KiB", "MiB", "GiB", "TiB", "PiB"), 1):
-        out = F.when(n >= 1024**power, F.format_string(f"%.2f {unit}", n / float(1024**power))).otherwise(out)
+        bits = 10 * power
+        rest = n.bitwiseAND(F.lit(2**bits - 1)) * 100
+        # Just under a half more, and one more where the last digit is odd.
+        near = F.shiftright(rest + (2 ** (bits - 1) - 1) + F.shiftright(rest, bits).bitwiseAND(F.lit(1)), bits)
+        hundredths = F.shiftright(n, bits) * 100 + near
+        text = F.concat(F.call_function("div", hundredths, F.lit(100)).cast("string"), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"), F.lit(f" {unit}"))
+        out = F.when(n >= 2**bits, text).otherwise(out)
     return out
