@@ -109,3 +109,27 @@ def test_sizes_round_halves_to_even(spark):
     rows = spark.createDataFrame([(n,) for n in numbers], "n bigint").select("n", bytes_text(F.col("n")).alias("text")).collect()
     assert {r.n: r.text for r in rows} == {n: plain(n) for n in numbers}
     assert plain(636_544) == "621.62 KiB" and plain(45_219_840) == "43.12 MiB"
+
+
+def test_digits_and_decoding_stay_small(spark):
+    """A digit's expression does not double from place to place; an event's tokens are tested by one match, not one by one."""
+    text = lambda *columns: spark.range(1).select(*columns)._jdf.queryExecution().optimizedPlan().toString()
+    sizes = [len(text(F.concat(*[d.cast("string") for d in c.to_digits(F.col("id"), [10] * n)]))) for n in (2, 4, 8)]
+    assert sizes[2] < 5 * sizes[0]
+    for form in ("compact", "interleaved"):
+        plan = text(c.decode_event(F.concat(F.lit("<"), F.col("id").cast("string")), form))
+        assert plan.count("RLIKE") and plan.count("translate(") < 20
+        assert one(spark, *c.to_digits(F.lit(-1234), [2, 20, 10, 10])) == (1, 7, 6, 6)
+
+
+def test_decoding_of_odd_texts(spark):
+    good = "<EVENT_START><KEYBOARD><1><0><0><VK_65><press><EVENT_END>"
+    mouse_text = "<EVENT_START><MOUSE><1><0><0><SIGN_PLUS><0><0><1><0><SIGN_MINUS><0><0><0><5><MB_4><MB_0><MB_1>{}<EVENT_END>"
+    kept = [good, "a>" + good.replace("><", "> \n<") + "end <open", good.replace("<1><0><0>", "<0><9><10>"), mouse_text.format(""), mouse_text.format("<SIGN_MINUS><3>"), mouse_text.format("<x><3>")]
+    lost = [good + "<x>", good.replace("VK_65", "65"), good.replace("press", "hold"), good.replace("<1>", "<>"), good.replace("<1>", "<99999999999999999999>"), mouse_text.format("<SIGN_PLUS>"), mouse_text.format("").replace("MB_4", "MB_44"), mouse_text.format("").replace("SIGN_PLUS", "SIGN")]
+    rows = spark.createDataFrame(list(enumerate(kept + lost)), "i int, t string").select("i", c.decode_event(F.col("t")).alias("d")).orderBy("i").collect()
+    assert [r.d is not None for r in rows] == [True] * len(kept) + [False] * len(lost)
+    assert [(r.d.kind, r.d.ts_ns, r.d.vk, r.d.dx, r.d.dy, r.d.button_flags, r.d.button_data) for r in rows[: len(kept)]] == [
+        *[("KEYBOARD", 10**9, 65, None, None, None, None)] * 3,
+        *[("MOUSE", 10**9, None, 10, -5, 0x401, data) for data in (0, -360, None)],
+    ]

@@ -29,10 +29,11 @@ def check_bases(bases: list[int], most: int) -> None:
 
 def to_digits(value: Column, bases: list[int]) -> list[Column]:
     """Mixed-radix digits, first the most significant; values out of range wrap as floor division makes them."""
-    out, rest = [], value.cast("long")
+    out, below = [], 1
     for b in reversed(bases):
-        out.append(F.pmod(rest, F.lit(b)))
-        rest = div(rest, b)
+        # The value stands once in each digit, so that digits of digits do not double their expressions.
+        out.append(F.call_function("div", F.pmod(value.cast("long"), F.lit(below * b)), F.lit(below)))
+        below *= b
     return out[::-1]
 
 
@@ -151,54 +152,67 @@ def _number(token: Column, prefix: str = "") -> Column:
     return _inside(token, prefix, "0123456789").try_cast("long")
 
 
+def _named(name: str) -> str:
+    """A pattern of the token of a name; stray opening marks inside it count for nothing."""
+    return "<<*" + "<*".join(name) + "<*>"
+
+
+def _shape(kind: str, *body: str, form: str = "compact") -> str:
+    """A pattern of whole texts whose tokens are an event's; between tokens, and where a last one stays open, other text may stand."""
+    times = ["<[0-9]+>"] * len((COMPACT if form == "compact" else INTERLEAVED)["time"])
+    return "\\A[^<]*" + "[^<]*".join([START, _named(kind), *times, *body, END]) + "[^<]*(?:<[^>]*)?\\z"
+
+
 def decode_event(text: Column, form: str = "compact") -> Column:
     """struct<kind, ts_ns, vk, event_type, dx, dy, button_flags, button_data>; null where the text is no event of the form."""
-    # Tokens are read as numbers once each; what follows picks from both arrays.
-    return let(tokens(text), lambda t: let(F.transform(t, lambda x: _number(x)), lambda d: let(_read(t, d, form), lambda v: _decoded(t, v, form))))
+    compact, digit = form == "compact", "<[0-9]+>"
+    vk, button, signed = ("<VK_[0-9]+>", "<MB_[0-9a-f]>", ["<SIGN_(?:PLUS|MINUS)>", *[digit] * 4]) if compact else (digit, "<[0-9a-f]>", [digit] * 4)
+    # One match tells that all tokens are of their kinds, so that none needs a test of its own.
+    keyboard = text.rlike(_shape("KEYBOARD", vk, f"(?:{_named('press')}|{_named('release')})", form=form))
+    mouse = text.rlike(_shape("MOUSE", *signed, *signed, *[button] * 3, "(?:<[^>]*>[^<]*<[^>]*>[^<]*)?", form=form))
+    screen = text.rlike(_shape("SCREEN", IMAGE, form=form))
+    return F.when(keyboard, let(tokens(text), lambda t: _keyboard(t, form))).when(mouse, let(tokens(text), lambda t: _mouse(t, form))).when(screen, let(tokens(text), lambda t: _screen(t, form)))
 
 
-def _read(t: Column, d: Column, form: str) -> Column:
-    """struct<ts, vk, dx, dy, flags, scroll> of an event's tokens and their numbers, whatever its kind."""
-    bases = COMPACT["time"] if form == "compact" else INTERLEAVED["time"]
-    at, digit = (lambda i: F.get(t, F.lit(i))), (lambda i: F.get(d, F.lit(i)))
-    ts = from_digits([digit(2 + i) for i in range(len(bases))], bases, signed=False) * TICK_NS
-    body = 2 + len(bases)
+def _digit(t: Column, i: int, skip: int = 1) -> Column:
+    """The number in the i-th token, of which ``skip`` characters stand before it."""
+    token = F.get(t, F.lit(i))
+    return F.substring(token, F.lit(skip + 1), F.length(token) - (skip + 1)).try_cast("long")
+
+
+def _event(kind: str, t: Column, form: str, **fields: Column) -> Column:
+    """An event's struct; null where its time or a number that it needs is too large."""
+    bases = (COMPACT if form == "compact" else INTERLEAVED)["time"]
+    ts = from_digits([_digit(t, 2 + i) for i in range(len(bases))], bases, signed=False) * TICK_NS
+    types = (("vk", "int"), ("event_type", "string"), ("dx", "int"), ("dy", "int"), ("button_flags", "int"), ("button_data", "int"))
+    out = F.struct(F.lit(kind).alias("kind"), ts.alias("ts_ns"), *[fields.get(k, F.lit(None)).cast(c).alias(k) for k, c in types])
+    return let(out, lambda v: F.when(v["ts_ns"].isNotNull() & F.concat(*[v[k].cast("string") for k in ("vk", "dx", "dy") if k in fields] or [F.lit("")]).isNotNull(), v))
+
+
+def _keyboard(t: Column, form: str) -> Column:
+    body = 2 + len((COMPACT if form == "compact" else INTERLEAVED)["time"])
+    return _event("KEYBOARD", t, form, vk=_digit(t, body, 4 if form == "compact" else 1), event_type=F.translate(F.get(t, F.lit(body + 1)), "<>", ""))
+
+
+def _mouse(t: Column, form: str) -> Column:
+    at = lambda i: F.get(t, F.lit(i))
+    sign = lambda i: F.when(at(i) == "<SIGN_PLUS>", 1).when(at(i) == "<SIGN_MINUS>", -1)
     if form == "compact":
-        sign = lambda i: F.when(at(i) == "<SIGN_PLUS>", 1).when(at(i) == "<SIGN_MINUS>", -1)
-        number = lambda i: from_digits([digit(i + j) for j in range(4)], COMPACT["delta"], signed=False)
-        dx, dy, flags_at, scroll_at = sign(body) * number(body + 1), sign(body + 5) * number(body + 6), body + 10, body + 13
-        hexes, vk = [_inside(at(flags_at + i), "MB_", "0123456789abcdef") for i in range(3)], _number(at(body), "VK_")
-        scroll = sign(scroll_at) * digit(scroll_at + 1)
+        body = 2 + len(COMPACT["time"])
+        dx, dy = (sign(i) * from_digits([_digit(t, i + 1 + j) for j in range(4)], COMPACT["delta"], signed=False) for i in (body, body + 5))
+        flags_at, scroll_at, skip = body + 10, body + 13, 5
+        scroll = sign(scroll_at) * _number(at(scroll_at + 1))
     else:
-        dx, dy = (from_digits([digit(body + 2 * j + k) for j in range(4)], INTERLEAVED["delta"]) for k in (0, 1))
-        flags_at, scroll_at = body + 8, body + 11
-        hexes, vk = [_inside(at(flags_at + i), "", "0123456789abcdef") for i in range(3)], digit(body)
-        scroll = from_digits([digit(scroll_at + j) for j in range(2)], INTERLEAVED["scroll"])
-    fields = {"ts": ts, "vk": vk, "dx": dx, "dy": dy, "flags": F.concat(*hexes), "scroll": scroll}
-    return F.struct(*[v.alias(k) for k, v in fields.items()])
+        body = 2 + len(INTERLEAVED["time"])
+        dx, dy = (from_digits([_digit(t, body + 2 * j + k) for j in range(4)], INTERLEAVED["delta"]) for k in (0, 1))
+        flags_at, scroll_at, skip = body + 8, body + 11, 2
+        scroll = from_digits([_number(at(scroll_at + j)) for j in range(2)], INTERLEAVED["scroll"])
+    flags = F.conv(F.concat(*[F.substring(at(flags_at + i), skip, 1) for i in range(3)]), 16, 10)
+    return _event("MOUSE", t, form, dx=dx, dy=dy, button_flags=flags, button_data=F.when(F.size(t) > scroll_at + 1, scroll * NOTCH).otherwise(0))
 
 
-def _decoded(t: Column, v: Column, form: str) -> Column:
-    bases = COMPACT["time"] if form == "compact" else INTERLEAVED["time"]
-    at = lambda i: F.get(t, F.lit(i))
-    kind = F.translate(at(1), "<>", "")
-    n, body = F.size(t), 2 + len(bases)
-    none = F.lit(None)
-    ts, vk, dx, dy, hex_text, scroll = (v[k] for k in ("ts", "vk", "dx", "dy", "flags", "scroll"))
-    scroll_at, length = (body + 13, 2) if form == "compact" else (body + 11, 2)
-    flags = F.when(F.length(hex_text) == 3, F.conv(hex_text, 16, 10).cast("int"))
-    action = F.translate(at(body + 1), "<>", "")
-    out = lambda **f: F.struct(
-        kind.alias("kind"), ts.alias("ts_ns"), *[(f[k] if k in f else none).cast(c).alias(k) for k, c in (("vk", "int"), ("event_type", "string"), ("dx", "int"), ("dy", "int"), ("button_flags", "int"), ("button_data", "int"))]
-    )
-    framed = (at(0) == START) & (F.get(t, n - 1) == END) & ts.isNotNull()
-    keyboard = out(vk=vk, event_type=action)
-    mouse = out(dx=dx, dy=dy, button_flags=flags, button_data=F.when(n > scroll_at + 1, scroll * NOTCH).otherwise(0))
-    return (
-        F.when(framed & (kind == "KEYBOARD") & (n == body + 3) & vk.isNotNull() & action.isin("press", "release"), keyboard)
-        .when(framed & (kind == "MOUSE") & n.isin(scroll_at + 1, scroll_at + 1 + length) & dx.isNotNull() & dy.isNotNull() & flags.isNotNull(), mouse)
-        .when(framed & (kind == "SCREEN") & (n == body + 2) & (at(body) == IMAGE), out())
-    )
+def _screen(t: Column, form: str) -> Column:
+    return _event("SCREEN", t, form)
 
 
 def vocabulary(form: str) -> list[str]:
