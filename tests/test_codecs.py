@@ -133,3 +133,12 @@ def test_decoding_of_odd_texts(spark):
         *[("KEYBOARD", 10**9, 65, None, None, None, None)] * 3,
         *[("MOUSE", 10**9, None, 10, -5, 0x401, data) for data in (0, -360, None)],
     ]
+
+
+def test_text_is_made_once(spark):
+    """Rows without text are left out without making the text a second time below, in a filter."""
+    events = spark.createDataFrame([("keyboard", 10**9, '{"vk": 65, "event_type": "press"}'), ("screen", 0, "{}"), ("mouse", 0, '{"button_flags": 4096}'), ("other", 0, "{}"), (None, None, None)], "topic string, ts_ns bigint, payload string")
+    out = tokens.tokenize(events, tokens.extend_vocabulary({}, c.vocabulary("compact")))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("<EVENT_START><SCREEN>") == 1
+    assert out.columns == [*events.columns, "text", "token_ids", "total_token_count", "valid"]
+    assert sorted((r.topic, r.total_token_count, r.valid) for r in out.collect()) == [("keyboard", 8, True), ("screen", 7, False)]

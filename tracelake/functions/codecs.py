@@ -97,12 +97,13 @@ def encode_screen(ts_ns: Column, form: str = "compact") -> Column:
 
 def encode_event(topic: Column, ts_ns: Column, payload: Column, form: str = "compact") -> Column:
     """Token text of an envelope row; null for topics that no encoder knows."""
-    key = F.from_json(payload, "vk int, event_type string")
-    mouse = F.from_json(payload, "last_x int, last_y int, button_flags int, button_data int")
     zero = lambda c: F.coalesce(c, F.lit(0))
+    # A payload is parsed once: fields taken straight from from_json would each parse their own schema.
+    key, mouse = F.from_json(payload, "vk int, event_type string"), F.from_json(payload, "last_x int, last_y int, button_flags int, button_data int")
+    of_mouse = lambda m: encode_mouse(ts_ns, zero(m["last_x"]), zero(m["last_y"]), zero(m["button_flags"]), zero(m["button_data"]), form)
     return (
-        F.when(topic == "keyboard", encode_keyboard(ts_ns, key["vk"], key["event_type"], form))
-        .when(topic.isin("mouse", "mouse/raw"), encode_mouse(ts_ns, zero(mouse["last_x"]), zero(mouse["last_y"]), zero(mouse["button_flags"]), zero(mouse["button_data"]), form))
+        F.when(topic == "keyboard", let(key, lambda k: encode_keyboard(ts_ns, k["vk"], k["event_type"], form)))
+        .when(topic.isin("mouse", "mouse/raw"), let(mouse, of_mouse))
         .when(topic == "screen", encode_screen(ts_ns, form))
     )
 

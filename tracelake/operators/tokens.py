@@ -64,7 +64,9 @@ def tokenize(events: DataFrame, vocab: dict[str, int], *, form: str = "compact",
     text = encode_event(F.col("topic"), F.col("ts_ns"), F.col("payload"), form)
     if image is not None:
         text = F.replace(text, F.lit(IMAGE), image)
-    rows = events.withColumn("text", text).where("text is not null").withColumn("token_ids", token_ids(F.col("text"), vocab))
+    # A filter that needs a row's number stays above the text, which would else be made a second time below.
+    rows = events.withColumns({"text": text, "_row": F.monotonically_increasing_id()}).where("text is not null and _row >= 0").drop("_row")
+    rows = rows.withColumn("token_ids", token_ids(F.col("text"), vocab))
     return rows.withColumns({"total_token_count": F.size("token_ids"), "valid": F.forall("token_ids", lambda x: x.isNotNull())})
 
 
