@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tracelake.llm import log_bilinear as lb
@@ -159,3 +160,25 @@ def test_messy(messy, none, spark):
     alone = next(k for k in range(100) if held(k))
     r = lb.lm_scores(spark.createDataFrame([(alone, "only held out")], "doc_id bigint, text string")).first()
     assert r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score)
+
+
+def test_tokens_of_many_texts_at_once():
+    """All texts of a batch are split together, each as a walk over its own bytes would."""
+    draw = np.random.default_rng(4)
+    letters = np.array(list(" \t\n\x0b\x0c\r\x1c\x85 \0aAZzÀß漢😀.-"))
+    texts = [None, "", " ", " a", "a ", "A\x1cb c", "X" * 70 + " B", *("".join(draw.choice(letters, draw.integers(0, 60))) for _ in range(500))]
+    n, words = lb.split_tokens(pa.array(texts, pa.string()).slice(1))
+    words, ends = words.to_pylist(), np.cumsum(n)
+    for text, a, b in zip(texts[1:], ends - n, ends, strict=True):
+        own = [*(w.encode() for w in tokens(text)[:-1]), b""]
+        assert [len(w) > lb.LONGEST or w == x for w, x in zip(own, words[a:b], strict=True)] == [True] * len(own)
+        assert words[a:b] == lb.tokens_of(text)
+
+
+def test_sums_by_row():
+    draw = np.random.default_rng(5)
+    for width in (lb.DIM, lb.DIM + 1):
+        rows, values, times = draw.integers(0, 50, 3000), draw.normal(size=(3000, width)).astype(np.float32), draw.integers(1, 4, 3000)
+        found, sums, met = lb.sums_by_row(rows, values, 80, times)
+        assert found.tolist() == sorted(set(rows.tolist())) and met.tolist() == [times[rows == r].sum() for r in found]
+        assert np.allclose(sums[:, :width], [values[rows == r].sum(0) for r in found], atol=1e-4)

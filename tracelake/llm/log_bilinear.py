@@ -34,14 +34,15 @@ gives an empty result.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 from hashlib import blake2b
 from itertools import groupby, islice
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,16 +57,29 @@ GROUP_NOISE, BUCKETS, BLOCK = 8, 4, 512
 SHARD, TEXTS = 8192, 512
 #: Tokens whose outputs are computed together; what they take fits into a core's cache.
 ROWS = 128
+#: Places of a group's tokens that are multiplied with its noise at once.
+TILE = 16
 LEARNING_RATE = 0.25
-END = b""  # no word is empty
+
+
+def split_tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(number of tokens of each text, the tokens of all texts as bytes)."""
+    # White space at the end gives each text an empty string as its last, its end token, as no word is empty; at the beginning it gives one more.
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.binary_join_element_wise(texts.fill_null(""), "", " ")))
+    n, words = pc.list_value_length(lists).to_numpy().astype(np.int64), lists.flatten()
+    sizes = pc.binary_length(words).to_numpy()
+    kept = sizes > 0
+    kept[np.cumsum(n) - 1] = True
+    words = words.cast(pa.binary())
+    if not kept.all():
+        n, words, sizes = np.add.reduceat(kept, np.cumsum(n) - n, dtype=np.int64), words.filter(pa.array(kept)), sizes[kept]
+    if sizes.max(initial=0) > LONGEST:
+        words = pa.array([w if len(w) <= LONGEST else b"\0" + blake2b(w, digest_size=20).digest() for w in words.to_pylist()], pa.binary())
+    return n, words
 
 
 def tokens_of(text: str | None) -> list[bytes]:
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if max(map(len, words), default=0) > LONGEST:
-        words = [w if len(w) <= LONGEST else b"\0" + blake2b(w, digest_size=20).digest() for w in words]
-    words.append(END)
-    return words
+    return split_tokens(pa.array([text], pa.string()))[1].to_pylist()
 
 
 def held_out(id_col: str):
@@ -76,20 +90,23 @@ def token_counts(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """(token, n) over all rows, added up in each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        held: list[pa.Table] = []
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], names=["token", "n"])
-            found.clear()
-            return out
+        def added() -> pa.Table:
+            out = pa.concat_tables(held).group_by("token").aggregate([("n", "sum")])
+            held.clear()
+            return out.select(["token", "n_sum"]).rename_columns(["token", "n"]).combine_chunks()
 
         for batch in batches:
-            for text in batch.column(0):
-                found.update(tokens_of(text.as_py()))
-                if len(found) > 500_000:
-                    yield flush()
-        if found:
-            yield flush()
+            for row in range(0, batch.num_rows, 4 * TEXTS):
+                found = pc.value_counts(split_tokens(batch.column(0).slice(row, 4 * TEXTS))[1])
+                held.append(pa.table({"token": found.field(0), "n": found.field(1)}))
+                if sum(map(len, held)) > 1_000_000:
+                    held.append(added())
+                    if len(held[0]) > 500_000:
+                        yield from held.pop().to_batches()
+        if held:
+            yield from added().to_batches()
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "token binary, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
 
@@ -110,11 +127,34 @@ def frequent_tokens(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(((bytes(r["token"]), r["n"]) for r in found), key=lambda x: (-x[1], x[0]))
 
 
-def sums_by_row(rows: np.ndarray, values: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct rows, sums of their values, sums of ``times``, by default their numbers)."""
-    found, at = np.unique(rows, return_inverse=True)
-    sums = np.stack([np.bincount(at, column, len(found)) for column in np.ascontiguousarray(values.T)], axis=1)
-    return found, sums.astype(np.float32), np.bincount(at, times, len(found))
+def sums_by_row(rows: np.ndarray, values: np.ndarray, n: int, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct rows of ``n``, sums of their values, sums of ``times``, by default their numbers)."""
+    met = np.bincount(rows, times, n)
+    found = np.flatnonzero(met > 0)
+    place = np.empty(n, np.int64)
+    place[found] = np.arange(len(found))
+    return found, added_rows(place.take(rows), values, len(found)), met[found]
+
+
+def added_rows(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """``n`` rows, each the sum of the values that go to it; an odd number of columns gets one more of zeros."""
+    if values.shape[1] % 2:
+        values = np.concatenate([values, np.zeros((len(values), 1), np.float32)], axis=1)
+    # Two floats go as one complex number, and flat arrays are added up many times faster than rows.
+    pairs, width = np.ascontiguousarray(values).view(np.complex64), values.shape[1] // 2
+    sums, of = np.zeros(n * width, np.complex64), np.arange(width)
+    for some in range(0, len(at), TEXTS):
+        places = at[some : some + TEXTS, None] * width + of
+        np.add.at(sums, places.ravel(), pairs[some : some + TEXTS].ravel())
+    return sums.view(np.float32).reshape(n, 2 * width)
+
+
+def wrongs(logits: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-logits)), in place."""
+    np.negative(logits, out=logits)
+    np.exp(logits, out=logits)
+    logits += 1
+    return np.reciprocal(logits, out=logits)
 
 
 def with_ones(h: np.ndarray) -> np.ndarray:
@@ -122,12 +162,20 @@ def with_ones(h: np.ndarray) -> np.ndarray:
     return np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1)
 
 
-def log_sums(h: np.ndarray, q: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Log-probability of the chosen ones among all outputs ``q``, whose last column is the bias; for ``h`` with a column of ones."""
+def norm(x: np.ndarray) -> float:
+    """Length of the longest row, without the last column."""
+    return float(np.einsum("md,md->m", x[:, :-1], x[:, :-1]).max(initial=0)) ** 0.5
+
+
+def log_sums(h: np.ndarray, q: np.ndarray, chosen: np.ndarray, reach: float) -> np.ndarray:
+    """Log-probability of the chosen ones among all outputs ``q``, whose last column is the bias; for ``h`` with a column of ones, no row longer than ``reach``."""
     out, ones, turned = np.empty(len(h), np.float32), np.ones(len(q), np.float32), np.ascontiguousarray(q.T)
-    far = (h * h).sum(1).max(initial=0) * (q * q).sum(1).max() > 40**2
+    room = np.empty((min(ROWS, len(h)), len(q)), np.float32)
+    # Else the likeliest output has a logit from -40 to 40, so sums neither overflow nor vanish.
+    far = reach * norm(q) + abs(float(q[:, -1].max())) > 40
     for at in range(0, len(h), ROWS):
-        logits = h[at : at + ROWS] @ turned
+        some = h[at : at + ROWS]
+        logits = np.matmul(some, turned, out=room[: len(some)])
         if far:
             logits -= logits.max(1, keepdims=True)
         own = logits[np.arange(len(logits)), chosen[at : at + ROWS]]
@@ -224,21 +272,29 @@ class LogBilinear:
 
     def _train_members(self, h: np.ndarray, members: np.ndarray, draw: np.random.Generator, state: dict) -> np.ndarray:
         """Members against draws from their groups, which the batch's tokens of a group share; the gradient of h."""
-        order = np.argsort(self.group[members], kind="stable")
+        order = np.argsort(self.group[members].astype(np.uint16 if len(self.offsets) < 1 << 16 else np.int64), kind="stable")
         h, members = h[order], members[order]
         groups, firsts, sizes = np.unique(self.group[members], return_index=True, return_counts=True)
         drawn = np.searchsorted(self.upto, groups[:, None] + draw.random((len(groups), GROUP_NOISE)), side="right")
         drawn = np.clip(drawn, self.offsets[groups][:, None], self.offsets[groups + 1][:, None] - 1)
-        of = np.repeat(np.arange(len(groups)), sizes)
-        qt, qn = self.qm.take(members, 0), self.qm[drawn].take(of, 0)
-        wrong_t = 1 / (1 + np.exp(-((h * qt).sum(1) + self.bm[members] - self.log_km[members]))) - 1
-        wrong_n = 1 / (1 + np.exp(-(np.einsum("mkd,md->mk", qn, h) + (self.bm[drawn] - self.log_km[drawn])[of])))
+        # Tokens lie in tiles of TILE places, each of one group; places left over stay empty.
+        tiles = -(-sizes // TILE)
+        drawn = drawn.repeat(tiles, 0)
+        places = np.arange(len(members)) + np.repeat((np.cumsum(tiles) - tiles) * TILE - firsts, sizes)
+        filled = np.zeros((len(drawn) * TILE, DIM + 1), np.float32)
+        filled[places] = h1 = with_ones(h)
+        filled = filled.reshape(len(drawn), TILE, DIM + 1)
+        bias = self.bm - self.log_km
+        qt, qn = self.qm.take(members, 0), self.qm.take(drawn, 0)
+        logits = filled @ np.concatenate([qn, bias[drawn][:, :, None]], axis=2).transpose(0, 2, 1)
+        wrong_t, wrong_n = wrongs(np.einsum("md,md->m", h, qt) + bias[members]) - 1, wrongs(logits)
+        wrong_n *= filled[:, :, DIM:]
         gh = np.empty_like(h)
-        gh[order] = wrong_t[:, None] * qt + np.einsum("mk,mkd->md", wrong_n, qn)
-        h1, turned = with_ones(h), np.ascontiguousarray(wrong_n.T)
-        noise = [turned[:, i:j] @ h1[i:j] for i, j in zip(firsts.tolist(), (firsts + sizes).tolist(), strict=True)]
-        rows, values = np.concatenate([members, drawn.ravel()]), np.concatenate([wrong_t[:, None] * h1, *noise])
-        at, sums, met = sums_by_row(rows, values, np.concatenate([np.ones(len(members)), np.repeat(sizes, GROUP_NOISE)]))
+        gh[order] = wrong_t[:, None] * qt + (wrong_n @ qn).reshape(-1, DIM).take(places, 0)
+        noise = wrong_n.transpose(0, 2, 1) @ filled
+        rows, values = np.concatenate([members, drawn.ravel()]), np.concatenate([wrong_t[:, None] * h1, noise.reshape(-1, DIM + 1)])
+        within = filled[:, :, DIM].sum(1)
+        at, sums, met = sums_by_row(rows, values, len(self.qm), np.concatenate([np.ones(len(members)), np.repeat(within, GROUP_NOISE)]))
         sums /= np.sqrt(met, dtype=np.float32)[:, None]
         self._step(state, "qm", sums[:, :DIM], at)
         self._step(state, "bm", sums[:, DIM], at)
@@ -254,19 +310,17 @@ class LogBilinear:
         vectors = self.vectors(contexts)
         h = self.hidden(vectors)
         qt, qn = self.q.take(tops, 0), self.q[noise]
-        wrong_t = 1 / (1 + np.exp(-((h * qt).sum(1) + self.b[tops] - self.log_k[tops]))) - 1
-        wrong_n = 1 / (1 + np.exp(-(h @ qn.T + self.b[noise] - self.log_k[noise])))
+        bias = self.b - self.log_k
+        wrong_t, wrong_n = wrongs(np.einsum("md,md->m", h, qt) + bias[tops]) - 1, wrongs(h @ qn.T + bias[noise])
         gh = wrong_t[:, None] * qt + wrong_n @ qn
-        grow = np.zeros_like(self.q)
-        at, sums, _ = sums_by_row(tops, wrong_t[:, None] * h)
-        grow[at] = sums
+        grow = added_rows(tops, wrong_t[:, None] * h, len(self.q))
         np.add.at(grow, noise, wrong_n.T @ h)
         gb = (np.bincount(tops, wrong_t, len(self.q)) + np.bincount(noise, wrong_n.sum(0), len(self.q))).astype(np.float32)
         inside = np.flatnonzero(targets >= self.head)
         if len(inside):
             gh[inside] += self._train_members(h[inside], targets[inside] - self.head, draw, state)
         gc = np.einsum("md,cmd->cd", gh, vectors)
-        at, sums, met = sums_by_row(contexts.T.ravel(), (gh * self.c[:, None]).reshape(-1, DIM))
+        at, sums, met = sums_by_row(contexts.T.ravel(), (gh * self.c[:, None]).reshape(-1, DIM), len(self.r))
         state["met_r"][at] += met
         scale = np.float32(len(targets) ** 0.5)
         for name, g in (("q", grow), ("b", gb), ("c", gc)):
@@ -275,8 +329,11 @@ class LogBilinear:
 
     def log_probability(self, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Normalised natural log-probabilities of targets: the upper level's outputs, then the members of a target's group."""
-        h, tops = with_ones(self.hidden(self.vectors(contexts))), self.top[targets]
-        out = log_sums(h, np.concatenate([self.q, self.b[:, None]], axis=1), tops)
+        h, tops = np.ones((len(targets), DIM + 1), np.float32), self.top[targets]
+        for at in range(0, len(h), BATCH):
+            h[at : at + BATCH, :DIM] = self.hidden(self.vectors(contexts[at : at + BATCH]))
+        reach = norm(h)
+        out = log_sums(h, np.concatenate([self.q, self.b[:, None]], axis=1), tops, reach)
         order = np.argsort(tops)
         order = order[np.searchsorted(tops[order], self.head) :]
         ends = np.flatnonzero(np.diff(tops[order], append=-1)) + 1
@@ -284,7 +341,7 @@ class LogBilinear:
         for start, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False):
             some = order[start:end]
             first, last = self.offsets[tops[some[0]] - self.head :][:2]
-            out[some] += log_sums(h[some], members[first:last], targets[some] - self.head - first)
+            out[some] += log_sums(h[some], members[first:last], targets[some] - self.head - first, reach)
         return out
 
 
@@ -324,9 +381,18 @@ class Vocabulary:
         self.log_share = np.zeros(head + members)
         self.log_share[ids[len(frequent) :]] = np.log10(buckets.sum(1) + 1)
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        known, bucket, k = self.known, self.bucket, len(self.bucket)
-        return np.array([bucket[crc32(w) % k] if i is None else i for w, i in zip(words, map(known.get, words), strict=True)], np.int64)
+    @cached_property
+    def table(self) -> tuple[pa.Array, np.ndarray]:
+        """Frequent tokens and their ids, made once in each task."""
+        return pa.array(self.known, pa.binary()), np.fromiter(self.known.values(), np.int64, len(self.known))
+
+    def ids(self, words: pa.Array) -> np.ndarray:
+        known, ids = self.table
+        found = pc.index_in(words, value_set=known).fill_null(-1).to_numpy()
+        rare, k = np.flatnonzero(found < 0), len(self.bucket)
+        out = np.append(ids, -1)[found]
+        out[rare] = [self.bucket[crc32(w) % k] for w in words.take(pa.array(rare)).to_pylist()]
+        return out
 
 
 def rare_buckets(counts: DataFrame, frequent: list[tuple[bytes, int]], n_types: int) -> np.ndarray:
@@ -348,11 +414,12 @@ def trained(docs: DataFrame, vocabulary: Vocabulary, *, id_col: str = "doc_id",
         model, state, seen = LogBilinear(vocabulary.unigram, offsets=vocabulary.offsets), {}, 0
         draw = np.random.default_rng(shard)
         for some in iter(lambda: list(islice(texts, TEXTS)), []):
-            contexts, targets = windows([vocabulary.ids(tokens_of(t)) for t in some], start)
+            n, words = split_tokens(pa.array(some, pa.string()))
+            contexts, targets = windows(np.split(vocabulary.ids(words), np.cumsum(n)[:-1]), start)
             order = draw.permutation(len(targets))
             for at in range(0, len(order), BATCH):
                 part = order[at : at + BATCH]
-                model.train(contexts[part], targets[part], draw, state)
+                model.train(contexts.take(part, 0), targets.take(part), draw, state)
             seen += len(targets)
         weights = model.row_weights(seen, state)[:, None]
         rows = np.concatenate([model.rows() * weights, weights], axis=1).astype("<f4")
@@ -408,25 +475,18 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             for row in range(0, batch.num_rows, 512):
                 some = batch.slice(row, 512)
-                ids, n, known_n, base, shared, rare = [], [], [], [], [], []
-                for text in some.column("text"):
-                    words = tokens_of(text.as_py())
-                    own = vocabulary.ids(words)
-                    at_rare = np.flatnonzero(is_bucket[own])
-                    ids.append(own)
-                    n.append(len(words))
-                    known_n.append(len(words) - len(at_rare))
-                    base.append(float(vocabulary.log_count[own].sum()))
-                    shared.append(float(vocabulary.log_share[own].sum()))
-                    rare.append([words[i] for i in at_rare.tolist()])
-                contexts, targets = windows(ids, start)
+                n, words = split_tokens(some.column("text"))
+                ids, ends = vocabulary.ids(words), np.cumsum(n)
+                starts, at_rare = ends - n, np.flatnonzero(is_bucket[ids])
+                edges = np.searchsorted(at_rare, np.append(0, ends))
+                contexts, targets = windows(np.split(ids, starts[1:]), start)
                 logp = model.log_probability(contexts, targets).astype(float) / np.log(10)
-                ends = np.cumsum(n)
-                score = np.add.reduceat(logp, ends - np.array(n))
-                key = pa.array(part + at + np.arange(len(n)))
+                base, score, shared = (np.add.reduceat(x, starts) for x in (vocabulary.log_count[ids], logp, vocabulary.log_share[ids]))
+                key = part + at + np.arange(len(n))
                 at += len(n)
-                columns = [key, some.column(id_col), some.column("held_out"), *map(pa.array, (n, known_n, base, score, shared))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(rare, pa.list_(pa.binary()))], names=["key", id_col, "held_out", "n_tokens", "n_frequent", "base", "model", "shared", "rare"])
+                columns = [pa.array(key), some.column(id_col), some.column("held_out"), *map(pa.array, (n, n - np.diff(edges), base, score, shared))]
+                rare = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), words.take(pa.array(at_rare)))
+                yield pa.RecordBatch.from_arrays([*columns, rare], names=["key", id_col, "held_out", "n_tokens", "n_frequent", "base", "model", "shared", "rare"])
 
     schema = f"key bigint, `{id_col}` {kind}, held_out boolean, n_tokens bigint, n_frequent bigint, base double, model double, shared double, rare array<binary>"
     scored = stored(rows.select(id_col, "text", "held_out").mapInArrow(run, schema), "scored")
