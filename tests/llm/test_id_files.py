@@ -134,3 +134,25 @@ def test_unknown_forms_take_the_library(tmp_path):
     cache, t = id_files.WordCache(str(other)), Tokenizer.from_file(str(other))
     assert not cache.habits.space
     assert np.frombuffer(cache.encode([b"xqqy Word"])[0], "<u4").tolist() == t.encode("xqqy Word", add_special_tokens=False).ids
+
+
+def test_many_texts_at_once():
+    """Texts encoded together, one by one and by the library: marks at the ends, white space of all kinds, nothing at all."""
+    t, cache = Tokenizer.from_file(PATH), id_files.WordCache(PATH)
+    draw = np.random.default_rng(6)
+    letters = np.array(list(" \t\n\x0b\x0c\r\x1c\x85 \x01\0aZß漢😀.,!'\"-7"))
+    texts = ["", " ", "\n", "...", "a...", ".a", "é,", "a!b!", " x ", *("".join(draw.choice(letters, draw.integers(0, 40))) for _ in range(400))]
+    together = cache.encode([x.encode() for x in texts])
+    assert [np.frombuffer(x, "<u4").tolist() for x in together] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert together == [cache.encode([x.encode()])[0] for x in texts] and cache.encode([b"", b" "]) == [b"", b""] and cache.encode([]) == []
+
+
+def test_marks_are_no_entries_of_their_stretches(monkeypatch):
+    """Stretches that differ in the marks at their ends share an entry, and a cache that is full starts anew with the same ids."""
+    cache = id_files.WordCache(PATH)
+    cache.encode([b"alpha alpha, alpha. alpha... alpha!? (alpha) caf\xc3\xa9,"])
+    assert sorted(cache) == sorted([b"alpha", b",", b".", b"...", b"!?", b"(alpha", b")", b"caf\xc3\xa9,"])
+    monkeypatch.setattr(id_files, "CACHE_ENTRIES", 3)
+    t = Tokenizer.from_file(PATH)
+    for text in ("alpha beta, gamma", "beta, gamma delta.", "alpha alpha, (gamma)"):
+        assert np.frombuffer(cache.encode([text.encode()])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids

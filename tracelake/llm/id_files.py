@@ -25,6 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,8 +34,9 @@ from tracelake.llm.common import SPACE, shuffle_parts
 from tracelake.llm.id_coder import decode_segment, encode_segment
 
 SEGMENT_IDS = 3_000_000
-CACHE_ENTRIES = 400_000
-
+CACHE_ENTRIES = 1_000_000
+#: Texts that are encoded together.
+TEXTS = 512
 
 #: A character that stands between the stretches of a batch; stretches that have it are encoded alone.
 MARK = "\x01"
@@ -59,6 +61,8 @@ def ids_of(tokenizer, texts: list[str]) -> list[list[int]]:
 
 #: Marks that often end a stretch.
 TAIL = b'.,!?;:#$%&*)-"'
+#: By byte: whether it is an ASCII letter or digit.
+ALNUM = np.array([bytes([x]).isalnum() for x in range(256)])
 
 
 def parts_of(spec: dict | None, name: str) -> list[dict]:
@@ -105,8 +109,15 @@ class Habits:
         self.tail = self.space and own and both == [a + b for a in ids_of(tokenizer, ends) for b in ids_of(tokenizer, tails)]
 
 
+def _bytes_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(where each string begins, and the end of the last; the bytes of all)."""
+    _, upto, data = strings.buffers()
+    upto = np.frombuffer(upto, np.int32)[strings.offset : strings.offset + len(strings) + 1]
+    return upto.astype(np.int64), np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
+
+
 class WordCache(dict):
-    """Stretches without ASCII white space -> their ids as bytes."""
+    """Stretches without ASCII white space, and without the marks that end them -> their ids as bytes."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -157,19 +168,18 @@ class WordCache(dict):
         self._together(plain, " ", self._at_ends)
         self._together([w for w in rest if b"\x01" not in w] if self.mark is not None else [], f" {MARK} ", self._at_marks)
 
-    def _learn_cores(self, words: set[bytes]) -> None:
-        """Encode new stretches; where one ends in marks, what stands before them and the marks."""
-        cores, whole = [], []
-        for w in words:
-            core = w.rstrip(TAIL)
-            if len(core) < len(w) and core[-1:].isalnum() and self.habits.tail:
-                cores.append((w, core, w[len(core) :]))
-            else:
-                whole.append(w)
-        parts = {x for _, core, tail in cores for x in (core, tail) if x not in self}
-        self._learn(list(parts.union(whole)))
-        for w, core, tail in cores:
-            self[w] = self[core] + self[tail]
+    def _in_two(self, stretches: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Stretches without the marks that end them and have their own ids, and these marks; empty where there are none."""
+        n, cores = len(stretches), pc.ascii_rtrim(stretches, TAIL.decode())
+        upto, data = _bytes_of(stretches)
+        core_upto, core_data = _bytes_of(cores)
+        core_sizes = np.diff(core_upto)
+        after = ALNUM[core_data[np.maximum(core_upto[1:], 1) - 1]] if len(core_data) else np.zeros(n, bool)
+        sizes = np.where(after & (core_sizes > 0) & self.habits.tail, np.diff(upto) - core_sizes, 0)
+        ends = np.append(0, np.cumsum(sizes))
+        marks = data[np.repeat(upto[1:] - ends[1:], sizes) + np.arange(ends[-1])]
+        tails = pa.StringArray.from_buffers(n, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(marks))
+        return pc.if_else(pa.array(sizes > 0), cores, stretches), tails
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text (UTF-8) as little-endian unsigned 32-bit integers."""
@@ -181,13 +191,32 @@ class WordCache(dict):
             whole = iter(ids_of(self.tokenizer, [t.decode() for t, o in zip(texts, own, strict=True) if o]))
             rest = iter(self.encode([t for t, o in zip(texts, own, strict=True) if not o]))
             return [np.array(next(whole), "<u4").tobytes() if o else next(rest) for o in own]
-        split = [t.split() for t in lower] if self.habits.case else [t.split() for t in texts]
-        found = [list(map(self.get, words)) for words in split]
-        new = {w for words, ids in zip(split, found, strict=True) for w, x in zip(words, ids, strict=True) if x is None}
+        # Each different stretch of the batch is looked up once; what it has in ids is then dealt to its places.
+        lists = pc.ascii_split_whitespace(pa.array(lower if self.habits.case else texts, pa.binary()).view(pa.string()))
+        words = lists.flatten()
+        kept = pc.binary_length(words).to_numpy() > 0  # white space at an edge of a text gives an empty stretch
+        ends = np.append(0, np.cumsum(kept))[np.cumsum(pc.list_value_length(lists).to_numpy())]
+        coded = words.filter(pa.array(kept)).dictionary_encode()
+        if not len(coded):
+            return [b""] * len(texts)
+        halves = pa.concat_arrays(self._in_two(coded.dictionary)).dictionary_encode()
+        at = halves.indices.to_numpy().reshape(2, -1).T[coded.indices.to_numpy()].ravel()  # two for each stretch
+        ends *= 2
+        whole = pa.ListArray.from_arrays(pa.array([0, len(halves.dictionary)], pa.int32()), halves.dictionary)
+        distinct = pc.binary_join(whole, "\n")[0].as_py().encode().split(b"\n")  # much faster than one by one
+        pieces = list(map(self.get, distinct))
+        new = [w for w, x in zip(distinct, pieces, strict=True) if x is None and w]
         if len(self) + len(new) > CACHE_ENTRIES:
             self.clear()
-        self._learn_cores(new)
-        return [b"".join([self[w] if x is None else x for w, x in zip(words, ids, strict=True)]) for words, ids in zip(split, found, strict=True)]
+        self._learn(new)
+        pieces = [self.get(w, b"") if x is None else x for w, x in zip(distinct, pieces, strict=True)]
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        starts, lengths = (np.cumsum(sizes) - sizes)[at], sizes[at]
+        upto = np.append(0, np.cumsum(lengths))
+        places = np.repeat(starts - upto[:-1], lengths) + np.arange(upto[-1])
+        ids = np.frombuffer(b"".join(pieces), "<u4")[places].tobytes()
+        bounds = (4 * upto[np.append(0, ends)]).tolist()
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 _caches: dict[str, WordCache] = {}
@@ -214,8 +243,8 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, *, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at, n, ids, pieces = TaskContext.get().partitionId(), 0, 0, [], []
         for batch in batches:
-            for row in range(0, batch.num_rows, 256):
-                some = batch.slice(row, 256)
+            for row in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(row, TEXTS)
                 coded = _cache(tokenizer_path).encode([t or b"" for t in some.column(1).cast(pa.binary()).to_pylist()])
                 pieces += [c + end for c in coded]
                 ids.append(some.column(0))
