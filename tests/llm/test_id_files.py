@@ -156,3 +156,13 @@ def test_marks_are_no_entries_of_their_stretches(monkeypatch):
     t = Tokenizer.from_file(PATH)
     for text in ("alpha beta, gamma", "beta, gamma delta.", "alpha alpha, (gamma)"):
         assert np.frombuffer(cache.encode([text.encode()])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_stretches_of_letters_go_to_the_model(texts):
+    """They have the library's ids, and only where its steps leave them whole."""
+    cache, t = id_files.WordCache(PATH), Tokenizer.from_file(PATH)
+    assert cache.habits.letters and not id_files.WordCache(public_tokenizers.path("byte_bpe_50k.json")).habits.letters
+    draw = np.random.default_rng(8)
+    some = sorted({w.lower() for x in texts.values() for w in (x or "").split() if w.isascii() and w.isalpha()})[:2000]
+    some += ["".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz"), draw.integers(1, 30))) for _ in range(500)]
+    assert id_files.ids_of_model(cache.tokenizer, some) == [e.ids for e in t.encode_batch(some, add_special_tokens=False)]

@@ -22,6 +22,7 @@ import json
 import os
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from tracelake.llm.id_coder import decode_segment, encode_segment
 SEGMENT_IDS = 3_000_000
 CACHE_ENTRIES = 1_000_000
 #: Texts that are encoded together.
-TEXTS = 512
+TEXTS = 1024
 
 #: A character that stands between the stretches of a batch; stretches that have it are encoded alone.
 MARK = "\x01"
@@ -59,6 +60,12 @@ def ids_of(tokenizer, texts: list[str]) -> list[list[int]]:
     return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def ids_of_model(tokenizer, pieces: list[str]) -> list[list[int]]:
+    """Ids of pieces that a tokenizer's steps before its model would leave as they are."""
+    tokenize = tokenizer.model.tokenize
+    return [[t.id for t in tokenize(x)] for x in pieces]
+
+
 #: Marks that often end a stretch.
 TAIL = b'.,!?;:#$%&*)-"'
 #: By byte: whether it is an ASCII letter or digit.
@@ -88,7 +95,8 @@ class Habits:
 
     ``space``: a text's ids are those of its stretches without ASCII white space, one
     after the other. ``case``: A-Z and a-z have the same ids. ``tail``: marks that end
-    a stretch after an ASCII letter or digit have their own ids.
+    a stretch after an ASCII letter or digit have their own ids. ``letters``: stretches
+    of a-z are whole pieces for the model.
     """
 
     def __init__(self, tokenizer):
@@ -102,6 +110,7 @@ class Habits:
         letters = [chr(x) for x in range(97, 123)]
         small = [*letters, *(a + b for a in letters for b in letters), "it's", "abcdefghijklmnopqrstuvwxyz"]
         self.case = self.space and lower and ids_of(tokenizer, small) == ids_of(tokenizer, [x.upper() for x in small])
+        self.letters = self.space and ids_of(tokenizer, small) == [ids_of_model(tokenizer, [x])[0] if x.isalpha() else y for x, y in zip(small, ids_of(tokenizer, small), strict=True)]
         ends, marks = [*letters, "The", *"0123456789"], [chr(x) for x in TAIL]
         tails = [*marks, *(a + b for a in marks for b in marks), "..."]
         both = ids_of(tokenizer, [e + t for e in ends for t in tails])
@@ -161,6 +170,12 @@ class WordCache(dict):
 
     def _learn(self, words: list[bytes]) -> None:
         """Words of letters have one end at least, so as many ends as words tell them apart; other stretches get marks between them."""
+        if self.habits.letters:
+            whole = [w for w in words if w.isalpha() and w.islower()]  # of bytes: a-z only
+            words = [w for w in words if not (w.isalpha() and w.islower())]
+            found = ids_of_model(self.tokenizer, [w.decode() for w in whole])
+            data, ends = np.array(list(chain.from_iterable(found)), "<u4").tobytes(), [0, *accumulate(4 * len(x) for x in found)]
+            self.update(zip(whole, [data[a:b] for a, b in zip(ends, ends[1:], strict=False)], strict=True))
         plain = [w for w in words if w.decode().isalpha()] if self.ends is not None else []
         rest = list(set(words).difference(plain)) if plain else words
         odd = [w for w in rest if b"\x01" in w] if self.mark is not None else rest
