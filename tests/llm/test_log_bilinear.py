@@ -182,3 +182,44 @@ def test_sums_by_row():
         found, sums, met = lb.sums_by_row(rows, values, 80, times)
         assert found.tolist() == sorted(set(rows.tolist())) and met.tolist() == [times[rows == r].sum() for r in found]
         assert np.allclose(sums[:, :width], [values[rows == r].sum(0) for r in found], atol=1e-4)
+
+
+def test_words_that_end_alike_share_a_group():
+    """Most groups hold words of one ending, and buckets have groups of their own."""
+    ends = ["tion", "ung", "eur", "ado"]
+    frequent = [(f"{i:05d}{ends[i * i % 7 % 4]}".encode(), 40_000 // (i + 10) + 1) for i in range(12_000)]
+    v = lb.Vocabulary(frequent, np.full((200, 2), [9.0, 3]))
+    group = np.repeat(np.arange(len(v.offsets) - 1), np.diff(v.offsets))
+    words = {w: group[i - lb.SHORTLIST] for w, i in v.known.items() if i >= lb.SHORTLIST}
+    alone = {g for g in set(words.values()) if len({w[5:] for w, x in words.items() if x == g}) == 1}
+    assert len(alone) > 0.7 * len(set(words.values())) and not {group[i - lb.SHORTLIST] for i in v.bucket} & set(words.values())
+
+
+def test_runs_train_as_tokens_with_their_contexts():
+    """A mini-batch of runs moves the parameters as the same tokens do with a context each."""
+    draw, offsets = np.random.default_rng(6), np.array([0, 4, 9])
+    n = draw.integers(1, 50, 8)
+    ids = draw.integers(0, 20, n.sum())
+    runs = lb.runs_of(ids, n, 20)
+    contexts, targets = lb.windows(np.split(ids, np.cumsum(n)[:-1]), 20)
+    kept = runs[:, lb.CONTEXT :] != 20
+    assert runs.shape[1] == lb.CONTEXT + lb.RUN and runs[:, lb.CONTEXT :][kept].tolist() == ids.tolist()
+    found = []
+    for step in ((runs,), (contexts, targets)):
+        model, state, draw = lb.LogBilinear(np.arange(1.0, 21), offsets=offsets), {}, np.random.default_rng(1)
+        for _ in range(3):
+            (model.train_runs if len(step) == 1 else model.train)(*step, draw, state)
+        found.append((model.parameters(), state["met_r"], state["met_qm"]))
+    assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(*found, strict=True)) and found[0][1].sum() == lb.CONTEXT * 3 * len(ids)
+
+
+def test_sums_of_far_logits():
+    draw = np.random.default_rng(7)
+    h, q = draw.normal(size=(700, lb.DIM)).astype(np.float32), draw.normal(size=(9, lb.DIM + 1)).astype(np.float32)
+    h[::3] *= 60
+    q[:, -1] -= 90
+    chosen = draw.integers(0, 9, 700)
+    logits = lb.with_ones(h).astype(float) @ q.T
+    most = logits.max(1)
+    plain = logits[np.arange(700), chosen] - most - np.log(np.exp(logits - most[:, None]).sum(1))
+    assert np.allclose(lb.log_sums(lb.with_ones(h), q, chosen), plain, rtol=1e-4, atol=1e-4)

@@ -10,12 +10,12 @@ all tokens add up to 1.
 
 The model: a context of CONTEXT tokens gives h = sum of C_i * R[token]; the score
 of output w is h . Q[w] + b[w]. The most frequent tokens (at most SHORTLIST) are
-outputs of the upper level; all other words and the buckets are dealt to groups,
-about as many as a group has members. A group is one more output of the upper
-level, and its members are normalised among themselves, so that the cost of a token
-grows as the root of the vocabulary. Training texts are dealt to shards by a hash of their
+outputs of the upper level; all other words go to groups of words that end alike,
+and buckets to groups of their own, about as many as a group has members that a token meets.
+A group is one more output of the upper level, and its members are normalised among
+themselves, so that the cost of a token grows as the root of the vocabulary. Training texts are dealt to shards by a hash of their
 ids, one for each SHARD of them; each shard trains on all of its texts in the order of
-their ids, in mini-batches: the upper level against shared noise drawn from the unigram
+their ids, in mini-batches of short runs of tokens: the upper level against shared noise drawn from the unigram
 distribution, members against noise from their group, which a mini-batch's tokens of
 the group share. All shards start from the same
 parameters; Spark averages them, the upper level weighted by the shards' tokens, the
@@ -53,10 +53,14 @@ SHORTLIST, FREQUENT, LONGEST = 254, 60_000, 64
 CONTEXT, DIM, NOISE, BATCH = 3, 16, 48, 4096
 #: Noise for each member of a group; buckets for each root of the number of rare tokens; rows of parameters that travel together.
 GROUP_NOISE, BUCKETS, BLOCK = 8, 4, 512
-#: Texts of a shard, and of them that are cut into mini-batches together.
-SHARD, TEXTS = 8192, 512
+#: Words after the upper level that have groups apart from the rarer ones; groups for each member that a token meets.
+COMMON, SPLIT = 10_000, 1.2
+#: Texts of a shard, and of them that are cut into mini-batches together; neighbouring tokens that stay together in it.
+SHARD, TEXTS, RUN = 8192, 512, 32
 #: Tokens whose outputs are computed together; what they take fits into a core's cache.
-ROWS = 128
+ROWS = 256
+#: Sums of exponentials from here to its inverse are used as they are.
+LEAST = 1e-25
 #: Places of a group's tokens that are multiplied with its noise at once.
 TILE = 16
 LEARNING_RATE = 0.25
@@ -129,11 +133,21 @@ def frequent_tokens(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
 
 def sums_by_row(rows: np.ndarray, values: np.ndarray, n: int, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct rows of ``n``, sums of their values, sums of ``times``, by default their numbers)."""
-    met = np.bincount(rows, times, n)
-    found = np.flatnonzero(met > 0)
-    place = np.empty(n, np.int64)
+    flags, place = np.zeros(n, bool), np.zeros(n, np.int64)
+    flags[rows if times is None else rows[times > 0]] = True
+    found = np.flatnonzero(flags)
     place[found] = np.arange(len(found))
-    return found, added_rows(place.take(rows), values, len(found)), met[found]
+    # Rows that count no time have sums of 0, which the first place takes.
+    at = place.take(rows)
+    return found, added_rows(at, values, len(found)), np.bincount(at, times, len(found))
+
+
+def put_rows(x: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """``x[rows] = values``, each row moved as one item."""
+    if x.ndim > 1:
+        item = f"V{x.itemsize * x.shape[1]}"
+        x, values = x.view(item), values.view(item)
+    np.put(x, rows, values)
 
 
 def added_rows(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -162,24 +176,23 @@ def with_ones(h: np.ndarray) -> np.ndarray:
     return np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1)
 
 
-def norm(x: np.ndarray) -> float:
-    """Length of the longest row, without the last column."""
-    return float(np.einsum("md,md->m", x[:, :-1], x[:, :-1]).max(initial=0)) ** 0.5
-
-
-def log_sums(h: np.ndarray, q: np.ndarray, chosen: np.ndarray, reach: float) -> np.ndarray:
-    """Log-probability of the chosen ones among all outputs ``q``, whose last column is the bias; for ``h`` with a column of ones, no row longer than ``reach``."""
-    out, ones, turned = np.empty(len(h), np.float32), np.ones(len(q), np.float32), np.ascontiguousarray(q.T)
+def log_sums(h: np.ndarray, q: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Log-probability of the chosen ones among all outputs ``q``, whose last column is the bias; for ``h`` with a column of ones."""
+    sums, ones, turned = np.empty(len(h), np.float32), np.ones(len(q), np.float32), np.ascontiguousarray(q.T)
     room = np.empty((min(ROWS, len(h)), len(q)), np.float32)
-    # Else the likeliest output has a logit from -40 to 40, so sums neither overflow nor vanish.
-    far = reach * norm(q) + abs(float(q[:, -1].max())) > 40
-    for at in range(0, len(h), ROWS):
-        some = h[at : at + ROWS]
-        logits = np.matmul(some, turned, out=room[: len(some)])
-        if far:
-            logits -= logits.max(1, keepdims=True)
-        own = logits[np.arange(len(logits)), chosen[at : at + ROWS]]
-        out[at : at + ROWS] = own - np.log(np.exp(logits, out=logits) @ ones)
+    with np.errstate(over="ignore", divide="ignore"):
+        for at in range(0, len(h), ROWS):
+            some = h[at : at + ROWS]
+            logits = np.matmul(some, turned, out=room[: len(some)])
+            np.matmul(np.exp(logits, out=logits), ones, out=sums[at : at + ROWS])
+        out = np.einsum("md,md->m", h, q.take(chosen, 0)) - np.log(sums)
+    # Sums that overflow or nearly vanish are taken again, from the largest logit.
+    again = np.flatnonzero(~((sums > LEAST) & (sums < 1 / LEAST)))
+    for at in range(0, len(again), ROWS):
+        some = again[at : at + ROWS]
+        logits = h[some] @ turned
+        logits -= logits.max(1, keepdims=True)
+        out[some] = logits[np.arange(len(some)), chosen[some]] - np.log(np.exp(logits) @ ones)
     return out
 
 
@@ -204,6 +217,7 @@ class LogBilinear:
         self.unigram = np.concatenate([weights[: self.head], totals]) / weights.sum()
         within = weights[self.head :] / totals[self.group]
         self.upto = np.cumsum(within)  # each group adds 1
+        self.upto_top = np.cumsum(self.unigram)
         draw = np.random.default_rng(seed)
         # The context tables have one row more, for places before the text.
         self.r = draw.normal(0, 0.1, (self.n + 1, DIM)).astype(np.float32)
@@ -267,15 +281,13 @@ class LogBilinear:
             s[:] = near
             x -= moved
         else:
-            s[rows] = near
-            x[rows] = x.take(rows, 0) - moved
+            put_rows(s, rows, near)
+            put_rows(x, rows, x.take(rows, 0) - moved)
 
     def _train_members(self, h: np.ndarray, members: np.ndarray, draw: np.random.Generator, state: dict) -> np.ndarray:
-        """Members against draws from their groups, which the batch's tokens of a group share; the gradient of h."""
-        order = np.argsort(self.group[members].astype(np.uint16 if len(self.offsets) < 1 << 16 else np.int64), kind="stable")
-        h, members = h[order], members[order]
+        """Members, ordered by group, against draws from their groups, which the batch's tokens of a group share; the gradient of h."""
         groups, firsts, sizes = np.unique(self.group[members], return_index=True, return_counts=True)
-        drawn = np.searchsorted(self.upto, groups[:, None] + draw.random((len(groups), GROUP_NOISE)), side="right")
+        drawn = np.searchsorted(self.upto, groups[:, None] + np.sort(draw.random((len(groups), GROUP_NOISE))), side="right")
         drawn = np.clip(drawn, self.offsets[groups][:, None], self.offsets[groups + 1][:, None] - 1)
         # Tokens lie in tiles of TILE places, each of one group; places left over stay empty.
         tiles = -(-sizes // TILE)
@@ -289,8 +301,8 @@ class LogBilinear:
         logits = filled @ np.concatenate([qn, bias[drawn][:, :, None]], axis=2).transpose(0, 2, 1)
         wrong_t, wrong_n = wrongs(np.einsum("md,md->m", h, qt) + bias[members]) - 1, wrongs(logits)
         wrong_n *= filled[:, :, DIM:]
-        gh = np.empty_like(h)
-        gh[order] = wrong_t[:, None] * qt + (wrong_n @ qn).reshape(-1, DIM).take(places, 0)
+        gh = (wrong_n @ qn).reshape(-1, DIM).take(places, 0)
+        gh += wrong_t[:, None] * qt
         noise = wrong_n.transpose(0, 2, 1) @ filled
         rows, values = np.concatenate([members, drawn.ravel()]), np.concatenate([wrong_t[:, None] * h1, noise.reshape(-1, DIM + 1)])
         within = filled[:, :, DIM].sum(1)
@@ -302,13 +314,28 @@ class LogBilinear:
         return gh
 
     def train(self, contexts: np.ndarray, targets: np.ndarray, draw: np.random.Generator, state: dict) -> None:
-        """One mini-batch: targets against NOISE shared draws, members of groups against GROUP_NOISE each; AdaGrad steps."""
+        """One mini-batch of tokens, each with its own context."""
+        self.train_runs(np.concatenate([contexts[:, ::-1], targets[:, None]], axis=1), draw, state)
+
+    def train_runs(self, runs: np.ndarray, draw: np.random.Generator, state: dict) -> None:
+        """One mini-batch: targets against NOISE shared draws, members of groups against GROUP_NOISE each; AdaGrad steps.
+
+        A row of ``runs`` has CONTEXT ids and the targets that follow them, so that a
+        token's row is read and moved once for all contexts that it is in. The start is no target.
+        """
         if "met_r" not in state:
             state |= {"met_r": np.zeros(self.n + 1), "met_qm": np.zeros(len(self.qm))}
-        noise = draw.choice(len(self.unigram), NOISE, p=self.unigram)
-        tops = self.top[targets]
-        vectors = self.vectors(contexts)
-        h = self.hidden(vectors)
+        noise = np.minimum(np.searchsorted(self.upto_top, draw.random(NOISE), side="right"), len(self.unigram) - 1)
+        before, length = runs[:, :-1], runs.shape[1] - CONTEXT
+        real = runs[:, CONTEXT:] != self.n
+        kept = np.flatnonzero(real)
+        targets = runs[:, CONTEXT:].ravel().take(kept)
+        behind = [slice(CONTEXT - 1 - j, CONTEXT - 1 - j + length) for j in range(CONTEXT)]
+        tops, vectors = self.top[targets], self.r.take(before, 0)
+        h = vectors[:, behind[0]] * self.c[0]
+        for some, c in zip(behind[1:], self.c[1:], strict=True):
+            h += vectors[:, some] * c
+        h = h.reshape(-1, DIM).take(kept, 0)
         qt, qn = self.q.take(tops, 0), self.q[noise]
         bias = self.b - self.log_k
         wrong_t, wrong_n = wrongs(np.einsum("md,md->m", h, qt) + bias[tops]) - 1, wrongs(h @ qn.T + bias[noise])
@@ -318,9 +345,16 @@ class LogBilinear:
         gb = (np.bincount(tops, wrong_t, len(self.q)) + np.bincount(noise, wrong_n.sum(0), len(self.q))).astype(np.float32)
         inside = np.flatnonzero(targets >= self.head)
         if len(inside):
-            gh[inside] += self._train_members(h[inside], targets[inside] - self.head, draw, state)
-        gc = np.einsum("md,cmd->cd", gh, vectors)
-        at, sums, met = sums_by_row(contexts.T.ravel(), (gh * self.c[:, None]).reshape(-1, DIM), len(self.r))
+            inside = inside[np.argsort(tops[inside].astype(np.uint16 if len(self.q) < 1 << 16 else np.int64), kind="stable")]
+            put_rows(gh, inside, gh.take(inside, 0) + self._train_members(h.take(inside, 0), targets[inside] - self.head, draw, state))
+        wide, gc, gr, times = np.zeros((real.size, DIM), np.float32), np.empty_like(self.c), np.zeros_like(vectors), np.zeros(before.shape)
+        put_rows(wide, kept, gh)
+        wide = wide.reshape(*real.shape, DIM)
+        for j, some in enumerate(behind):
+            gc[j] = np.einsum("mld,mld->d", wide, vectors[:, some])
+            gr[:, some] += wide * self.c[j]
+            times[:, some] += real
+        at, sums, met = sums_by_row(before.ravel(), gr.reshape(-1, DIM), len(self.r), times.ravel())
         state["met_r"][at] += met
         scale = np.float32(len(targets) ** 0.5)
         for name, g in (("q", grow), ("b", gb), ("c", gc)):
@@ -332,8 +366,7 @@ class LogBilinear:
         h, tops = np.ones((len(targets), DIM + 1), np.float32), self.top[targets]
         for at in range(0, len(h), BATCH):
             h[at : at + BATCH, :DIM] = self.hidden(self.vectors(contexts[at : at + BATCH]))
-        reach = norm(h)
-        out = log_sums(h, np.concatenate([self.q, self.b[:, None]], axis=1), tops, reach)
+        out = log_sums(h, np.concatenate([self.q, self.b[:, None]], axis=1), tops)
         order = np.argsort(tops)
         order = order[np.searchsorted(tops[order], self.head) :]
         ends = np.flatnonzero(np.diff(tops[order], append=-1)) + 1
@@ -341,7 +374,7 @@ class LogBilinear:
         for start, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False):
             some = order[start:end]
             first, last = self.offsets[tops[some[0]] - self.head :][:2]
-            out[some] += log_sums(h[some], members[first:last], targets[some] - self.head - first, reach)
+            out[some] += log_sums(h[some], members[first:last], targets[some] - self.head - first)
         return out
 
 
@@ -353,27 +386,40 @@ def windows(ids: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndarray]:
     return contexts, np.concatenate(ids)
 
 
+def runs_of(ids: np.ndarray, n: np.ndarray, start: int) -> np.ndarray:
+    """Runs of RUN tokens, with the CONTEXT tokens before them, of texts of ``n`` ids each; ``start`` stands before each text and after the last."""
+    places = np.arange(len(ids)) + CONTEXT * np.repeat(np.arange(1, len(n) + 1), n)
+    out = np.full(CONTEXT + -(-(int(places[-1]) + 1 - CONTEXT) // RUN) * RUN, start, np.int64)
+    out[places] = ids
+    return np.lib.stride_tricks.sliding_window_view(out, CONTEXT + RUN)[::RUN]
+
+
 class Vocabulary:
-    """Ids of tokens: the upper level, then the groups' members, words and buckets dealt in turn.
+    """Ids of tokens: the upper level, then the groups' members: COMMON words, rarer ones, buckets.
 
-    ``frequent``: (token, count) by falling count; ``buckets``: counts and numbers of
-    the rarer tokens by bucket.
+    Groups are runs of words in the order of their reversed bytes, as words that end
+    alike stand in like places. ``frequent``: (token, count) by falling count;
+    ``buckets``: counts and numbers of the rarer tokens by bucket.
     """
 
     def __init__(self, frequent: list[tuple[bytes, int]], buckets: np.ndarray):
         head, k = min(SHORTLIST, len(frequent)), len(buckets)
-        members = len(frequent) - head + k
-        groups = int(np.ceil(members**0.5))
-        order = np.argsort(np.arange(members) % groups, kind="stable")
-        at = np.empty(members, np.int64)
-        at[order] = np.arange(members) + head
-        ids = np.concatenate([np.arange(head), at])
+        counts, weights = np.array([n for _, n in frequent], float), np.maximum(1.0, buckets[:, 0])
+        members, every = len(frequent) - head + k, np.concatenate([counts, weights])
+        common = min(head + COMMON, len(frequent))
+        groups: list[np.ndarray] = []
+        for first, last in ((head, common), (common, len(frequent)), (len(frequent), len(every))):
+            some = np.array(sorted(range(first, last), key=lambda i: frequent[i][0][::-1]) if last <= len(frequent) else range(first, last), np.int64)
+            # A token meets all groups, and on average the members of one by the share of tokens that are in these groups.
+            parts = min(len(some), int(np.ceil(SPLIT * (len(some) * every[some].sum() / every.sum()) ** 0.5)))
+            groups += np.array_split(some, parts) if len(some) else []
+        ids = np.arange(head + members)
+        ids[np.concatenate([ids[:head], *groups])] = np.arange(head + members)
         self.known = {w: i for (w, _), i in zip(frequent, ids[: len(frequent)].tolist(), strict=True)}
         self.bucket = ids[len(frequent) :].tolist()
-        self.offsets = np.append(0, np.cumsum(np.bincount(np.arange(members) % groups, minlength=groups)))
-        counts = np.array([n for _, n in frequent], float)
+        self.offsets = np.append(0, np.cumsum([len(x) for x in groups])).astype(np.int64)
         self.unigram = np.empty(head + members)
-        self.unigram[ids] = np.concatenate([counts, np.maximum(1.0, buckets[:, 0])])
+        self.unigram[ids] = every
         #: Counts of words, as in the base; 0 for buckets, whose tokens' counts come by a join.
         self.log_count = np.zeros(head + members)
         self.log_count[ids[: len(frequent)]] = np.log10(counts + 1)
@@ -388,11 +434,12 @@ class Vocabulary:
 
     def ids(self, words: pa.Array) -> np.ndarray:
         known, ids = self.table
-        found = pc.index_in(words, value_set=known).fill_null(-1).to_numpy()
+        each = words.dictionary_encode()
+        found = pc.index_in(each.dictionary, value_set=known).fill_null(-1).to_numpy()
         rare, k = np.flatnonzero(found < 0), len(self.bucket)
         out = np.append(ids, -1)[found]
-        out[rare] = [self.bucket[crc32(w) % k] for w in words.take(pa.array(rare)).to_pylist()]
-        return out
+        out[rare] = [self.bucket[crc32(w) % k] for w in each.dictionary.take(pa.array(rare)).to_numpy(zero_copy_only=False)]
+        return out.take(each.indices.to_numpy())
 
 
 def rare_buckets(counts: DataFrame, frequent: list[tuple[bytes, int]], n_types: int) -> np.ndarray:
@@ -415,12 +462,11 @@ def trained(docs: DataFrame, vocabulary: Vocabulary, *, id_col: str = "doc_id",
         draw = np.random.default_rng(shard)
         for some in iter(lambda: list(islice(texts, TEXTS)), []):
             n, words = split_tokens(pa.array(some, pa.string()))
-            contexts, targets = windows(np.split(vocabulary.ids(words), np.cumsum(n)[:-1]), start)
-            order = draw.permutation(len(targets))
-            for at in range(0, len(order), BATCH):
-                part = order[at : at + BATCH]
-                model.train(contexts.take(part, 0), targets.take(part), draw, state)
-            seen += len(targets)
+            runs = runs_of(vocabulary.ids(words), n, start)
+            order = draw.permutation(len(runs))
+            for at in range(0, len(order), BATCH // RUN):
+                model.train_runs(runs[order[at : at + BATCH // RUN]], draw, state)
+            seen += len(words)
         weights = model.row_weights(seen, state)[:, None]
         rows = np.concatenate([model.rows() * weights, weights], axis=1).astype("<f4")
         for at in range(0, len(rows), BLOCK):
